@@ -1,0 +1,6 @@
+"""Streaming use.
+
+There is no streaming-only operator here. Predicates, scalar functions,
+alternate-position normalisation and affine moves are plain column
+expressions, so they apply to ``readStream`` frames as they are.
+"""
