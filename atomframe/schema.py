@@ -136,5 +136,11 @@ def site_key(df: DataFrame) -> list[str]:
     return residue_key(df) + ["atom_name"]
 
 
+def file_order(df: DataFrame) -> list[str]:
+    """The columns that order the atoms of a structure as the file lists them."""
+    lead = ["rank"] if "rank" in df.columns else []
+    return lead + (["sym_id"] if has_copies(df) else []) + ["atom_id"]
+
+
 def label(*names: str) -> Column:
     return F.concat_ws("|", *[F.col(n).cast("string") for n in names])
