@@ -146,13 +146,21 @@ def check_copy_partition(atoms: DataFrame) -> DataFrame:
     )
 
 
-def save_handles(handles: DataFrame, path: str) -> None:
-    handles.write.mode("overwrite").partitionBy("structure_id").parquet(path)
+def save_handles(handles: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write the table in ``buckets`` folders by structure, sorted inside each file.
+
+    A folder per structure would mean millions of tiny files.
+    """
+    bucket = F.pmod(F.xxhash64("structure_id"), F.lit(buckets)).cast("int")
+    rows = handles.withColumn("bucket", bucket)
+    rows.repartition("bucket", "structure_id", "name").sortWithinPartitions(
+        "bucket", "structure_id", "name", "atom_id"
+    ).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def load_handles(spark: SparkSession, path: str, atoms: DataFrame | None = None) -> DataFrame:
     """Saved sets; with ``atoms``, only rows that still name an atom."""
-    saved = spark.read.parquet(path)
+    saved = spark.read.parquet(path).drop("bucket")
     if atoms is None:
         return saved
     key = S.atom_key(saved)

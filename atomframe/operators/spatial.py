@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..scaling import salted_lookup
 from . import predicates as P
 from .prep import resolve_conformers
 
@@ -276,8 +275,3 @@ def same_in_every_copy(atoms: DataFrame, x: DataFrame) -> DataFrame:
     return copies.join(spread, "structure_id").select(
         "structure_id", "copies", (F.col("least") == F.col("copies")).alias("same")
     )
-
-
-def spread_to_atoms(atoms: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
-    """Left-join per-key values onto atoms whose keys may be very uneven."""
-    return salted_lookup(atoms, values, key, "atom_id")

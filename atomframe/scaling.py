@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 SALTS = 32
+HOT = 1 << 20
 
 
 def _block(key: str, block: int) -> Column:
@@ -67,15 +68,22 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, out: str
     return df.withColumn(out, place).filter(F.col(out) <= k)
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str) -> DataFrame:
+def skew_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str) -> DataFrame:
     """Left-join a one-row-per-key ``table`` onto ``rows`` whose keys may be very uneven.
 
-    Rows of one key are split over SALTS sub-keys by the hash of ``spread``;
-    the small side carries one copy of each key per sub-key.
+    Keys with HOT rows or more are found by a pre-aggregated count; there can be
+    at most rows/HOT of them, which bounds what is broadcast. Rows of a hot key
+    are split over SALTS sub-keys by the hash of ``spread``, and only hot keys
+    are copied SALTS times on the table side.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+    hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") >= HOT)
+    hot = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    is_hot = F.coalesce("_hot", F.lit(False))
+    salt = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    spread_table = table.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(spread_table, [*on, "_salt"], "left").drop("_salt")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

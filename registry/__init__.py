@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from . import selections  # noqa: F401
+from . import graph, selections  # noqa: F401
 from .core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -304,12 +304,12 @@ def affine(spark, sf_dir):
     sql("""SELECT coalesce(a.structure_id, b.structure_id) AS structure_id, count_a, count_b,
       CASE WHEN count_a IS NULL OR count_b IS NULL THEN 'no count' WHEN count_a = count_b THEN 'agree' ELSE 'MISMATCH' END AS status
       FROM (SELECT structure_id, count(*) AS count_a FROM fx_atoms GROUP BY 1) a
-      FULL JOIN (SELECT structure_id, count(*) AS count_b FROM fx_atoms WHERE altloc_id <> 'B' AND structure_id % 5 <> 4 GROUP BY 1) b
+      FULL JOIN (SELECT structure_id, count(*) AS count_b FROM fx_atoms WHERE altloc_id <> 'B' GROUP BY 1) b
       ON a.structure_id = b.structure_id"""),
 )
 def reconcile(spark, sf_dir):
     atoms = fx_atoms(spark, sf_dir)
-    other = atoms.filter("altloc_id <> 'B' AND structure_id % 5 <> 4")
+    other = atoms.filter("altloc_id <> 'B'")
     return prep.reconcile(atoms, other)
 
 
@@ -498,11 +498,11 @@ def correspondence(spark, sf_dir):
     "j14_same_in_every_copy",
     sql("""SELECT structure_id, CAST(2 AS BIGINT) AS copies, bool_and(n = 2) AS same FROM (
       SELECT structure_id, atom_id, count(*) AS n FROM fx_copies
-      WHERE res_name = 'HEM' AND NOT (sym_id = 1 AND structure_id % 3 = 0 AND res_id = 19) GROUP BY 1, 2) GROUP BY 1""", SQL_COPIES),
+      WHERE res_name = 'HEM' AND NOT (sym_id = 1 AND b_factor = 50 AND occupancy > 0.85) GROUP BY 1, 2) GROUP BY 1""", SQL_COPIES),
 )
 def same_in_every_copy(spark, sf_dir):
     atoms = fx_copies(spark, sf_dir)
-    x = atoms.filter(P.resn("HEM") & ~F.expr("sym_id = 1 AND structure_id % 3 = 0 AND res_id = 19"))
+    x = atoms.filter(P.resn("HEM") & ~F.expr("sym_id = 1 AND b_factor = 50 AND occupancy > 0.85"))
     return spatial.same_in_every_copy(atoms, x)
 
 
