@@ -56,7 +56,7 @@ def derive_bonds(
     todo = atoms
     if file_bonds is not None:
         todo = atoms.join(file_bonds.select("structure_id").distinct(), "structure_id", "left_anti")
-    order = S.file_order(atoms)[0]
+    order = S.rank_column(atoms)
     first = todo.select(*key, "res_name", "atom_name", "atom_id").join(
         template.select("res_name", F.col("atom1").alias("atom_name"), "atom2"),
         ["res_name", "atom_name"],

@@ -185,7 +185,7 @@ def combine(
         .withColumn("side", F.lit(1))
     )
     both = target.withColumn("side", F.lit(0)).unionByName(moved)
-    order = "rank" if "rank" in target.columns else "atom_id"
+    order = S.rank_column(target)
     # file order inside a side, the target first: one integer key for the numbering
     joint = both.withColumn("_k", F.col(order) * 2 + F.col("side"))
     first = running_index(joint, [*on, "side"], "_k", "_i")

@@ -176,7 +176,7 @@ def attach_field(
 
 def disulfides(atoms: DataFrame, d: float = 2.5) -> DataFrame:
     """Pairs of cysteine sulfurs at most ``d`` apart, one conformer state, each pair once."""
-    order = "rank" if "rank" in atoms.columns else "atom_id"
+    order = S.rank_column(atoms)
     sulfur = resolve_conformers(atoms).filter(P.resn("CYS") & P.name("SG"))
     carry = ["atom_id", order, "chain_id", "res_id"]
     once = F.col(f"a_{order}") < F.col(f"b_{order}")

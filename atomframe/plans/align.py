@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: substitution scores, lower triangle in the order of LETTERS, and the gap
 GAP = -10
@@ -96,7 +97,12 @@ def match_positions(a: str, b: str) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-@F.pandas_udf("array<struct<m: int, t: int>>")
+PAIRS = T.ArrayType(
+    T.StructType([T.StructField("m", T.IntegerType()), T.StructField("t", T.IntegerType())])
+)
+
+
+@F.pandas_udf(PAIRS)
 def _positions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for mobile, target in batches:
         yield pd.Series(

@@ -45,7 +45,7 @@ def chain_sequence(atoms: DataFrame, chain: str | None = None, strict: bool = Fa
         )
     order = F.struct(*S.file_order(atoms))
     residues = held.groupBy(*RESIDUE).agg(
-        F.min(S.file_order(atoms)[0]).alias("_first"), F.min_by("res_name", order).alias("res_name")
+        F.min(S.rank_column(atoms)).alias("_first"), F.min_by("res_name", order).alias("res_name")
     )
     numbered = running_index(residues, ["structure_id", "chain_id"], "_first", "pos")
     return numbered.select(*RESIDUE, "res_name", "pos", one_letter(F.col("res_name")).alias("letter"))

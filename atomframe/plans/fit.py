@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.geometry import distance, vec
 from ..operators import predicates as P
 from ..operators.prep import ROTATION, TRANSLATION, affine, resolve_conformers
-from ..operators.quantiles import exact_percentiles
 from ..operators.spatial import correspond
 from ..scaling import cut_lineage, running_index, top_k
 from .align import aligned_positions
@@ -25,7 +25,12 @@ DEVIATION_FLOOR, DEVIATION_SLACK = 0.05, 1.0
 AXES = "xyz"
 
 
-@F.pandas_udf("struct<r array<double>, s double>")
+FIT = T.StructType(
+    [T.StructField("r", T.ArrayType(T.DoubleType())), T.StructField("s", T.DoubleType())]
+)
+
+
+@F.pandas_udf(FIT)
 def _rotation(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Best proper rotation and overlap for each row's nine covariances (row-major)."""
     for h in batches:
@@ -208,7 +213,7 @@ def _chains(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 def _residues(side: DataFrame) -> DataFrame:
     """Residues of one side in file order, ``pos`` counted per pair, with the CA position."""
     key = ["pair_id", *S.residue_key(side)]
-    lead = S.file_order(side)[0]
+    lead = S.rank_column(side)
     order = F.struct(*S.file_order(side))
     at_ca = F.when(F.col("atom_name") == "CA", F.struct(*AXES))
     first_ca = F.min_by(at_ca, F.when(F.col("atom_name") == "CA", order))
@@ -274,20 +279,24 @@ def superpose(pairs: DataFrame, atoms: DataFrame, strict: bool = False) -> dict[
 def _without_outliers(anchors: DataFrame) -> DataFrame:
     """Drop anchors whose squared offset lies beyond the upper quartile by 1.5 ranges.
 
-    Rounds repeat for all pairs together until no pair loses an anchor.
+    Rounds repeat for all pairs together until no pair loses an anchor. The
+    quartiles of a pair see no more values than its alignment row already held.
     """
     key = ["pair_id"]
+    names = anchors.columns
     for _ in range(MAX_ROUNDS):
-        far = moved(anchors, kabsch(anchors, key), key).withColumn("_d2", F.col("offset") * F.col("offset"))
-        cuts = exact_percentiles(far, key, "_d2", {"_q1": 25, "_q3": 75})
-        limit = F.col("_q3") + SPREAD * (F.col("_q3") - F.col("_q1"))
+        far = moved(anchors, kabsch(anchors, key), key).select(*key, "m", "offset")
+        far = far.withColumn("_d2", F.col("offset") * F.col("offset"))
+        cuts = far.groupBy(*key).agg(F.percentile("_d2", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        limit = F.col("_q")[1] + SPREAD * (F.col("_q")[1] - F.col("_q")[0])
         judged = far.join(cuts, key).withColumn("_in", F.col("_d2") <= limit)
-        enough = judged.groupBy(*key).agg(F.sum(F.col("_in").cast("long")).alias("_left"))
-        out = judged.join(enough, key).filter(~F.col("_in") & (F.col("_left") >= MIN_ANCHORS))
-        out = cut_lineage(out.select(*key, "m"))
-        if out.isEmpty():
+        left = judged.groupBy(*key).agg(F.sum(F.col("_in").cast("long")).alias("_left"))
+        stays = F.col("_in") | (F.col("_left") < MIN_ANCHORS)
+        verdict = judged.join(left, key).select(*key, "m", stays.alias("_stays"))
+        marked = cut_lineage(anchors.join(verdict, [*key, "m"]))
+        anchors = marked.filter("_stays").select(*names)
+        if marked.filter("NOT _stays").isEmpty():
             break
-        anchors = cut_lineage(anchors.join(out, [*key, "m"], "left_anti"))
     return anchors
 
 
@@ -310,10 +319,11 @@ def deviation_field(target: DataFrame, mobile: DataFrame, fits: DataFrame, ancho
         "pair_id", "chain_id", "res_id", F.lit("").alias("ins_code"), "res_name",
         F.col("offset").alias("deviation"),
     )
-    middle = exact_percentiles(whole, key, "deviation", {"median": 50})
-    size = whole.groupBy(*key).agg(F.count("*").alias("_n"))
+    size = whole.groupBy(*key).agg(
+        F.count("*").alias("_n"), F.percentile("deviation", F.lit(0.5)).alias("median")
+    )
     fitted = anchors.groupBy(*key).agg(F.count("*").alias("_fitted"), F.max("offset").alias("_worst"))
-    choice = fitted.join(size, key, "left").join(middle, key, "left").select(
+    choice = fitted.join(size, key, "left").select(
         *key,
         F.coalesce(
             (F.col("_n") >= F.col("_fitted"))

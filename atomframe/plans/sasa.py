@@ -55,7 +55,11 @@ def _hide(sphere: np.ndarray, key: list[str], names: list[str]):
                 alone = hidden & part["same"].to_numpy()[:, None]
                 words = np.concatenate([_words(hidden), _words(alone)], axis=1)
                 marks = part[key]
-                new = (marks != marks.shift()).any(axis=1).to_numpy()
+                new = np.ones(len(part), dtype=bool)
+                new[1:] = False
+                for c in key:
+                    values = marks[c].to_numpy()
+                    new[1:] |= values[1:] != values[:-1]
                 starts = np.flatnonzero(new)
                 merged = np.bitwise_or.reduceat(words, starts, axis=0)
                 out = marks.iloc[starts].reset_index(drop=True)

@@ -136,10 +136,14 @@ def site_key(df: DataFrame) -> list[str]:
     return residue_key(df) + ["atom_name"]
 
 
+def rank_column(df: DataFrame) -> str:
+    """The integer that orders the atoms of one copy of a structure."""
+    return "rank" if "rank" in df.columns else "atom_id"
+
+
 def file_order(df: DataFrame) -> list[str]:
-    """The columns that order the atoms of a structure as the file lists them."""
-    lead = ["rank"] if "rank" in df.columns else []
-    return lead + (["sym_id"] if has_copies(df) else []) + ["atom_id"]
+    """The columns that order the atoms of a structure: copy after copy, in file order."""
+    return (["sym_id"] if has_copies(df) else []) + list(dict.fromkeys([rank_column(df), "atom_id"]))
 
 
 def label(*names: str) -> Column:

@@ -232,3 +232,58 @@ SQL_COPIES = """
 fx_copies AS (
   SELECT * REPLACE (x + CAST(sym_id * 40 AS DOUBLE) AS x)
   FROM (SELECT *, unnest([0, 1]) AS sym_id FROM fx_atoms))"""
+
+
+# ---------------------------------------------------------------- folded backbones
+# fixed values: radius and phase (degrees) and height of N, CA, C, O in an ideal
+# alpha helix (100 degrees and 1.5 angstroms per residue), and their offsets in
+# an extended strand (3.4 per residue along z, strands 4.8 apart along x)
+HELIX_SPOTS = {"N": (1.55, -27.5, -0.9), "CA": (2.28, 0.0, 0.0), "C": (1.67, 26.4, 1.12), "O": (2.0, 23.6, 2.32)}
+STRAND_SPOTS = {"N": (0.35, -1.2), "CA": (0.8, 0.0), "C": (-0.4, 1.2), "O": (-1.6, 1.25)}
+
+
+def _fold_place(axis: str) -> str:
+    """Thousandths of an angstrom: 25 residues of helix, then strands of ten, per block of 75."""
+    helix, sheet = [], []
+    for name, (r, phase, up) in HELIX_SPOTS.items():
+        turn = f"radians(100.0*p + ({phase}))"
+        value = {"x": f"round(1000*({r})*cos({turn}))", "y": f"round(1000*({r})*sin({turn}))",
+                 "z": f"1500*p + ({round(1000 * up)})"}[axis]
+        helix.append(f"WHEN '{name}' THEN {value}")
+    for name, (side, up) in STRAND_SPOTS.items():
+        # strands run up and down in turn; the side alternates along a strand
+        value = {"x": f"4800*s + ({round(1000 * side)})*(1 - 2*(q % 2))", "y": "30000 + 900*(q % 2)",
+                 "z": f"(3400*q + ({round(1000 * up)}))*(1 - 2*(s % 2)) + 30600*(s % 2)"}[axis]
+        sheet.append(f"WHEN '{name}' THEN {value}")
+    far = {"x": "60000*b", "y": "0", "z": "0"}[axis]
+    jitter = {"x": "(w % 13 - 6)*12", "y": "(w % 11 - 5)*12", "z": "(w % 7 - 3)*12"}[axis]
+    return (
+        f"CAST(CAST({far} + {jitter} + CASE WHEN p < 25 THEN CASE atom_name {' '.join(helix)} END "
+        f"ELSE CASE atom_name {' '.join(sheet)} END END AS BIGINT) AS DOUBLE)/CAST(1000 AS DOUBLE) AS {axis}"
+    )
+
+
+def fx_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backbones from the orders: structures of 300 residues, a helix and strands in each chain."""
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k", "o_orderkey div 300 AS structure_id", "o_orderkey % 300 div 75 AS b",
+        "o_orderkey % 75 AS p", "(o_orderkey % 75 - 25) div 10 AS s", "(o_orderkey % 75 - 25) % 10 AS q",
+        "o_custkey AS w", "posexplode(array('N','CA','C','O')) AS (slot, atom_name)",
+    )
+    return rows.selectExpr(
+        "structure_id", "k*4 + slot AS atom_id", "CAST(k % 300 AS INT) AS res_id", "'' AS ins_code",
+        "element_at(array('A','B','C','D'), CAST(b AS INT) + 1) AS chain_id",
+        "CASE k % 5 WHEN 0 THEN 'GLY' WHEN 1 THEN 'ALA' WHEN 2 THEN 'SER' WHEN 3 THEN 'LYS' ELSE IF(w % 3 = 0, 'PRO', 'VAL') END AS res_name",
+        "atom_name", "substring(atom_name, 1, 1) AS element", "'.' AS altloc_id",
+        *[_fold_place(c) for c in "xyz"],
+    )
+
+
+SQL_FOLD = f"""
+fx_fold AS (SELECT structure_id, k*4 + slot AS atom_id, CAST(k % 300 AS INT) AS res_id, '' AS ins_code,
+    CASE b WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS chain_id,
+    CASE k % 5 WHEN 0 THEN 'GLY' WHEN 1 THEN 'ALA' WHEN 2 THEN 'SER' WHEN 3 THEN 'LYS' ELSE CASE WHEN w % 3 = 0 THEN 'PRO' ELSE 'VAL' END END AS res_name,
+    atom_name, {", ".join(_fold_place(c) for c in "xyz")}
+  FROM (SELECT o_orderkey AS k, o_orderkey // 300 AS structure_id, o_orderkey % 300 // 75 AS b, o_orderkey % 75 AS p,
+      (o_orderkey % 75 - 25) // 10 AS s, (o_orderkey % 75 - 25) % 10 AS q, o_custkey AS w,
+      unnest([0, 1, 2, 3]) AS slot, unnest(['N', 'CA', 'C', 'O']) AS atom_name FROM orders))"""
