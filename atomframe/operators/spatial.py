@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..scaling import by_key
 from . import predicates as P
 from .prep import resolve_conformers
 
@@ -69,11 +70,15 @@ def pairs_within(
     right: list[str] | None = None,
     group: list[str] | None = None,
     extra: Column | None = None,
+    heavy: bool = False,
 ) -> DataFrame:
     """Pairs of one ``a`` atom and one ``b`` atom at most ``r`` apart, with ``d``.
 
     ``left``/``right`` name columns to carry, prefixed ``a_``/``b_`` in the
     result; ``extra`` is a further condition on those prefixed columns.
+    ``heavy`` says that much work per pair follows: the left side is then
+    hash-partitioned by the join key up front, so that partitions are not
+    merged by the small size of their input.
     """
     r = S.positive(r, "radius")
     group = group or ["structure_id"]
@@ -85,9 +90,10 @@ def pairs_within(
         renamed = [F.col(c).alias(f"{prefix}{c}") for c in extra_cols]
         return df.select(*group, "_cube", *renamed, *[F.col(c).alias(f"{prefix}{c}") for c in AXES])
 
-    near = side(in_cube(a, edge), "a_", left).join(
-        side(reaching_cubes(b, r, edge), "b_", right), [*group, "_cube"]
-    )
+    key = [*group, "_cube"]
+    near = side(in_cube(a, edge), "a_", left)
+    near = by_key(near, key) if heavy else near
+    near = near.join(side(reaching_cubes(b, r, edge), "b_", right), key)
     d2 = squared_distance("a_", "b_")
     hit = d2 <= F.lit(r * r)
     near = near.filter(hit if extra is None else hit & extra).withColumn("d", F.sqrt(d2))

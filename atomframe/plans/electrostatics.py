@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.physics import IONIC_STRENGTH, TEMPERATURE, WATER_DIELECTRIC, kt_scale, screening
 from ..operators import predicates as P
 from ..operators.prep import resolve_conformers
-from ..scaling import running_index, top_k
+from ..scaling import by_key, running_index, top_k
 
 MAX_POINTS = 12_000_000
 BRICK = 8  # points per brick edge
@@ -149,7 +149,8 @@ def coulomb_grid(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
     )
     spread = chunks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    tiles = wanted.withColumn("_salt", salt).join(spread, ["structure_id", "chunk", "_salt"])
+    key = ["structure_id", "chunk", "_salt"]
+    tiles = by_key(wanted.withColumn("_salt", salt), key).join(spread, key)
     start = [F.col(f"o{c}") + F.col(f"h{c}") * F.col(b) * BRICK for c, b in zip(AXES, ("bi", "bj", "bk"))]
     kappa = screening(ionic, dielectric, temperature)
     part = _tile(kappa)(*start, "hx", "hy", "hz", "qx", "qy", "qz", "q")

@@ -287,12 +287,16 @@ def _without_outliers(anchors: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         far = moved(anchors, kabsch(anchors, key), key).select(*key, "m", "offset")
         far = far.withColumn("_d2", F.col("offset") * F.col("offset"))
-        cuts = far.groupBy(*key).agg(F.percentile("_d2", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        cuts = far.groupBy(*key).agg(
+            F.percentile("_d2", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
+            F.collect_list("_d2").alias("_all"),
+        )
         limit = F.col("_q")[1] + SPREAD * (F.col("_q")[1] - F.col("_q")[0])
-        judged = far.join(cuts, key).withColumn("_in", F.col("_d2") <= limit)
-        left = judged.groupBy(*key).agg(F.sum(F.col("_in").cast("long")).alias("_left"))
-        stays = F.col("_in") | (F.col("_left") < MIN_ANCHORS)
-        verdict = judged.join(left, key).select(*key, "m", stays.alias("_stays"))
+        cuts = cuts.select(*key, limit.alias("_limit"), "_all")
+        left = F.size(F.filter("_all", lambda v: v <= F.col("_limit")))
+        cuts = cuts.select(*key, "_limit", left.alias("_left"))
+        stays = (F.col("_d2") <= F.col("_limit")) | (F.col("_left") < MIN_ANCHORS)
+        verdict = far.join(cuts, key).select(*key, "m", stays.alias("_stays"))
         marked = cut_lineage(anchors.join(verdict, [*key, "m"]))
         anchors = marked.filter("_stays").select(*names)
         if marked.filter("NOT _stays").isEmpty():

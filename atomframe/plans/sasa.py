@@ -93,7 +93,8 @@ def accessible_area(
     for c in (c for c in key if c not in group):
         other = other | (F.col(f"a_{c}") != F.col(f"b_{c}"))
     touching = F.col("d") < F.col("a_r") + F.col("b_r")
-    pairs = pairs_within(solid, solid, widest, carry, carry, group, other).filter(touching)
+    pairs = pairs_within(solid, solid, widest, carry, carry, group, other, heavy=True)
+    pairs = pairs.filter(touching)
     shift = [(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"d{c}") for c in "xyz"]
     square = sum(
         ((F.col(f"b_{c}") - F.col(f"a_{c}")) * (F.col(f"b_{c}") - F.col(f"a_{c}")) for c in "yz"),

@@ -9,6 +9,7 @@ per block ever meets in a per-group window.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,6 +87,16 @@ def skew_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str) -
     return salted.join(spread_table, [*on, "_salt"], "left").drop("_salt")
 
 
+def by_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """Hash-partition by the key of the join that follows, in the session's partition count.
+
+    The join reuses this exchange. Unlike the join's own exchange it is not
+    merged into few partitions when its rows are small but costly.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *key)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -106,6 +117,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from the written table.
+
+    Unlike an in-memory cut it survives lost executors, and unlike a plain
+    checkpoint the table keeps its size and its columns, so later steps can
+    prune columns and pick joins by size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

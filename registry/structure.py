@@ -8,9 +8,11 @@ from atomframe.operators import predicates as P
 from atomframe.plans import interface as I
 from atomframe.plans import sasa as A
 from atomframe.plans import secondary as SS
+from atomframe.scaling import cut_lineage
 
 from .core import query
 from .fixtures import AMINO, RESKEY, SQL_COPIES, fx_atoms, fx_copies, fx_fold, SQL_FOLD, sql
+from .graph import recursive
 from .selections import STATE, close, dist, ids
 
 SIX = [(1.0, 0.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, 1.0), (0.0, 0.0, -1.0)]
@@ -232,7 +234,8 @@ def turns(spark, sf_dir):
 
 @query("w5_helices", sql("SELECT structure_id, i, letter FROM helix", SQL_FOLD, BACKBONE, HB, TURN, HELIX))
 def helices(spark, sf_dir):
-    return SS.helices(SS.turns(SS.backbone_bonds(fold(spark, sf_dir)))).distinct()
+    bonds = cut_lineage(SS.backbone_bonds(fold(spark, sf_dir)))
+    return SS.helices(SS.turns(bonds)).distinct()
 
 
 BRIDGE = """mid AS (SELECT r.structure_id, r.i FROM run r JOIN run n ON n.structure_id = r.structure_id AND n.i = r.i + 1 AND n.link_prev WHERE r.link_prev),
@@ -252,7 +255,7 @@ BRIDGE = """mid AS (SELECT r.structure_id, r.i FROM run r JOIN run n ON n.struct
 
 @query("w6_bridges", sql("SELECT structure_id, i, j, kind FROM bridge", SQL_FOLD, BACKBONE, HB, BRIDGE))
 def bridges(spark, sf_dir):
-    residues = fold(spark, sf_dir)
+    residues = cut_lineage(fold(spark, sf_dir))
     return SS.bridges(SS.backbone_bonds(residues), residues)
 
 
@@ -263,8 +266,9 @@ LADDER = """ladder AS (SELECT structure_id, kind, min(i) AS i_lo, max(i) AS i_hi
 
 @query("w6_ladders", sql("SELECT * FROM ladder", SQL_FOLD, BACKBONE, HB, BRIDGE, LADDER))
 def ladders(spark, sf_dir):
-    residues = fold(spark, sf_dir)
-    return SS.ladders(SS.bridges(SS.backbone_bonds(residues), residues)).drop("diagonal", "island")
+    residues = cut_lineage(fold(spark, sf_dir))
+    found = cut_lineage(SS.bridges(SS.backbone_bonds(residues), residues))
+    return SS.ladders(found).drop("diagonal", "island")
 
 
 @query("w8_bends", sql("SELECT structure_id, i FROM bend", SQL_FOLD, BACKBONE, BEND))
@@ -272,12 +276,66 @@ def bends(spark, sf_dir):
     return SS.bends(fold(spark, sf_dir))
 
 
-@query("m9_secondary_structure")
+GAP = """CASE WHEN a.{0}_hi < b.{0}_lo THEN b.{0}_lo - a.{0}_hi WHEN b.{0}_hi < a.{0}_lo THEN a.{0}_lo - b.{0}_hi END"""
+STRAND = f"""lad AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY i_lo, j_lo) AS id FROM ladder),
+  bulge AS (SELECT a.structure_id, a.id AS a, b.id AS b FROM lad a JOIN lad b ON a.structure_id = b.structure_id AND a.kind = b.kind AND a.id <> b.id
+    WHERE ({GAP.format('i')} < 6 AND {GAP.format('j')} < 3) OR ({GAP.format('i')} < 3 AND {GAP.format('j')} < 6)),
+  reach AS (SELECT structure_id, id, id AS other FROM lad UNION SELECT r.structure_id, r.id, g.b FROM reach r JOIN bulge g ON g.structure_id = r.structure_id AND g.a = r.other),
+  comp AS (SELECT structure_id, id, min(other) AS comp FROM reach GROUP BY 1, 2),
+  sheet AS (SELECT structure_id, comp, min(i_lo) AS i_lo, max(i_hi) AS i_hi, min(j_lo) AS j_lo, max(j_hi) AS j_hi FROM lad JOIN comp USING (structure_id, id)
+    GROUP BY 1, 2 HAVING count(*) > 1 OR max(size) > 1),
+  claim AS (SELECT structure_id, i, CASE letter WHEN 'I' THEN 1 WHEN 'H' THEN 2 ELSE 5 END AS p FROM helix
+    UNION ALL SELECT structure_id, unnest(range(i_lo, i_hi + 1)), 4 FROM sheet UNION ALL SELECT structure_id, unnest(range(j_lo, j_hi + 1)), 4 FROM sheet
+    UNION ALL SELECT structure_id, i, 40 FROM bridge UNION ALL SELECT structure_id, j, 40 FROM bridge
+    UNION ALL SELECT structure_id, unnest(range(i + 1, i + n)), 6 FROM turn WHERE seg_i = seg_j
+    UNION ALL SELECT structure_id, i, 7 FROM bend),
+  best AS (SELECT structure_id, i, min(CASE WHEN p = 40 THEN 4 ELSE p END) AS p, bool_or(p = 4) AS strand FROM claim GROUP BY 1, 2),
+  ss AS (SELECT {RESKEY}, res_name, r.i, CASE WHEN p = 4 THEN CASE WHEN strand THEN 'E' ELSE 'B' END WHEN p IS NULL THEN '-' ELSE substring('IHBEGTS', CAST(p AS INT), 1) END AS ss
+    FROM bb r LEFT JOIN best b USING (structure_id, i))"""
+SHEET_PARTS = (*SS_PARTS, BRIDGE, LADDER, STRAND)
+
+
+@query("m9_secondary_structure", recursive("SELECT * FROM ss", *SHEET_PARTS))
 def secondary_structure(spark, sf_dir):
     return SS.assign_residues(fx_fold(spark, sf_dir))
 
 
-@query("f20_helix_atoms")
+@query(
+    "f20_helix_atoms",
+    recursive(f"""SELECT f.structure_id, f.atom_id FROM fx_fold f JOIN ss USING ({RESKEY}) WHERE ss IN ('H','G','I')""", *SHEET_PARTS),
+)
 def helix_atoms(spark, sf_dir):
     atoms = SS.secondary_structure(fx_fold(spark, sf_dir))
     return ids(atoms.filter(P.ss("helix")))
+
+
+@query(
+    "w7_strand_gap",
+    sql(f"""SELECT a.structure_id, a.i_lo AS a, b.i_lo AS b, a.j_lo AS aj, b.j_lo AS bj, {GAP.format('i')} AS gap_i, {GAP.format('j')} AS gap_j
+      FROM ladder a JOIN ladder b ON a.structure_id = b.structure_id AND a.kind = b.kind AND b.i_lo BETWEEN a.i_hi + 1 AND a.i_hi + 5""",
+        SQL_FOLD, BACKBONE, HB, BRIDGE, LADDER),
+)
+def strand_gaps(spark, sf_dir):
+    residues = cut_lineage(fold(spark, sf_dir))
+    steps = cut_lineage(SS.ladders(SS.bridges(SS.backbone_bonds(residues), residues)))
+    first = steps.select("structure_id", "kind", *[F.col(c).alias(f"a_{c}") for c in ("i_lo", "i_hi", "j_lo", "j_hi")])
+    first = first.withColumn("i_lo", F.expr("explode(sequence(a_i_hi + 1, a_i_hi + 5))"))
+    both = first.join(steps, ["structure_id", "kind", "i_lo"])
+
+    def gap(c: str):
+        return SS.strand_gap(*[F.col(n) for n in (f"a_{c}_lo", f"a_{c}_hi", f"{c}_lo", f"{c}_hi")]).alias(f"gap_{c}")
+
+    return both.select(
+        "structure_id", F.col("a_i_lo").alias("a"), F.col("i_lo").alias("b"), F.col("a_j_lo").alias("aj"),
+        F.col("j_lo").alias("bj"), gap("i"), gap("j"),
+    )
+
+
+@query(
+    "g6_ladder_groups",
+    recursive("SELECT structure_id, lo, hi FROM (SELECT structure_id, i_lo AS lo, i_hi AS hi FROM sheet UNION ALL SELECT structure_id, j_lo, j_hi FROM sheet)", *SHEET_PARTS),
+)
+def ladder_groups(spark, sf_dir):
+    residues = cut_lineage(fold(spark, sf_dir))
+    steps = cut_lineage(SS.ladders(SS.bridges(SS.backbone_bonds(residues), residues)))
+    return SS.strands(steps)
