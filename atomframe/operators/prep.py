@@ -11,7 +11,6 @@ from ..scaling import running_index, top_k
 from . import predicates as P
 
 MAX_COPIES = 12
-CHAIN_KEY = ["structure_id", "chain_id"]
 
 
 def normalise_altloc(atoms: DataFrame) -> DataFrame:
@@ -126,10 +125,13 @@ def apply_transform(atoms: DataFrame, transforms: DataFrame, on: list[str] | Non
     return moved.select(*keep, *affine())
 
 
-def expand_assembly(atoms: DataFrame, ops: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+def expand_assembly(
+    atoms: DataFrame, ops: DataFrame, max_copies: int = MAX_COPIES, chain_column: str = "chain_id"
+) -> DataFrame:
     """Biological assemblies: every operator applied to the chains it names.
 
-    ``ops`` holds structure_id, op_id, chain_id, the rotation and translation.
+    ``ops`` holds structure_id, op_id, chain_id, the rotation and translation;
+    ``chain_column`` is the atom column those chain ids refer to.
     Copies are numbered from 0 in operator order. A structure with more than
     ``max_copies`` operators keeps its deposited atoms, as does one with none;
     ``note`` says which rule applied.
@@ -141,8 +143,9 @@ def expand_assembly(atoms: DataFrame, ops: DataFrame, max_copies: int = MAX_COPI
     count = listed.groupBy("structure_id").agg(F.count("*").alias("_n"))
     usable = ops.join(count, "structure_id").filter(F.col("_n") <= max_copies).drop("_n")
     usable = usable.join(numbered, ["structure_id", "op_id"])
-    key = CHAIN_KEY
-    moves = usable.select(*key, "sym_id", *ROTATION, *TRANSLATION)
+    key = ["structure_id", chain_column]
+    moves = usable.withColumnRenamed("chain_id", chain_column)
+    moves = moves.select(*key, "sym_id", *ROTATION, *TRANSLATION)
     keep = [c for c in atoms.columns if c not in ("x", "y", "z", "sym_id")]
     bare = atoms.drop("sym_id") if S.has_copies(atoms) else atoms
     built = bare.join(moves, key).select(
