@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema as S
 from ..functions.chemistry import vdw_radius
@@ -45,25 +46,27 @@ def _words(hidden: np.ndarray) -> np.ndarray:
     return packed.view(np.int64).reshape(rows, width // WORD)
 
 
-def _hide(sphere: np.ndarray, key: list[str], names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hide(sphere: np.ndarray, key: list[str], schema: pa.Schema):
+    """Masks of hidden points per run of rows that share an atom, Arrow batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), ROWS):
-                part = batch.iloc[start : start + ROWS]
-                shift = part[["dx", "dy", "dz"]].to_numpy()
-                hidden = shift @ sphere.T > part["reach"].to_numpy()[:, None]
-                alone = hidden & part["same"].to_numpy()[:, None]
-                words = np.concatenate([_words(hidden), _words(alone)], axis=1)
-                marks = part[key]
-                new = np.ones(len(part), dtype=bool)
-                new[1:] = False
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                shift = np.stack([part.column(c).to_numpy() for c in ("dx", "dy", "dz")], axis=1)
+                hidden = shift @ sphere.T > part.column("reach").to_numpy()[:, None]
+                same = part.column("same").to_numpy(zero_copy_only=False)
+                words = np.concatenate([_words(hidden), _words(hidden & same[:, None])], axis=1)
+                new = np.zeros(part.num_rows, dtype=bool)
+                new[0] = True
                 for c in key:
-                    values = marks[c].to_numpy()
+                    values = part.column(c).to_numpy(zero_copy_only=False)
                     new[1:] |= values[1:] != values[:-1]
                 starts = np.flatnonzero(new)
                 merged = np.bitwise_or.reduceat(words, starts, axis=0)
-                out = marks.iloc[starts].reset_index(drop=True)
-                yield pd.concat([out, pd.DataFrame(merged, columns=names)], axis=1)
+                marks = [part.column(c).take(pa.array(starts)) for c in key]
+                masks = [pa.array(np.ascontiguousarray(w)) for w in merged.T]
+                yield pa.RecordBatch.from_arrays(marks + masks, schema=schema)
 
     return run
 
@@ -108,7 +111,8 @@ def accessible_area(
     width = -(-count // WORD)
     names = [f"{kind}{i}" for kind in ("w", "s") for i in range(width)]
     fields = [rows.schema[c] for c in key] + [T.StructField(n, T.LongType()) for n in names]
-    masks = rows.mapInPandas(_hide(unit, key, names), T.StructType(fields))
+    hide = _hide(unit, key, to_arrow_schema(T.StructType(fields)))
+    masks = rows.mapInArrow(hide, T.StructType(fields))
     masks = masks.groupBy(*key).agg(*[F.bit_or(n).alias(n) for n in names])
 
     def free(kind: str) -> Column:
