@@ -81,6 +81,7 @@ def classify_volumes(files: DataFrame, format: str = "auto", strict: bool = Fals
 
 
 def catalog_volumes(spark: SparkSession, path: str, format: str = "auto", strict: bool = False) -> DataFrame:
+    """Catalogue the files under ``path``. Spark lists no files of zero bytes, so those are absent."""
     return classify_volumes(spark.read.format("binaryFile").load(path), format, strict)
 
 
@@ -124,4 +125,5 @@ def resolve_ids(ids: DataFrame, held: DataFrame | None = None, source: str = "au
             F.concat(F.lit("https://alphafold.ebi.ac.uk/files/"), "name", F.lit("-F1-model_v4.cif")),
         ),
     )
+    # an identifier that names nothing has no name and so is never held
     return out if held is None else out.join(held.select("name"), "name", "left_anti")
