@@ -70,7 +70,7 @@ def column_entropy(spark, sf_dir):
 
 SCORES = """depth AS (SELECT msa_id, count(DISTINCT seq_idx) AS depth FROM fx_msa GROUP BY 1),
   scores AS (SELECT s.*, m.msa_id, d.depth, round(e.entropy, 9) + 0 AS entropy
-    FROM seq s JOIN (SELECT structure_id, chain_id, structure_id % (SELECT count(DISTINCT msa_id) FROM fx_msa) AS msa_id,
+    FROM seq s JOIN (SELECT structure_id, chain_id, structure_id % 7 AS msa_id,
       count(*) AS n FROM seq GROUP BY 1, 2) m ON m.structure_id = s.structure_id AND m.chain_id = s.chain_id
     JOIN depth d ON d.msa_id = m.msa_id AND d.depth >= 2
     JOIN (SELECT msa_id, count(*) AS columns FROM entropy GROUP BY 1) c ON c.msa_id = m.msa_id AND c.columns >= m.n
@@ -79,11 +79,9 @@ SCORE_PARTS = (SEQ, SQL_MSA, ENTROPY, SCORES)
 
 
 def scored(spark, sf_dir):
-    """Chains of structure n scored by alignment n modulo the number of alignments."""
+    """Chains of structure n scored by alignment n % 7; chains without one get no scores."""
     msa = fx_msa(spark, sf_dir)
-    seq = C.chain_sequence(fx_atoms(spark, sf_dir))
-    how_many = msa.agg(F.countDistinct("msa_id").alias("_m"))
-    owned = seq.join(F.broadcast(how_many)).withColumn("msa_id", F.col("structure_id") % F.col("_m")).drop("_m")
+    owned = C.chain_sequence(fx_atoms(spark, sf_dir)).withColumn("msa_id", F.expr("structure_id % 7"))
     entropy = rounded(C.column_entropy(msa), 9, "entropy")
     return C.score_conservation(owned, entropy, C.msa_depth(msa))
 

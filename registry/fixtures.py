@@ -287,3 +287,36 @@ fx_fold AS (SELECT structure_id, k*4 + slot AS atom_id, CAST(k % 300 AS INT) AS
   FROM (SELECT o_orderkey AS k, o_orderkey // 300 AS structure_id, o_orderkey % 300 // 75 AS b, o_orderkey % 75 AS p,
       (o_orderkey % 75 - 25) // 10 AS s, (o_orderkey % 75 - 25) % 10 AS q, o_custkey AS w,
       unnest([0, 1, 2, 3]) AS slot, unnest(['N', 'CA', 'C', 'O']) AS atom_name FROM orders))"""
+
+
+# ---------------------------------------------------------------- a wider vocabulary
+# Chain D of fx_atoms as nucleotides, sugars, ions and hydrogens.
+MIXED = {
+    "res_name": "CASE res_id % 6 WHEN 0 THEN 'DA' WHEN 1 THEN 'G' WHEN 2 THEN 'NAG' WHEN 3 THEN 'ZN' WHEN 4 THEN 'CL' ELSE 'SO4' END",
+    "atom_name": "CASE atom_id % 7 WHEN 0 THEN 'P' WHEN 1 THEN 'O1P' WHEN 2 THEN 'C1*' WHEN 3 THEN 'N9' WHEN 4 THEN 'H5' ELSE 'O5' END",
+    "element": "CASE WHEN res_id % 6 = 3 THEN 'Zn' WHEN res_id % 6 = 4 THEN 'CL' WHEN res_id % 6 = 5 THEN 'S' WHEN atom_id % 7 = 0 THEN 'P' "
+    "WHEN atom_id % 7 = 2 THEN 'C' WHEN atom_id % 7 = 3 THEN 'N' WHEN atom_id % 7 = 4 THEN 'H' ELSE 'O' END",
+    "hetero": "res_id % 6 > 1",
+}
+
+
+def fx_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = {c: F.expr(f"CASE WHEN chain_id = 'D' THEN {v} ELSE {c} END") for c, v in MIXED.items()}
+    atoms = fx_atoms(spark, sf_dir)
+    return atoms.select(*[changed[c].alias(c) if c in changed else c for c in atoms.columns])
+
+
+SQL_MIXED = (
+    "fx_mixed AS (SELECT * REPLACE ("
+    + ", ".join(f"CASE WHEN chain_id = 'D' THEN {v} ELSE {c} END AS {c}" for c, v in MIXED.items())
+    + ") FROM fx_atoms)"
+)
+
+
+def fx_protons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_atoms with every CA turned into a hydrogen, bonded to its N by fx_bonds."""
+    turned = F.when(F.col("atom_name") == "CA", "H").otherwise(F.col("element"))
+    return fx_atoms(spark, sf_dir).withColumn("element", turned)
+
+
+SQL_PROTONS = """fx_protons AS (SELECT * REPLACE (CASE WHEN atom_name = 'CA' THEN 'H' ELSE element END AS element) FROM fx_atoms)"""

@@ -10,7 +10,7 @@ from atomframe.operators import prep, sets, spatial
 
 from .core import query
 from .fixtures import (
-    AMINO, RESKEY, SQL_BONDS, SQL_COPIES, fx_atoms, fx_bonds, fx_copies, fx_ops, sql, table,
+    AMINO, RESKEY, SQL_COPIES, SQL_MIXED, fx_atoms, fx_copies, fx_mixed, fx_ops, sql, table,
 )
 
 
@@ -18,12 +18,13 @@ def ids(df: DataFrame) -> DataFrame:
     return df.select("structure_id", "atom_id")
 
 
-def predicate(name: str, build, where: str) -> None:
-    """A filter over the atoms against the same WHERE clause."""
+def predicate(name: str, build, where: str, mixed: bool = False) -> None:
+    """A filter over the atoms (or the wider vocabulary) against the same WHERE clause."""
+    source, parts, make = ("fx_mixed", [SQL_MIXED], fx_mixed) if mixed else ("fx_atoms", [], fx_atoms)
 
-    @query(name, sql(f"SELECT structure_id, atom_id FROM fx_atoms WHERE {where}"))
+    @query(name, sql(f"SELECT structure_id, atom_id FROM {source} WHERE {where}", *parts))
     def run(spark, sf_dir):
-        atoms = fx_atoms(spark, sf_dir)
+        atoms = make(spark, sf_dir)
         return ids(atoms.filter(build(atoms)))
 
 
@@ -43,23 +44,24 @@ def interface_residues(spark, sf_dir):
 # ---------------------------------------------------------------- predicates
 NUCLEIC = "('A','C','G','U','I','N','DA','DC','DG','DT','DU','DI')"
 HET = "(hetero AND res_name NOT IN ('HOH','SOL','WAT','DOD'))"
-BB = f"(res_name IN {AMINO} AND atom_name IN ('N','CA','C','O','OXT'))"
+BB = f"""((res_name IN {AMINO} AND atom_name IN ('N','CA','C','O','OXT'))
+  OR (res_name IN {NUCLEIC} AND (atom_name IN ('P','OP1','OP2','OP3','O1P','O2P','O3P') OR regexp_matches(atom_name, '^([OC]5|[OC]4|[OC]3|[OC]2|C1)[''*]$'))))"""
 CARBON = f"""(structure_id, chain_id, res_id, ins_code) IN
   (SELECT ({RESKEY}) FROM fx_atoms WHERE {HET} AND element = 'C')"""
 
 predicate("f1_all", lambda a: P.is_class("*"), "true")
 predicate("f1_none", lambda a: P.is_class("none"), "false")
-predicate("f2_polymer", lambda a: P.is_class("polymer"), f"res_name IN {AMINO} OR res_name IN {NUCLEIC}")
+predicate("f2_polymer", lambda a: P.is_class("polymer"), f"res_name IN {AMINO} OR res_name IN {NUCLEIC}", True)
 predicate("f2_protein", lambda a: P.is_class("polymer.protein"), f"res_name IN {AMINO}")
-predicate("f2_nucleic", lambda a: P.is_class("nucleic"), f"res_name IN {NUCLEIC}")
+predicate("f2_nucleic", lambda a: P.is_class("nucleic"), f"res_name IN {NUCLEIC}", True)
 predicate("f3_solvent", lambda a: P.is_class("water"), "res_name = 'HOH'")
 predicate("f4_hetatm", lambda a: P.is_class("het"), "hetero")
-predicate("f5_backbone", lambda a: P.is_class("backbone"), BB)
-predicate("f6_sidechain", lambda a: P.is_class("sc."), f"res_name IN {AMINO} AND NOT {BB}")
-predicate("f7_hydro", lambda a: P.is_class("hydro"), "element IN ('H','D')")
-predicate("f8_metals", lambda a: P.is_class("metals"), "element = 'FE'")
-predicate("f9_glycan", lambda a: P.is_class("glycan"), "res_name IN ('NAG','MAN','BMA','GAL','FUC')")
-predicate("f9_ion", lambda a: P.is_class("ion"), "res_name = element")
+predicate("f5_backbone", lambda a: P.is_class("backbone"), BB, True)
+predicate("f6_sidechain", lambda a: P.is_class("sc."), f"(res_name IN {AMINO} OR res_name IN {NUCLEIC}) AND NOT {BB}", True)
+predicate("f7_hydro", lambda a: P.is_class("hydro"), "element IN ('H','D')", True)
+predicate("f8_metals", lambda a: P.is_class("metals"), "upper(element) IN ('FE','ZN')", True)
+predicate("f9_glycan", lambda a: P.is_class("glycan"), "res_name IN ('NAG','MAN','BMA','GAL','FUC')", True)
+predicate("f9_ion", lambda a: P.is_class("ion"), "res_name IN ('ZN','CL')", True)
 predicate("f12_chain", lambda a: P.chain("A", "C"), "chain_id IN ('A','C')")
 predicate("f12_segi", lambda a: P.segi("b"), "chain_id = 'b'")
 predicate("f13_resn", lambda a: P.resn("hem", "Asp"), "res_name IN ('HEM','ASP')")

@@ -11,7 +11,10 @@ from atomframe.plans import secondary as SS
 from atomframe.scaling import cut_lineage
 
 from .core import query
-from .fixtures import AMINO, RESKEY, SQL_COPIES, fx_atoms, fx_copies, fx_fold, SQL_FOLD, sql
+from .fixtures import (
+    AMINO, RESKEY, SQL_BONDS, SQL_COPIES, SQL_FOLD, SQL_PROTONS, fx_atoms, fx_bonds, fx_copies, fx_fold,
+    fx_protons, sql,
+)
 from .graph import recursive
 from .selections import STATE, close, dist, ids
 
@@ -146,6 +149,22 @@ def closest_contacts(spark, sf_dir):
     return I.closest_contacts(found, 20).select("structure_id", "a_atom_id", "b_atom_id", "kind", "place")
 
 
+HBONDS = """hbonds AS (SELECT DISTINCT structure_id, donor_atom_id, acceptor_atom_id FROM (
+  SELECT d.structure_id, d.atom_id AS donor_atom_id, a.atom_id AS acceptor_atom_id, {dh} AS dh, {ha} AS ha,
+    (d.x-h.x)*(a.x-h.x)+(d.y-h.y)*(a.y-h.y)+(d.z-h.z)*(a.z-h.z) AS dp
+  FROM fx_protons h JOIN fx_bonds b ON (b.b = h.atom_id OR b.a = h.atom_id) AND h.element = 'H'
+    JOIN fx_protons d ON d.atom_id = CASE WHEN b.b = h.atom_id THEN b.a ELSE b.b END AND d.element IN ('N','O','S')
+    JOIN fx_protons a ON a.element IN ('N','O','S') AND a.chain_id <> d.chain_id AND {near}
+  WHERE d.chain_id IN ('A','B') AND a.chain_id IN ('A','B')) WHERE dh > 0 AND ha > 0
+    AND degrees(acos(greatest(-1, least(1, dp / (dh * ha))))) >= 120)""".format(dh=dist("d", "h"), ha=dist("a", "h"), near=close("a", "h", 2.5))
+
+
+@query("m5_hydrogen_bonds", sql("SELECT * FROM hbonds", SQL_PROTONS, SQL_BONDS, HBONDS))
+def hydrogen_bonds(spark, sf_dir):
+    found = I.hbonds(fx_protons(spark, sf_dir), fx_bonds(spark, sf_dir), "A", "B")
+    return found.select("structure_id", "donor_atom_id", "acceptor_atom_id")
+
+
 @query(
     "m19_sidechains",
     sql(f"""SELECT structure_id, atom_id FROM fx_atoms a WHERE res_name IN {AMINO} AND (atom_name NOT IN ('N','CA','C','O','OXT')
