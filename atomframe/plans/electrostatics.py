@@ -25,7 +25,8 @@ from ..scaling import by_key, running_index, top_k
 MAX_POINTS = 12_000_000
 BRICK = 8  # points per brick edge
 CHUNK = 512  # charges per chunk
-SPREAD = 16  # copies of a chunk, so that its bricks split over as many keys
+SPREAD = 64  # copies of a chunk at most, so that its bricks split over as many keys
+BRICKS_PER_COPY = 64
 AXES = "xyz"
 
 
@@ -103,13 +104,12 @@ def _chunks(charges: DataFrame) -> DataFrame:
 def _tile(kappa: float):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def potential(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        steps = np.arange(BRICK, dtype=float)
         for batch in batches:
             out = []
-            for ox, oy, oz, hx, hy, hz, qx, qy, qz, q in zip(*batch):
+            for ox, oy, oz, mx, my, mz, hx, hy, hz, qx, qy, qz, q in zip(*batch):
                 dx, dy, dz = (
-                    np.square((o + h * steps)[:, None] - np.asarray(p))
-                    for o, h, p in ((ox, hx, qx), (oy, hy, qy), (oz, hz, qz))
+                    np.square((o + h * np.arange(m))[:, None] - np.asarray(p))
+                    for o, m, h, p in ((ox, mx, hx, qx), (oy, my, hy, qy), (oz, mz, hz, qz))
                 )
                 square = dx[:, None, None] + dy[None, :, None] + dz[None, None, :]
                 distance = np.sqrt(np.maximum(square, 1.0))
@@ -142,28 +142,40 @@ def coulomb_grid(
     meta = axes.withColumn("method", F.lit(method))
     bricks = _bricks(axes)
     chunks = _chunks(charges)
-    counts = chunks.groupBy("structure_id").agg((F.max("chunk") + 1).alias("_chunks"))
-    salt = F.pmod(F.xxhash64("bi", "bj", "bk"), F.lit(SPREAD)).cast("int")
+    # only a grid of many bricks needs several copies of its charges
+    bricks_in = F.lit(1)
+    for c in AXES:
+        bricks_in = bricks_in * F.ceil(F.col(f"n{c}") / BRICK)
+    copies = F.least(F.lit(SPREAD), F.greatest(F.lit(1), F.floor(bricks_in / BRICKS_PER_COPY))).cast("int")
+    plan = axes.select("structure_id", copies.alias("_copies"))
+    charged = charges.filter(F.col("charge") != 0).groupBy("structure_id").agg(F.count("*").alias("_q"))
+    counts = charged.select("structure_id", F.ceil(F.col("_q") / CHUNK).cast("long").alias("_chunks"))
     # brick rows carry no points yet, so a copy per chunk is a few dozen bytes
-    wanted = bricks.join(counts, "structure_id").withColumn(
+    wanted = bricks.join(counts, "structure_id").join(plan, "structure_id").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
     )
-    spread = chunks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    salt = F.pmod(F.xxhash64("bi", "bj", "bk"), F.col("_copies")).cast("int")
+    spread = chunks.join(plan, "structure_id").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+    ).drop("_copies")
     key = ["structure_id", "chunk", "_salt"]
     tiles = by_key(wanted.withColumn("_salt", salt), key).join(spread, key)
     start = [F.col(f"o{c}") + F.col(f"h{c}") * F.col(b) * BRICK for c, b in zip(AXES, ("bi", "bj", "bk"))]
+    # bricks at the far sides of a grid are thinner
+    for c, b in zip(AXES, ("bi", "bj", "bk")):
+        tiles = tiles.withColumn(f"m{c}", F.least(F.lit(BRICK), F.col(f"n{c}").cast("int") - F.col(b) * BRICK))
     kappa = screening(ionic, dielectric, temperature)
-    part = _tile(kappa)(*start, "hx", "hy", "hz", "qx", "qy", "qz", "q")
+    part = _tile(kappa)(*start, "mx", "my", "mz", "hx", "hy", "hz", "qx", "qy", "qz", "q")
     partial = tiles.select(
-        "structure_id", "bi", "bj", "bk", "nx", "ny", "nz", F.posexplode(part).alias("_p", "_v")
+        "structure_id", "bi", "bj", "bk", "my", "mz", F.posexplode(part).alias("_p", "_v")
     )
+    plane = F.col("my") * F.col("mz")
     cells = {
-        "i": F.col("bi") * BRICK + F.floor(F.col("_p") / (BRICK * BRICK)).cast("int"),
-        "j": F.col("bj") * BRICK + F.floor(F.col("_p") / BRICK).cast("int") % BRICK,
-        "k": F.col("bk") * BRICK + F.col("_p") % BRICK,
+        "i": F.col("bi") * BRICK + F.floor(F.col("_p") / plane).cast("int"),
+        "j": F.col("bj") * BRICK + F.floor(F.col("_p") / F.col("mz")).cast("int") % F.col("my"),
+        "k": F.col("bk") * BRICK + F.col("_p") % F.col("mz"),
     }
-    points = partial.select("structure_id", *[v.alias(n) for n, v in cells.items()], "nx", "ny", "nz", "_v")
-    inside = points.filter("i < nx AND j < ny AND k < nz")
+    inside = partial.select("structure_id", *[v.alias(n) for n, v in cells.items()], "_v")
     summed = inside.groupBy("structure_id", "i", "j", "k").agg(F.sum("_v").alias("_sum"))
     scale = F.lit(kt_scale(dielectric, temperature))
     return meta, summed.select("structure_id", "i", "j", "k", (F.col("_sum") * scale).alias("value"))

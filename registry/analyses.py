@@ -547,12 +547,26 @@ def grid_summary(spark, sf_dir):
     return out.select("structure_id", "nx", "ny", "nz", "ox", "oy", "oz", "min", "max")
 
 
-@query("m16_electrostatics")
+STATE_POLYMER = f"""poly AS (SELECT * FROM fx_atoms WHERE altloc_id = '.' AND res_name IN {AMINO} UNION ALL
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY structure_id, chain_id, res_id, ins_code, atom_name
+    ORDER BY occupancy DESC, altloc_id, atom_id) AS rn FROM fx_atoms WHERE altloc_id <> '.' AND res_name IN {AMINO}) WHERE rn = 1)"""
+
+
+@query(
+    "m16_electrostatics",
+    sql(f"""SELECT structure_id, chain_id, res_id, side, round(p, 6) AS potential FROM (
+      SELECT *, 'negative' AS side, row_number() OVER (PARTITION BY structure_id ORDER BY p, chain_id, res_id) AS place FROM r
+      UNION ALL SELECT *, 'positive', row_number() OVER (PARTITION BY structure_id ORDER BY p DESC, chain_id, res_id) FROM r) WHERE place <= 50""",
+        *FIELD_PARTS, STATE_POLYMER, SAMPLED.replace("FROM fx_atoms a JOIN", "FROM poly a JOIN"),
+        f"r AS (SELECT {RESKEY}, avg(potential) AS p FROM sampled GROUP BY {RESKEY} HAVING avg(potential) IS NOT NULL)"),
+)
 def electrostatics(spark, sf_dir):
     found = EL.electrostatics(
         fx_atoms(spark, sf_dir), fx_charges(spark, sf_dir), spacing=SPACING, padding=PADDING
     )
-    return found["extremes"].join(found["meta"].select("structure_id", "method"), "structure_id")
+    return rounded(found["extremes"], 6, "potential").select(
+        "structure_id", "chain_id", "res_id", "side", "potential"
+    )
 
 
 # ---------------------------------------------------------------- camera paths

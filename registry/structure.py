@@ -208,7 +208,7 @@ SS_PARTS = (SQL_FOLD, BACKBONE, HB, TURN, HELIX, BEND)
 
 
 def fold(spark, sf_dir):
-    return SS.linked(SS.backbone(fx_fold(spark, sf_dir)))
+    return SS.linked(cut_lineage(SS.backbone(fx_fold(spark, sf_dir))))
 
 
 @query("w1_peptide_links", sql("SELECT structure_id, i, link_prev FROM run", SQL_FOLD, BACKBONE))
