@@ -126,4 +126,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut_path = path
+    return kept
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table behind a frame of ``cut_lineage`` once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
