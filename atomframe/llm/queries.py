@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding
+from . import mixing, packing, sharding, warc
 
 QUERIES = {
     "op1_mixture_draws": mixing.op1_mixture_draws,
     "op4_stratified_shards": sharding.op4_stratified_shards,
     "op5_length_buckets": packing.op5_length_buckets,
+    "op9_warc_members": warc.op9_warc_members,
 }
 ORACLES = {
     "op1_mixture_draws": mixing.SQL,
     "op4_stratified_shards": sharding.SQL,
+    "op9_warc_members": warc.SQL,
 }
