@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, warc
+from . import mixing, packing, sharding, token_files, warc
 
 QUERIES = {
     "op1_mixture_draws": mixing.op1_mixture_draws,
     "op4_stratified_shards": sharding.op4_stratified_shards,
     "op5_length_buckets": packing.op5_length_buckets,
     "op9_warc_members": warc.op9_warc_members,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
     "op1_mixture_draws": mixing.SQL,
