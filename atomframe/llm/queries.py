@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, token_files, warc
+from . import mixing, packing, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_mixture_draws": mixing.op1_mixture_draws,
+    "op2_quality_discriminant": quality.op2_quality_discriminant,
     "op4_stratified_shards": sharding.op4_stratified_shards,
     "op5_length_buckets": packing.op5_length_buckets,
     "op9_warc_members": warc.op9_warc_members,
