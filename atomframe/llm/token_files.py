@@ -11,10 +11,10 @@ Where a document starts in the whole corpus is its start in the file plus the si
 of the files before it: a manifest of one row per file, computed from the length
 column alone. So the ids are written once, in the same pass that makes them.
 
-Texts are cut at spaces and line ends and each distinct word is encoded once per
-worker while its cache has room; white space is dropped by this kind of vocabulary,
-so the ids are those of the whole text (``word_wise`` checks the tokenizer for it
-and whole texts are encoded otherwise).
+The library encodes each distinct word once per worker while a cache has room: this
+kind of vocabulary drops white space and capitals and sets stops apart, so a text's
+ids are those of its words (``word_wise`` asks the tokenizer, and whole texts are
+encoded otherwise).
 
 Defined results: a null or empty text has the end id only; documents of the same id
 follow each other ordered by their text; null ids come first; an empty table gives
@@ -23,6 +23,7 @@ no rows; further columns of the input are ignored whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +45,15 @@ PAGE_BYTES = 256 << 10
 #: Bytes of text for one file.
 FILE_BYTES = 64 << 20
 #: Distinct words whose ids a worker keeps; longer words than LONG are not kept.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 LONG = 64
-#: Cuts that every rule for white space agrees on.
-_CUT = re.compile(r"[ \t\n\r]+")
+#: Words encoded in one call, and what stands between them.
+TOGETHER = 500
+MARK = "|"
+STOP = "\n"
+ENDINGS = (".", ",")
+#: Characters whose lower case does not depend on their neighbours and that need no composing.
+_SIMPLE = re.compile(r"[\x00-\u017F]*")
 FILE_SCHEMA = "doc_id long, n_tokens int, start_in_file long, ids array<int>"
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -56,42 +62,90 @@ class WordEncoder:
     """Ids of texts as little-endian bytes, word by word where the tokenizer allows it."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.word_wise = self._drops_space()
         self.cache: dict[str, bytes] = {}
+        self.mark = self._ids([MARK])[0]
+        self.word_wise = self._is_word_wise()
 
-    def _drops_space(self) -> bool:
-        whole = self.tokenizer.encode("ab  c\n\td", add_special_tokens=False).ids
-        parts = self.tokenizer.encode_batch(["ab", "c", "d"], add_special_tokens=False)
-        return whole == [i for p in parts for i in p.ids]
+    def _is_word_wise(self) -> bool:
+        """Whether white space and a final stop only end a word, and capitals do not count."""
+        whole = self._ids(["Ab  c,\n\td."])[0]
+        parts = self._ids(["ab", "c", ",", "d", "."])
+        return whole == b"".join(parts) and len(self.mark) == 4
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.word_wise:
-            return [self._ids([t])[0] for t in texts]
-        cut = [_CUT.split(t) for t in texts]
-        cache = self.cache
-        new = list({w for words in cut for w in words if w not in cache})
-        known = dict(zip(new, self._ids(new))) if new else {}
-        if len(cache) + len(known) > CACHE_WORDS:
-            cache.clear()
-        look = {**known}
-        out = []
-        for words in cut:
-            out.append(b"".join([cache[w] if w in cache else look[w] if w in look else self._again(w, look) for w in words]))
-        for w, ids in known.items():
-            if len(w) <= LONG and len(cache) < CACHE_WORDS:
-                cache[w] = ids
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words made of letters only: encoded together, a mark that has one id between them."""
+        out: list[bytes] = []
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups])):
+            flat = np.frombuffer(ids, dtype="<u4")
+            cuts = (np.flatnonzero(flat == np.frombuffer(self.mark, dtype="<u4")[0]) * 4).tolist()
+            found = [ids[lo:hi] for lo, hi in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)])]
+            out += found if len(found) == len(group) else self._ids(group)
         return out
 
-    def _again(self, word: str, look: dict[str, bytes]) -> bytes:
-        look[word] = self._ids([word])[0]
-        return look[word]
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the cache as far as it has them."""
+        found = list(map(self.cache.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        plain = [w for w in new if w.isalpha()]
+        other = [w for w in new if not w.isalpha()]
+        known = dict(zip(plain, self._words(plain))) | dict(zip(other, self._ids(other)))
+        # Words seen first are mostly the frequent ones, so a full cache keeps them.
+        if len(self.cache) < CACHE_WORDS:
+            self.cache.update((w, ids) for w, ids in known.items() if len(w) <= LONG)
+        return [known[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Words of texts, each text ended by STOP: number of the word, words up to each text's end, the distinct words."""
+        words = pc.split_pattern(pa.array([f"{t} {STOP}" for t in texts], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        return coded.indices.to_numpy(), words.offsets.to_numpy()[1:], coded.dictionary.to_pylist()
+
+    def _gather(self, cut: tuple[np.ndarray, np.ndarray, list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cut texts, ``end_id`` for each STOP, and the number of ids of each text."""
+        number, ends, words = cut
+        ids = self._look_up([w for w in words if w != STOP])
+        if STOP in words:
+            ids.insert(words.index(STOP), np.array([end_id], dtype="<u4").tobytes())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first = np.cumsum(size) - size
+        n = size[number]
+        upto = np.cumsum(n)
+        at = np.repeat(first[number] - (upto - n), n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(ids), dtype="<u4")[at], np.diff(upto[ends - 1], prepend=0)
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end_id`` after each, and the number of ids of each text."""
+        if not self.word_wise:
+            parts = [np.append(np.frombuffer(self._ids([t])[0], "<u4"), end_id) for t in texts]
+            return np.concatenate([np.empty(0, "<u4"), *parts]).astype("<u4"), np.array([len(p) for p in parts], dtype=np.int64)
+        plain = []
+        for t in texts:
+            for space in "\n\t\r":
+                t = t.replace(space, " ")
+            plain.append(t.lower() if (t.isascii() or _SIMPLE.fullmatch(t)) and "<|" not in t else t)
+        # Stops become words of their own ...
+        cut = self._cut([t if ",." in t or ".," in t else f"{t} ".replace(". ", " . ").replace(", ", " , ") for t in plain])
+        flat, sizes = self._gather(cut, end_id)
+        # ... unless another sign stands before them: those two belong together, and such texts are cut at spaces only.
+        number, ends, words = cut
+        joined = np.array([w not in ENDINGS and w != STOP and w != "" and not w[-1].isalnum() for w in words])
+        if joined.any():
+            hit = np.diff(np.concatenate([[0], np.cumsum(joined[number])])[ends], prepend=0) > 0
+            again, again_sizes = self._gather(self._cut([t for t, h in zip(plain, hit) if h]), end_id)
+            parts, redone = np.split(flat, np.cumsum(sizes)[:-1]), iter(np.split(again, np.cumsum(again_sizes)[:-1]))
+            parts = [next(redone) if h else part for part, h in zip(parts, hit)]
+            flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+        return flat, sizes
 
 
 def encoder(path: str) -> WordEncoder:
@@ -106,12 +160,9 @@ def _encode_partition(path: str):
         for batch in batches:
             ids_of, texts = batch.column(0), batch.column(1)
             for lo, hi in _slices(texts):
-                words = tool.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
-                sizes = np.array([len(w) // 4 + 1 for w in words], dtype=np.int64)
-                end = np.array([END_ID], dtype="<u4").tobytes()
-                flat = np.frombuffer(end.join([*words, b""]), dtype="<i4")
+                flat, sizes = tool.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], END_ID)
                 ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [ids_of.slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(start + ends - sizes), lists],
                     names=["doc_id", "n_tokens", "start_in_file", "ids"],
@@ -121,9 +172,9 @@ def _encode_partition(path: str):
     return work
 
 
-def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes of text, at least one row."""
-    sizes = np.fromiter((0 if s is None else s for s in pa.compute.binary_length(texts).to_pylist()), dtype=np.int64, count=len(texts))
+    sizes = np.fromiter((0 if s is None else s for s in pc.binary_length(texts).to_pylist()), dtype=np.int64, count=len(texts))
     lo, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > most:
