@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, token_files, warc
+from . import mixing, packing, quality, sharding, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mixture_draws": mixing.op1_mixture_draws,
     "op2_quality_discriminant": quality.op2_quality_discriminant,
+    "op3_toxicity_trees": toxicity.op3_toxicity_trees,
     "op4_stratified_shards": sharding.op4_stratified_shards,
     "op5_length_buckets": packing.op5_length_buckets,
     "op9_warc_members": warc.op9_warc_members,

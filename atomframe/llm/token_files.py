@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scaling import checkpoint_dir, cut_lineage
-from .common import table
+from .common import small_batches, table
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -45,7 +45,7 @@ PAGE_BYTES = 256 << 10
 #: Bytes of text for one file.
 FILE_BYTES = 64 << 20
 #: Distinct words whose ids a worker keeps; longer words than LONG are not kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LONG = 64
 #: Words encoded in one call, and what stands between them.
 TOGETHER = 500
@@ -172,7 +172,7 @@ def _encode_partition(path: str):
     return work
 
 
-def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes of text, at least one row."""
     sizes = np.fromiter((0 if s is None else s for s in pc.binary_length(texts).to_pylist()), dtype=np.int64, count=len(texts))
     lo, held = 0, 0
@@ -232,6 +232,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY))
-    back = read_tokens(spark, folder)
-    return back.mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark, 2000):
+        write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY))
+        back = read_tokens(spark, folder)
+        return cut_lineage(back.mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long"))
