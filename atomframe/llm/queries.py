@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, packing, quality, sharding, token_files, toxicity, warc
+from . import embeddings, mixing, near_dups, packing, quality, sharding, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mixture_draws": mixing.op1_mixture_draws,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity_trees": toxicity.op3_toxicity_trees,
     "op4_stratified_shards": sharding.op4_stratified_shards,
     "op5_length_buckets": packing.op5_length_buckets,
+    "op6_lattice_neighbours": embeddings.op6_lattice_neighbours,
     "op8_bayes_minhash": near_dups.op8_bayes_minhash,
     "op9_warc_members": warc.op9_warc_members,
     "op10_token_files": token_files.op10_token_files,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_mixture_draws": mixing.SQL,
     "op4_stratified_shards": sharding.SQL,
+    "op6_lattice_neighbours": embeddings.SQL,
     "op8_bayes_minhash": near_dups.SQL,
     "op9_warc_members": warc.SQL,
 }
