@@ -42,10 +42,10 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Bytes of text for one file.
-FILE_BYTES = 64 << 20
+#: Bytes of input for one file.
+FILE_BYTES = 32 << 20
 #: Distinct words whose ids a worker keeps; longer words than LONG are not kept.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 LONG = 64
 #: Words encoded in one call, and what stands between them.
 TOGETHER = 500
@@ -63,9 +63,14 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words in lower case the same model without the rules that cut and lower a text.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         self.cache: dict[str, bytes] = {}
         self.mark = self._ids([MARK])[0]
         self.word_wise = self._is_word_wise()
@@ -74,17 +79,18 @@ class WordEncoder:
         """Whether white space and a final stop only end a word, and capitals do not count."""
         whole = self._ids(["Ab  c,\n\td."])[0]
         parts = self._ids(["ab", "c", ",", "d", "."])
-        return whole == b"".join(parts) and len(self.mark) == 4
+        same = [self._ids([w], tool)[0] for tool in (self.tokenizer, self.bare) for w in ("stra\u00dfe", "\u00e9t\u00e9 | x")]
+        return whole == b"".join(parts) and len(self.mark) == 4 and same[:2] == same[2:]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _ids(self, texts: list[str], tool=None) -> list[bytes]:
+        found = (tool or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words made of letters only: encoded together, a mark that has one id between them."""
+        """Ids of lower-case words made of letters only: encoded together, a mark that has one id between them."""
         out: list[bytes] = []
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups])):
+        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups], self.bare)):
             flat = np.frombuffer(ids, dtype="<u4")
             cuts = (np.flatnonzero(flat == np.frombuffer(self.mark, dtype="<u4")[0]) * 4).tolist()
             found = [ids[lo:hi] for lo, hi in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)])]
@@ -95,8 +101,9 @@ class WordEncoder:
         """Ids of distinct words, from the cache as far as it has them."""
         found = list(map(self.cache.get, words))
         new = [w for w, ids in zip(words, found) if ids is None]
-        plain = [w for w in new if w.isalpha()]
-        other = [w for w in new if not w.isalpha()]
+        simple = [w.isalpha() and (w.isascii() or _SIMPLE.fullmatch(w) is not None) and w.islower() for w in new]
+        plain = [w for w, s in zip(new, simple) if s]
+        other = [w for w, s in zip(new, simple) if not s]
         known = dict(zip(plain, self._words(plain))) | dict(zip(other, self._ids(other)))
         # Words seen first are mostly the frequent ones, so a full cache keeps them.
         if len(self.cache) < CACHE_WORDS:
@@ -190,9 +197,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, file_bytes:
 
     ``vocabulary``: the path of a tokenizer file that every executor can read.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    files = max(1, -(-size // file_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id", F.crc32("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The planner's estimate: the size of the files read. Without one, as many files as shuffle partitions.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = -(-size // file_bytes) if size < 2**60 else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(max(1, files), "doc_id", F.octet_length("text"))
     rows = rows.sortWithinPartitions("doc_id", "text")
     encoded = rows.mapInArrow(_encode_partition(vocabulary), FILE_SCHEMA)
     writer = encoded.write.option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP_BYTES)
