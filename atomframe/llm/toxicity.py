@@ -23,14 +23,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scaling import cut_lineage
@@ -45,7 +42,9 @@ LEAST_DOCS = 3
 #: Least log odds of a term: a common stem that is merely more frequent in toxic texts is no sign.
 LEAST_ODDS = 3.0
 STEMS = (4, 5, 6)
-TREES, DEPTH = 30, 3
+TREES, DEPTH, BINS = 60, 3, 48
+#: Step of a tree, and curvature added to every leaf.
+RATE, SMOOTH = 0.15, 1.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 NEAR = 6
@@ -117,108 +116,205 @@ def find(word: str, lexicon: dict[str, tuple[float, float]]) -> tuple[float, flo
     return max((e for e in entries if e is not None), default=(0.0, 0.0), key=lambda e: e[1])
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, tuple[float, float]]:
-    """Terms that favour toxic documents: {term: (log odds, evidence)}, at most ``LEXICON`` of them.
+def _stems(words: Column, n: int) -> Column:
+    long = F.filter(words, lambda w: F.length(w) >= n)
+    return F.transform(long, lambda w: F.concat(F.lit(f"{n}:"), F.substring(w, 1, n)))
 
-    ``sample`` has (text, label). A term is a word of three letters or more, or "n:stem" of its first n letters.
+
+def learn_lexicons(sample: DataFrame) -> list[dict[str, tuple[float, float]]]:
+    """Lexicons {term: (log odds, evidence)} of half 0, of half 1 and of both; ``sample`` has (text, label, half).
+
+    A term is a word of three letters or more, or "n:stem" of its first n letters. Terms
+    are counted by document on the cluster; at most ``LEXICON`` of the best are gathered.
     """
-    counts = dict(sample.groupBy("label").count().collect())
-    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    rows = {(r["half"], r["label"]): r["n"] for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: F.length(w) >= 3)
-    stems = [
-        F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.lit(f"{n}:"), F.substring(w, 1, n)))
-        for n in STEMS
-    ]
-    terms = sample.select("label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("term"))
-    sums = terms.groupBy("term").agg(F.sum("label").alias("in_toxic"), F.sum(1 - F.col("label")).alias("in_clean"))
-    odds = F.log((F.col("in_toxic") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("in_clean") + 0.5) / F.lit(clean + 1.0))
-    kept = sums.filter(F.col("in_toxic") >= LEAST_DOCS).withColumn("odds", odds).withColumn("evidence", F.col("in_toxic") * F.col("odds"))
-    best = kept.filter((F.col("evidence") >= TIERS[0]) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("evidence"), "term").limit(LEXICON).collect()
-    return {r["term"]: (float(r["odds"]), float(r["evidence"])) for r in best}
+    terms = sample.select("half", "label", F.explode(F.array_distinct(F.concat(words, *[_stems(words, n) for n in STEMS]))).alias("term"))
+    cell = lambda half, label: F.count_if((F.col("half") == half) & (F.col("label") == label)).alias(f"n{half}{label}")
+    counts = terms.groupBy("term").agg(*[cell(h, y) for h in (0, 1) for y in (0, 1)])
+    n = lambda half, label: float(rows.get((half, label), 0))
+    toxic, clean = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
+    odds = F.log((toxic + 0.5) / F.lit(n(0, 1) + n(1, 1) + 1)) - F.log((clean + 0.5) / F.lit(n(0, 0) + n(1, 0) + 1))
+    best = counts.filter((toxic >= LEAST_DOCS) & (odds >= LEAST_ODDS / 2) & (toxic * odds >= TIERS[0]))
+    best = best.orderBy(F.desc(toxic * odds), "term").limit(LEXICON).collect()
+
+    def lexicon(halves: tuple[int, ...]) -> dict[str, tuple[float, float]]:
+        out = {}
+        for r in best:
+            seen = [sum(r[f"n{h}{y}"] for h in halves) for y in (0, 1)]
+            share = [(seen[y] + 0.5) / (sum(n(h, y) for h in halves) + 1) for y in (0, 1)]
+            value = float(np.log(share[1] / share[0]))
+            if seen[1] >= LEAST_DOCS and value >= LEAST_ODDS and seen[1] * value >= TIERS[0]:
+                out[r["term"]] = (value, seen[1] * value)
+        return out
+
+    return [lexicon((0,)), lexicon((1,)), lexicon((0, 1))]
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A complete binary tree: a feature and a bound for each inner node, a value for each leaf."""
+
+    feature: np.ndarray
+    bound: np.ndarray
+    value: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(DEPTH):
+            node = 2 * node + 1 + (x[rows, self.feature[node]] > self.bound[node])
+        return self.value[node - (2**DEPTH - 1)]
+
+
+def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Tree]]:
+    """Second-order boosting of the logistic loss over binned features: start value and trees."""
+    cuts = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
+    cuts = [np.unique(np.concatenate([c, np.unique(column)[:BINS]])) for c, column in zip(cuts, x.T)]
+    binned = np.stack([np.searchsorted(c, column) for c, column in zip(cuts, x.T)], axis=1)
+    start = float(np.log(y.mean() / (1 - y.mean())))
+    margin, trees = np.full(len(y), start), []
+    inner = 2**DEPTH - 1
+    for _ in range(TREES):
+        p = 1 / (1 + np.exp(-margin))
+        slope, curve = p - y, p * (1 - p)
+        node = np.zeros(len(y), dtype=np.int64)
+        feature, bound = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
+        for k in range(inner):
+            here = np.flatnonzero(node == k)
+            best = 1e-6
+            total = slope[here].sum(), curve[here].sum()
+            own = total[0] ** 2 / (total[1] + SMOOTH)
+            chosen = None
+            for f in range(x.shape[1]):
+                width = len(cuts[f]) + 1
+                g = np.cumsum(np.bincount(binned[here, f], slope[here], width))[:-1]
+                h = np.cumsum(np.bincount(binned[here, f], curve[here], width))[:-1]
+                if not len(g):
+                    continue
+                gain = g**2 / (h + SMOOTH) + (total[0] - g) ** 2 / (total[1] - h + SMOOTH) - own
+                at = int(gain.argmax())
+                if gain[at] > best:
+                    best, chosen = gain[at], (f, at)
+            if chosen:
+                feature[k], bound[k] = chosen[0], cuts[chosen[0]][chosen[1]]
+                node[here] = 2 * k + 1 + (binned[here, chosen[0]] > chosen[1])
+            else:
+                node[here] = 2 * k + 1
+        leaf = node - inner
+        value = -RATE * np.bincount(leaf, slope, inner + 1) / (np.bincount(leaf, curve, inner + 1) + SMOOTH)
+        trees.append(Tree(feature, bound, value))
+        margin = margin + value[leaf]
+    return start, trees
+
+
+def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and heights of the non-decreasing curve nearest to ``y``, by pooling neighbours that fall."""
+    order = np.argsort(p, kind="stable")
+    pools: list[list[float]] = []
+    for x, target in zip(p[order], y[order]):
+        pools.append([float(target), 1.0, float(x), float(x)])
+        while len(pools) > 1 and (pools[-2][0] >= pools[-1][0] or pools[-2][3] == pools[-1][2]):
+            mean, n, _, high = pools.pop()
+            last = pools[-1]
+            last[0], last[1], last[3] = (last[0] * last[1] + mean * n) / (last[1] + n), last[1] + n, high
+    knots = np.array([v for pool in pools for v in pool[2:]])
+    return knots, np.repeat([pool[0] for pool in pools], 2)
 
 
 @dataclass(frozen=True)
 class Toxicity:
+    """The fitted model; without trees every text gets ``share``."""
+
     lexicon: dict[str, tuple[float, float]]
-    trees: GBTClassificationModel | None
-    curve: IsotonicRegressionModel | None
+    start: float
+    trees: list[Tree]
+    knots: np.ndarray
+    heights: np.ndarray
     share: float
 
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        if not self.trees:
+            return np.full(len(rows), self.share)
+        p = self.raw(rows)
+        return (1 - BLEND) * np.interp(p, self.knots, self.heights) + BLEND * p
 
-def featurer(lexicon: dict[str, tuple[float, float]]):
-    """A function from a text column to its feature array."""
+    def raw(self, rows: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.start + sum(t.predict(rows) for t in self.trees))))
 
-    @F.pandas_udf("array<double>")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            known: dict[str, tuple[float, float]] = {}
-            yield pd.Series([features(t or "", lexicon, known) for t in texts])
 
-    return measure
+N_FEATURES = len(features("", {}, {}))
 
 
-def _measured(sample: DataFrame, lexicon: dict) -> DataFrame:
-    x = array_to_vector(featurer(lexicon)(F.col("text")))
-    return sample.select(F.col("label").cast("double").alias("label"), x.alias("x"))
+def _salted(hashes: str, seed: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
 
 
 def one_of_copies(sample: DataFrame) -> DataFrame:
     """A bounded sample less near copies: of rows that share a smallest word-triple hash, the lowest id stays.
 
     A toxic text that was copied many times would else make all its words look toxic.
-    Each of several hashes thins out what the one before it left.
+    Each of several hashes thins out what the one before it left. The ids that stay are
+    at most as many as the sample has, so they are broadcast.
     """
     words = F.split(F.trim(F.lower("text")), r"\s+")
     triples = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3)))
     triples = F.when(F.size(words) >= 3, triples).otherwise(F.array(F.xxhash64(F.coalesce("text", F.lit("")))))
-    rows = cut_lineage(sample.withColumn("triples", triples))
+    rows = sample.select("doc_id", "label", triples.alias("triples"))
+    rows = cut_lineage(rows.select("doc_id", "label", *[_salted("triples", s).alias(f"copy{s}") for s in COPY_SEEDS]))
     for seed in COPY_SEEDS:
-        key = F.array_min(F.transform("triples", lambda h, seed=seed: F.xxhash64(h, F.lit(seed))))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "label"))
-        rows = rows.withColumn("key", key).withColumn("place", place).filter("place = 1").drop("place")
-    return rows.drop("triples", "key")
+        place = F.row_number().over(Window.partitionBy(f"copy{seed}").orderBy("doc_id", "label"))
+        rows = rows.withColumn("place", place).filter("place = 1").drop("place")
+    kept = rows.select(F.col("doc_id").alias("stays")).distinct()
+    return sample.join(F.broadcast(kept), F.col("doc_id") == F.col("stays"), "left_semi")
+
+
+def _measured(sample: DataFrame, lexicons: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and parts of the sample; each half measured by the lexicon of the other one."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [features(t or "", lexicons[1 - h if h < 2 else 2], {}) for t, h in zip(batch["text"], batch["half"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "half": batch["half"], "x": rows})
+
+    found = sample.mapInPandas(work, "doc_id long, label int, half int, x array<double>").toPandas()
+    found = found.sort_values(["doc_id", "label"])
+    rows = np.array(found["x"].tolist(), dtype=float).reshape(-1, N_FEATURES)
+    return rows, found["label"].to_numpy(dtype=int), found["half"].to_numpy(dtype=int)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Toxicity:
-    sample = one_of_copies(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, bound))
+    sample = cut_lineage(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, bound))
     # Dealt by id into two halves of 40 % and a spare 20 %.
     part = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(5))
-    sample = cut_lineage(sample.withColumn("part", part))
-    counts = {(r["part"] // 2, r["label"]): r["n"] for r in sample.groupBy((F.floor(F.col("part") / 2) * 2).alias("part"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = sum(counts.values())
-    share = sum(n for (_, label), n in counts.items() if label == 1) / rows if rows else 0.0
-    if any(not counts.get((k, label)) for k in (0, 1, 2) for label in (0, 1)):
-        return Toxicity({}, None, None, share)
-    # Each half is measured by the lexicon of the other; later texts by the lexicon of both.
-    halves = [sample.filter("part < 2"), sample.filter("part IN (2, 3)")]
-    crossed = [_measured(halves[1 - i], learn_lexicon(halves[i])) for i in (0, 1)]
-    grown = cut_lineage(crossed[0].unionByName(crossed[1]))
-    lexicon = learn_lexicon(sample.filter("part < 4"))
-    trees = GBTClassifier(
-        featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=SEED, minInstancesPerNode=3, cacheNodeIds=False
-    ).fit(grown)
-    spare = trees.transform(_measured(sample.filter("part = 4"), lexicon))
-    spare = spare.select("label", vector_to_array("probability")[1].alias("p"))
-    curve = IsotonicRegression(featuresCol="p", labelCol="label").fit(cut_lineage(spare))
-    return Toxicity(lexicon, trees, curve, share)
-
-
-def scored(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """(row, score): ``row`` is a struct of all columns of ``docs``, so none can clash."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    if model.trees is None or model.curve is None:
-        return docs.select(row, F.lit(model.share).alias("score"))
-    x = array_to_vector(featurer(model.lexicon)(F.col("text"))).alias("x")
-    found = model.trees.transform(docs.select(row, x)).select("row", vector_to_array("probability")[1].alias("p"))
-    curved = model.curve.transform(found)
-    score = (1 - BLEND) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))) + BLEND * F.col("p")
-    return curved.select("row", score.alias("score"))
+    sample = cut_lineage(one_of_copies(sample).withColumn("half", F.floor(part / 2).cast("int")))
+    lexicons = learn_lexicons(sample.filter("half < 2"))
+    x, y, half = _measured(sample, lexicons)
+    fit, spare = half < 2, half == 2
+    share = float(y.mean()) if len(y) else 0.0
+    none = np.zeros(0)
+    if any(len(np.unique(y[part])) < 2 for part in (fit, spare)):
+        return Toxicity({}, 0.0, [], none, none, share)
+    model = Toxicity(lexicons[2], *boost(x[fit], y[fit]), none, none, share)
+    return replace(model, **dict(zip(("knots", "heights"), isotonic(model.raw(x[spare]), y[spare]))))
+
+
+def scorer(model: Toxicity):
+    """A function from a text column to its score column."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            known: dict[str, tuple[float, float]] = {}
+            rows = np.array([features(t or "", model.lexicon, known) for t in texts], dtype=float)
+            yield pd.Series(model.score(rows.reshape(-1, N_FEATURES)))
+
+    return score
 
 
 def op3_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    found = scored(docs, model).select("row.doc_id", "score")
+    found = docs.select("doc_id", scorer(model)(F.col("text")).alias("score"))
     return found.select(
         "doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
