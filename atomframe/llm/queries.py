@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, near_dups, packing, quality, sharding, token_files, toxicity, warc
+from . import embeddings, fingerprints, mixing, near_dups, packing, quality, sharding, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mixture_draws": mixing.op1_mixture_draws,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_stratified_shards": sharding.op4_stratified_shards,
     "op5_length_buckets": packing.op5_length_buckets,
     "op6_lattice_neighbours": embeddings.op6_lattice_neighbours,
+    "op7_imatch_fingerprints": fingerprints.op7_imatch_fingerprints,
     "op8_bayes_minhash": near_dups.op8_bayes_minhash,
     "op9_warc_members": warc.op9_warc_members,
     "op10_token_files": token_files.op10_token_files,

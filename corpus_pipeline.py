@@ -1,22 +1,52 @@
-"""The corpus pipeline: quality, toxicity, near-duplicates, mixing, packing."""
+"""The corpus pipeline: quality, toxicity, near-duplicates, mixing, packing.
+
+Every stage reads what the one before it kept, as written Parquet.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from atomframe.llm import mixing, packing
+from atomframe.llm import mixing, near_dups, packing, quality, toxicity
 from atomframe.scaling import cut_lineage
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(quality.scorer(model)(F.col("text")) >= quality.THRESHOLD)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(toxicity.scorer(model)(F.col("text")) < toxicity.THRESHOLD)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    return near_dups.drop_near_duplicates(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by source weight: a large source in part, a small one more than once."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each drawn document stands in the padded batches."""
     return packing.pack(docs)
 
 
-STAGES = [("mixing", mixed), ("packing", packed)]
+STAGES = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+#: SQL cannot express the trained classifiers; tests/llm checks every stage against a plain version.
 ORACLE_SQL = None
 
 
