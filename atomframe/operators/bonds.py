@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..scaling import cut_lineage, running_index, skew_lookup
+from ..scaling import cut_lineage, running_index
+from .components import component_roots
 from .prep import labelled
 
-MAX_DEPTH = 64
 _UNROLLED = 2
 
 
@@ -105,8 +105,8 @@ def extend(x: DataFrame, bonds: DataFrame, n: int) -> DataFrame:
     one lazy plan; longer ones cut the lineage each round and stop as soon as a
     round finds nothing new.
     """
-    if not (isinstance(n, int) and 1 <= n <= MAX_DEPTH):
-        raise ValueError(f"extend takes a whole number of bonds from 1 to {MAX_DEPTH}, got {n!r}")
+    if not (isinstance(n, int) and n >= 1):
+        raise ValueError(f"extend takes a whole number of bonds from 1 on, got {n!r}")
     where = _where(bonds)
     key = [*where, "atom_id"]
     edges = both_ways(bonds)
@@ -130,32 +130,14 @@ def extend(x: DataFrame, bonds: DataFrame, n: int) -> DataFrame:
 def connected_components(vertices: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
     """Smallest vertex of the component of each vertex, as ``component``.
 
-    ``vertices`` holds ``group`` and v, ``edges`` holds ``group``, src and dst in
-    both directions. Every round takes the smallest label among the neighbours
-    and then jumps to that label's own label, so the rounds grow with the log
-    of the longest chain. Rows sharing one popular label are salted in the jump.
+    ``vertices`` holds ``group`` and v, ``edges`` holds ``group``, src and dst, in one
+    direction or both. Only edges take part in the rounds; see ``component_roots``.
     """
-    edges = cut_lineage(edges.select(*group, "src", "dst"))
-    labels = vertices.select(*group, "v", F.col("v").alias("label"))
-    while True:
-        seen = labels.select(*group, F.col("v").alias("src"), "label")
-        near = edges.join(seen, [*group, "src"]).groupBy(*group, F.col("dst").alias("v"))
-        near = near.agg(F.min("label").alias("_m"))
-        lowered = labels.join(near, [*group, "v"], "left").select(
-            *group, "v", F.col("label").alias("_old"),
-            F.least("label", F.coalesce("_m", "label")).alias("label"),
-        )
-        lowered = cut_lineage(lowered)
-        used = lowered.select(*group, "label").distinct()
-        up = lowered.select(*group, F.col("v").alias("label"), F.col("label").alias("_up"))
-        heads = used.join(up.filter(F.col("_up") < F.col("label")), [*group, "label"])
-        jumped = skew_lookup(lowered, heads, [*group, "label"], "v").select(
-            *group, "v", "_old", F.coalesce("_up", "label").alias("label")
-        )
-        jumped = cut_lineage(jumped)
-        labels = jumped.select(*group, "v", "label")
-        if jumped.filter(F.col("label") != F.col("_old")).isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    end = lambda c: F.struct(*group, F.col(c).alias("v")).alias(c)
+    roots = component_roots(edges.select(end("src"), end("dst")), "src", "dst")
+    roots = roots.select(*[F.col(f"node.{c}").alias(c) for c in (*group, "v")], F.col("root.v").alias("_root"))
+    placed = vertices.select(*group, "v").join(roots, [*group, "v"], "left")
+    return placed.select(*group, "v", F.coalesce("_root", "v").alias("component"))
 
 
 def molecules(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ from ..functions.altloc import normalised_altloc
 from ..scaling import running_index, top_k
 from . import predicates as P
 
-MAX_COPIES = 12
-
 
 def normalise_altloc(atoms: DataFrame) -> DataFrame:
     """One spelling, ``'.'``, for an atom without alternate positions."""
@@ -126,22 +124,23 @@ def apply_transform(atoms: DataFrame, transforms: DataFrame, on: list[str] | Non
 
 
 def expand_assembly(
-    atoms: DataFrame, ops: DataFrame, max_copies: int = MAX_COPIES, chain_column: str = "chain_id"
+    atoms: DataFrame, ops: DataFrame, max_copies: int | None = None, chain_column: str = "chain_id"
 ) -> DataFrame:
     """Biological assemblies: every operator applied to the chains it names.
 
     ``ops`` holds structure_id, op_id, chain_id, the rotation and translation;
     ``chain_column`` is the atom column those chain ids refer to.
-    Copies are numbered from 0 in operator order. A structure with more than
-    ``max_copies`` operators keeps its deposited atoms, as does one with none;
-    ``note`` says which rule applied.
+    Copies are numbered from 0 in operator order. A structure without operators
+    keeps its deposited atoms, as does one with more than ``max_copies`` of them if
+    the caller sets that limit; ``note`` says which rule applied.
     """
     listed = ops.select("structure_id", "op_id").distinct()
     numbered = running_index(
         listed.withColumn("_o", F.col("op_id").cast("long")), ["structure_id"], "_o", "sym_id"
     ).select("structure_id", "op_id", F.col("sym_id").cast("int").alias("sym_id"))
     count = listed.groupBy("structure_id").agg(F.count("*").alias("_n"))
-    usable = ops.join(count, "structure_id").filter(F.col("_n") <= max_copies).drop("_n")
+    within = F.lit(True) if max_copies is None else F.col("_n") <= max_copies
+    usable = ops.join(count, "structure_id").filter(within).drop("_n")
     usable = usable.join(numbered, ["structure_id", "op_id"])
     key = ["structure_id", chain_column]
     moves = usable.withColumnRenamed("chain_id", chain_column)
@@ -151,7 +150,7 @@ def expand_assembly(
     built = bare.join(moves, key).select(
         *keep, "sym_id", *affine(), F.lit("assembly").alias("note")
     )
-    plain = count.filter(F.col("_n") <= max_copies).select("structure_id")
+    plain = count.filter(within).select("structure_id")
     rest = bare.join(plain, "structure_id", "left_anti").join(count, "structure_id", "left")
     kept = rest.select(
         *keep,

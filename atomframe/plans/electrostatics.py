@@ -22,7 +22,6 @@ from ..operators import predicates as P
 from ..operators.prep import resolve_conformers
 from ..scaling import by_key, running_index, top_k
 
-MAX_POINTS = 12_000_000
 BRICK = 8  # points per brick edge
 CHUNK = 512  # charges per chunk
 SPREAD = 64  # copies of a chunk at most, so that its bricks split over as many keys
@@ -31,12 +30,12 @@ AXES = "xyz"
 
 
 def grid_axes(
-    charges: DataFrame, spacing: float = 1.0, padding: float = 10.0, max_points: int = MAX_POINTS,
-    strict: bool = True,
+    charges: DataFrame, spacing: float = 1.0, padding: float = 10.0, max_points: int | None = None
 ) -> DataFrame:
     """Origin, spacing and point counts of a box around each structure's charges.
 
-    A box of more than ``max_points`` is refused (``strict``) or left out.
+    Grids are made in bricks, so any size will do; a caller may have boxes of more
+    than ``max_points`` refused.
     """
     low = [F.min(c).alias(f"lo_{c}") for c in AXES]
     high = [F.max(c).alias(f"hi_{c}") for c in AXES]
@@ -50,8 +49,8 @@ def grid_axes(
     total = F.col("nx") * F.col("ny") * F.col("nz")
     cols = ["structure_id", *[f"{p}{c}" for p in "onh" for c in AXES]]
     sized = box.select(*cols, total.alias("points"))
-    if not strict:
-        return sized.filter(F.col("points") <= max_points)
+    if max_points is None:
+        return sized
     refuse = F.raise_error(
         F.concat(
             F.lit("a grid of "), F.col("points").cast("string"),
@@ -83,7 +82,7 @@ def _points(bricks: DataFrame) -> DataFrame:
 
 
 def grid_points(
-    charges: DataFrame, spacing: float = 1.0, padding: float = 10.0, max_points: int = MAX_POINTS
+    charges: DataFrame, spacing: float = 1.0, padding: float = 10.0, max_points: int | None = None
 ) -> DataFrame:
     """Every grid point: structure_id, i, j, k, x, y, z."""
     points = _points(_bricks(grid_axes(charges, spacing, padding, max_points)))
@@ -127,7 +126,7 @@ def coulomb_grid(
     dielectric: float = WATER_DIELECTRIC,
     ionic: float = IONIC_STRENGTH,
     temperature: float = TEMPERATURE,
-    max_points: int = MAX_POINTS,
+    max_points: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(GRID_META, GRID) of the screened Coulomb potential in kT/e.
 

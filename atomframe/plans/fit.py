@@ -103,6 +103,7 @@ def select_frames(
 ) -> DataFrame:
     """Every ``stride``-th frame, the first ``limit`` of those; atoms named by ``template``.
 
+    Frames are counted by their place in the trajectory, whatever their numbers.
     ``template`` holds traj_id, atom_id and the naming columns. ``strict``
     refuses a frame whose atom count differs from the template's.
     """
@@ -110,9 +111,11 @@ def select_frames(
         raise ValueError(f"stride must be at least 1, got {stride}")
     if limit is not None and limit < 1:
         raise ValueError(f"limit must be at least 1, got {limit}")
-    kept = frames.filter(F.col("frame") % stride == 0)
+    listed = running_index(frames.select("traj_id", "frame").distinct(), ["traj_id"], "frame", "_place")
+    chosen = listed.filter(F.col("_place") % stride == 0)
     if limit is not None:
-        kept = kept.filter(F.col("frame") < stride * limit)
+        chosen = chosen.filter(F.col("_place") < stride * limit)
+    kept = frames.join(chosen.select("traj_id", "frame"), ["traj_id", "frame"], "left_semi")
     if strict:
         sizes = kept.groupBy("traj_id", "frame").agg(F.count("*").alias("n"))
         wanted = template.groupBy("traj_id").agg(F.count("*").alias("want"))

@@ -18,29 +18,42 @@ SUFFIXES = {
 }
 FORMATS = sorted(set(SUFFIXES.values()))
 MAGIC, MAGIC_AT = "4D415020", 209  # "MAP " as hex, 1-based byte
-HEAD, PACKED_HEAD = 2048, 65536
+HEAD, PIECE = 2048, 65536
 STRUCTURE_SUFFIXES = {"pdb": "pdb", "ent": "pdb", "cif": "mmcif", "mmcif": "mmcif"}
 ARCHIVE_ID = r"^[0-9][a-zA-Z0-9]{3}$"
 ACCESSION = r"^[OPQ][0-9][A-Z0-9]{3}[0-9]$|^[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2}$"
 
 
 @F.pandas_udf(T.BinaryType())
-def _unpacked(heads: pd.Series) -> pd.Series:
-    """First bytes of gzip data; null where it does not decompress."""
+def _unpacked(files: pd.Series) -> pd.Series:
+    """First bytes of gzip data; null where any of it does not decompress, its trailers included."""
 
-    def one(head):
+    def one(packed):
+        data, at, head = memoryview(bytes(packed)), 0, b""
         try:
-            return zlib.decompressobj(31).decompress(bytes(head), HEAD)
+            while at < len(data):
+                member = zlib.decompressobj(31)
+                while not member.eof:
+                    piece = member.unconsumed_tail or bytes(data[at : at + PIECE])
+                    if not member.unconsumed_tail:
+                        at += len(piece)
+                    if not piece:
+                        return None
+                    out = member.decompress(piece, PIECE)
+                    head += out[: HEAD - len(head)]
+                at -= len(member.unused_data)
+            return head
         except zlib.error:
             return None
 
-    return heads.map(one)
+    return files.map(one)
 
 
 def _suffix_format(path: Column) -> Column:
     """Format by the last known extension, a trailing .gz not counted."""
     name = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.gz$", ""))
-    words = F.slice(F.split(name, r"\."), 2, 64)
+    parts = F.split(name, r"\.")
+    words = F.slice(parts, 2, F.size(parts))
     table = F.create_map(*[F.lit(v) for item in SUFFIXES.items() for v in item])
     known = F.filter(F.transform(F.reverse(words), lambda w: F.try_element_at(table, w)), lambda v: v.isNotNull())
     return F.get(known, F.lit(0))
@@ -49,8 +62,8 @@ def _suffix_format(path: Column) -> Column:
 def classify_volumes(files: DataFrame, format: str = "auto", strict: bool = False) -> DataFrame:
     """(path, content) to path, format, was_compressed, bytes, problem.
 
-    The magic number beats the text sniff, which beats the extension; only the
-    head of a file is looked at. ``strict`` turns a problem into an error.
+    The magic number beats the text sniff, which beats the extension. Packed files
+    are unpacked to their end, in pieces; of the rest only the head is looked at. ``strict`` turns a problem into an error.
     """
     if format != "auto" and format not in FORMATS:
         raise ValueError(f"unknown format {format!r}; known: {', '.join(FORMATS)}")
@@ -58,7 +71,7 @@ def classify_volumes(files: DataFrame, format: str = "auto", strict: bool = Fals
     packed = F.hex(F.substring(content, 1, 2)) == "1F8B"
     rows = files.select(
         "path", F.length(content).alias("bytes"), packed.alias("was_compressed"),
-        F.substring(content, 1, PACKED_HEAD).alias("_raw"),
+        F.when(packed, content).otherwise(F.substring(content, 1, HEAD)).alias("_raw"),
     )
     plain = rows.filter("NOT was_compressed").withColumn("head", F.substring("_raw", 1, HEAD))
     gz = rows.filter("was_compressed").withColumn("head", _unpacked("_raw"))

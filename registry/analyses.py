@@ -167,6 +167,16 @@ def select_frames(spark, sf_dir):
     return fit.select_frames(frames, template, stride=3, limit=3)
 
 
+@query(
+    "s10_frame_gaps",
+    sql("""SELECT traj_id, 2 * frame + 1 AS frame, atom_id, x, y, z, chain_id, res_id FROM fx_frames WHERE frame IN (0, 3, 6)""", SQL_FRAMES),
+)
+def frame_gaps(spark, sf_dir):
+    frames = fx_frames(spark, sf_dir)
+    template = frames.filter("frame = 0").select("traj_id", "atom_id", "chain_id", "res_id")
+    return fit.select_frames(frames.withColumn("frame", 2 * F.col("frame") + 1), template, stride=3, limit=3)
+
+
 RMSF = "sqrt(var_pop(x) + var_pop(y) + var_pop(z))"
 
 

@@ -235,6 +235,22 @@ def renumber(spark, sf_dir):
 
 @query(
     "p1_assembly",
+    sql("""SELECT a.structure_id, a.atom_id, CAST(o.op_id - 1 AS INT) AS sym_id,
+        CASE WHEN o.op_id % 2 = 1 THEN a.x ELSE -a.y END + CAST((o.op_id - 1) * 5 AS DOUBLE) AS x,
+        CASE WHEN o.op_id % 2 = 1 THEN a.y ELSE a.x END AS y, a.z, 'assembly' AS note
+      FROM fx_atoms a JOIN ops o ON a.structure_id = o.structure_id""",
+        """ops AS (SELECT structure_id, n, unnest(range(1, n + 1)) AS op_id FROM (SELECT DISTINCT structure_id,
+          CASE WHEN structure_id % 7 = 6 THEN 13 ELSE 1 + structure_id % 3 END AS n FROM fx_atoms))"""),
+)
+def assembly(spark, sf_dir):
+    atoms = fx_atoms(spark, sf_dir)
+    return prep.expand_assembly(atoms, fx_ops(atoms)).select(
+        "structure_id", "atom_id", "sym_id", "x", "y", "z", "note"
+    )
+
+
+@query(
+    "p1_assembly_limited",
     sql("""SELECT a.structure_id, a.atom_id, CAST(o.op_id - 1 AS INT) AS sym_id,
         CASE WHEN o.op_id % 2 = 1 THEN a.x ELSE -a.y END + CAST((o.op_id - 1) * 5 AS DOUBLE) AS x,
         CASE WHEN o.op_id % 2 = 1 THEN a.y ELSE a.x END AS y, a.z, 'assembly' AS note
@@ -244,9 +260,9 @@ def renumber(spark, sf_dir):
         """ops AS (SELECT structure_id, n, unnest(range(1, n + 1)) AS op_id FROM (SELECT DISTINCT structure_id,
           CASE WHEN structure_id % 7 = 6 THEN 13 ELSE 1 + structure_id % 3 END AS n FROM fx_atoms))"""),
 )
-def assembly(spark, sf_dir):
+def assembly_limited(spark, sf_dir):
     atoms = fx_atoms(spark, sf_dir)
-    return prep.expand_assembly(atoms, fx_ops(atoms)).select(
+    return prep.expand_assembly(atoms, fx_ops(atoms), max_copies=12).select(
         "structure_id", "atom_id", "sym_id", "x", "y", "z", "note"
     )
 
