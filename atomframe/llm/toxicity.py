@@ -245,8 +245,11 @@ class Toxicity:
 N_FEATURES = len(features("", {}, {}))
 
 
-def _salted(hashes: str, seed: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
+def _smallest_triple(words: str, seed: int) -> Column:
+    """The smallest salted hash of three words in a row; ``words`` names a column of word hashes."""
+    places = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
+    triples = F.transform(places, lambda i: F.xxhash64(F.try_element_at(words, i), F.try_element_at(words, i + 1), F.try_element_at(words, i + 2), F.lit(seed)))
+    return F.array_min(triples)
 
 
 def one_of_copies(sample: DataFrame) -> DataFrame:
@@ -256,11 +259,9 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     Each of several hashes thins out what the one before it left. The ids that stay are
     at most as many as the sample has, so they are broadcast.
     """
-    words = F.split(F.trim(F.lower("text")), r"\s+")
-    triples = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3)))
-    triples = F.when(F.size(words) >= 3, triples).otherwise(F.array(F.xxhash64(F.coalesce("text", F.lit("")))))
-    rows = sample.select("doc_id", "label", triples.alias("triples"))
-    rows = cut_lineage(rows.select("doc_id", "label", *[_salted("triples", s).alias(f"copy{s}") for s in COPY_SEEDS]))
+    words = F.split(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+")
+    hashed = sample.select("doc_id", "label", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    rows = cut_lineage(hashed.select("doc_id", "label", *[_smallest_triple("words", s).alias(f"copy{s}") for s in COPY_SEEDS]))
     for seed in COPY_SEEDS:
         place = F.row_number().over(Window.partitionBy(f"copy{seed}").orderBy("doc_id", "label"))
         rows = rows.withColumn("place", place).filter("place = 1").drop("place")
