@@ -209,11 +209,12 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Tree]]:
 
 def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots and heights of the non-decreasing curve nearest to ``y``, by pooling neighbours that fall."""
-    order = np.argsort(p, kind="stable")
+    levels, place = np.unique(p, return_inverse=True)
+    rows, sums = np.bincount(place), np.bincount(place, y)
     pools: list[list[float]] = []
-    for x, target in zip(p[order], y[order]):
-        pools.append([float(target), 1.0, float(x), float(x)])
-        while len(pools) > 1 and (pools[-2][0] >= pools[-1][0] or pools[-2][3] == pools[-1][2]):
+    for x, n, total in zip(levels, rows, sums):
+        pools.append([total / n, float(n), float(x), float(x)])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             mean, n, _, high = pools.pop()
             last = pools[-1]
             last[0], last[1], last[3] = (last[0] * last[1] + mean * n) / (last[1] + n), last[1] + n, high

@@ -66,7 +66,7 @@ def test_mixing_odd_rows(odd_docs, no_docs):
     out = mixing.mix(odd_docs)
     assert out.columns == odd_docs.columns
     ids = Counter(r["doc_id"] for r in out.collect())
-    assert ids[3] == ids[None] == 0 or ids[3] == 1
+    assert ids[3] - ids[None] in (0, 1)  # of one source: the row without tokens costs nothing
     assert mixing.mix(no_docs).count() == 0
 
 
