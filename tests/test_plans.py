@@ -153,6 +153,9 @@ def test_frame_selection_and_refusals(spark):
     template = frames.filter("frame = 0").select("traj_id", "atom_id", "res_id")
     picked = fit.select_frames(frames, template, stride=2, limit=2, strict=True)
     assert sorted(r[0] for r in picked.select("frame").distinct().collect()) == [0, 2]
+    gaps = frames.withColumn("frame", 3 * F.col("frame") + 1)
+    picked = fit.select_frames(gaps, template, stride=2, limit=2)
+    assert sorted(r[0] for r in picked.select("frame").distinct().collect()) == [1, 7]
     for bad in ({"stride": 0}, {"limit": 0}):
         with pytest.raises(ValueError):
             fit.select_frames(frames, template, **bad)
@@ -273,7 +276,9 @@ def test_chunks_add_up(spark, monkeypatch):
         assert r["value"] == pytest.approx(want, rel=1e-9, abs=1e-12)
 
 
-def test_too_large_a_grid_is_refused(spark):
+def test_too_large_a_grid_is_refused_on_demand(spark):
+    wide = charges(spark, [(1, 0, 0, 0), (1, 400, 400, 400)])
+    assert EL.grid_axes(wide).collect()[0]["points"] == 421**3
     with pytest.raises(Exception, match="is above 1000"):
         EL.grid_axes(charges(spark, [(1, 0, 0, 0), (1, 50, 50, 50)]), max_points=1000).collect()
 

@@ -153,7 +153,8 @@ def test_assembly_keeps_big_ones_and_numbers_copies(spark, mixed):
     assert built.count() == 14 and {r[0] for r in built.select("sym_id").distinct().collect()} == {0, 1}
     assert built.filter("sym_id = 1").agg(F.min("x")).collect()[0][0] == 100.0
     many = spark.createDataFrame([op(1, i, "A", i) for i in range(13)], names)
-    kept = prep.expand_assembly(mixed, many)
+    assert prep.expand_assembly(mixed, many).count() == 13 * 7
+    kept = prep.expand_assembly(mixed, many, max_copies=12)
     assert kept.count() == 9 and kept.first()["note"].startswith("13 operators")
     check = sets.check_copy_partition(built).collect()[0]
     assert (check["copies"], check["atoms"], check["disjoint"]) == (2, 14, True)

@@ -196,6 +196,8 @@ def test_volume_files(spark, tmp_path):
     files = {
         "a.map": mrc, "b.map.gz": gzip.compress(mrc), "mislabelled.cube": mrc, "c.dx": b"# c\nobject 1", "d.CUB": b"cube text",
         "e.foo": b"?", "g.map.gz": gzip.compress(b""), "h.map.gz": b"\x1f\x8bbroken", "emd.bcif": b"b",
+        "cut.map.gz": gzip.compress(mrc * 900)[:-9], "two.map.gz": gzip.compress(mrc) + gzip.compress(b"more"),
+        "x" + ".a" * 70 + ".map": b"?",
     }
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
@@ -203,6 +205,7 @@ def test_volume_files(spark, tmp_path):
     assert {n: r["format"] for n, r in got.items()} == {
         "a.map": "ccp4", "b.map.gz": "ccp4", "mislabelled.cube": "ccp4", "c.dx": "dx", "d.CUB": "cube",
         "e.foo": None, "g.map.gz": None, "h.map.gz": None, "emd.bcif": "dscif",
+        "cut.map.gz": None, "two.map.gz": "ccp4", "x" + ".a" * 70 + ".map": "ccp4",
     }
     assert got["b.map.gz"]["was_compressed"] and got["g.map.gz"]["problem"] == "is empty"
     assert "decompress" in got["h.map.gz"]["problem"]
