@@ -46,12 +46,19 @@ def hbond_energy(r_on: Column, r_ch: Column, r_oh: Column, r_cn: Column) -> Colu
     return F.when(clashed, F.lit(CLASH_ENERGY)).otherwise(free)
 
 
+def is_ion() -> Column:
+    """A residue named after its own single metal or halogen, charge or count digits allowed (FE2, 3CO)."""
+    symbol = F.upper("element")
+    bare = F.regexp_replace(F.upper("res_name"), "^[0-9]+|[0-9]+$", "")
+    return (bare == symbol) & symbol.isin([*S.METALS, "F", "CL", "BR", "I"])
+
+
 def vdw_radius() -> Column:
     """United-atom radius; null for hydrogens, solvent and ions, which have no area."""
     name = F.concat_ws(".", "res_name", "atom_name")
     element = F.upper("element")
     bare_c = name.isin(S.TRIGONAL_BARE) | (F.col("atom_name") == "C")
-    ion = F.upper("res_name") == element
+    ion = (F.upper("res_name") == element) | is_ion()
     return (
         F.when(element.isin(S.HYDROGENS) | F.col("res_name").isin(S.SOLVENT) | ion, None)
         .when((element == "C") & bare_c, S.R_C3H0)

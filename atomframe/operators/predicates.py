@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.chemistry import is_ion
 from ..scaling import top_k
 
+#: Names an error message lists before it says how many more there are.
+SHOWN = 50
+
 Terms = Iterable[str | int]
 
 # fixed values: other spellings of the class words
@@ -46,13 +50,6 @@ def _backbone() -> Column:
     )
 
 
-def _ion() -> Column:
-    """A residue named after its own single element, charge digits allowed."""
-    symbol = F.upper("element")
-    bare = F.regexp_replace(F.upper("res_name"), "[0-9]+$", "")
-    return (bare == symbol) & symbol.isin(S.METALS + ["F", "CL", "BR", "I"])
-
-
 def _hetero_not_solvent() -> Column:
     return F.col("hetero") & ~_resn_in(S.SOLVENT)
 
@@ -70,7 +67,7 @@ CLASSES = {
     "hydro": lambda: F.col("element").isin(S.HYDROGENS),
     "metals": lambda: F.upper("element").isin(S.METALS),
     "glycan": lambda: _resn_in(S.CARBOHYDRATES),
-    "ion": _ion,
+    "ion": is_ion,
     # these two need the residue-level flag that ``classify`` adds
     "organic": lambda: _hetero_not_solvent() & F.col("residue_has_carbon"),
     "inorganic": lambda: _hetero_not_solvent() & ~F.col("residue_has_carbon"),
@@ -240,12 +237,23 @@ def require_residue(atoms: DataFrame, residue: str) -> DataFrame:
     """Atoms of one residue name, or an error listing the hetero names there are."""
     hits = atoms.filter(F.col("res_name") == residue.upper())
     if hits.isEmpty():
-        names = hetero_names(atoms).select("res_name").distinct().orderBy("res_name")
-        listed = ", ".join(r[0] for r in names.limit(50).collect())
+        listed = _listed(hetero_names(atoms), "res_name")
         raise ValueError(f"no residue {residue!r}; hetero residues present: {listed or 'none'}")
     return hits
 
 
+def _listed(rows: DataFrame, column: str) -> str:
+    """The first names of a column for an error message, and how many more there are."""
+    names = rows.select(column).distinct()
+    shown = [str(r[0]) for r in names.orderBy(column).limit(SHOWN).collect()]
+    more = names.count() - len(shown)
+    return ", ".join(shown) + (f" and {more} more" if more else "")
+
+
+def chains_listed(atoms: DataFrame) -> str:
+    return _listed(atoms, "chain_id")
+
+
 def hetero_names(atoms: DataFrame) -> DataFrame:
     """Hetero residue names per structure, waters left out."""
     return atoms.filter(_hetero_not_solvent()).select("structure_id", "res_name").distinct()

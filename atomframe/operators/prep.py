@@ -69,7 +69,8 @@ def conformers_used(state: DataFrame) -> DataFrame:
 
 def dominant_altloc(atoms: DataFrame) -> DataFrame:
     """The letter with the greatest total occupancy per structure, first letter on a tie."""
-    weight = F.sum("occupancy") if "occupancy" in atoms.columns else F.lit(0.0)
+    # Rounded, so that the order in which tasks add up cannot decide a tie.
+    weight = F.round(F.sum("occupancy"), 6) if "occupancy" in atoms.columns else F.lit(0.0)
     totals = atoms.filter(labelled()).groupBy("structure_id", "altloc_id").agg(weight.alias("w"))
     best = top_k(totals, ["structure_id"], [F.col("w").desc(), F.col("altloc_id")], 1)
     best = best.select("structure_id", F.col("altloc_id").alias("dominant"))

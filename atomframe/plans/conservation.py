@@ -39,10 +39,7 @@ def chain_sequence(atoms: DataFrame, chain: str | None = None, strict: bool = Fa
     if chain is not None:
         held = held.filter(F.col("chain_id") == chain)
     if strict and held.isEmpty():
-        present = atoms.select("chain_id").distinct().orderBy("chain_id").limit(50).collect()
-        raise ValueError(
-            f"no amino acids in chain {chain!r}; chains present: {', '.join(r[0] for r in present)}"
-        )
+        raise ValueError(f"no amino acids in chain {chain!r}; chains present: {P.chains_listed(atoms)}")
     order = F.struct(*S.file_order(atoms))
     residues = held.groupBy(*RESIDUE).agg(
         F.min(S.rank_column(atoms)).alias("_first"), F.min_by("res_name", order).alias("res_name")
