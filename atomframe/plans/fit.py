@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from .conservation import one_letter, sequence_text
 MIN_ANCHORS, MAX_ROUNDS, SPREAD = 3, 10, 1.5
 DEVIATION_FLOOR, DEVIATION_SLACK = 0.05, 1.0
 AXES = "xyz"
+OK, NO_REFERENCE, NO_COMMON_ATOMS = "ok", "no reference frame", "no atoms of the reference frame"
 
 
 FIT = T.StructType(
@@ -129,34 +130,70 @@ def select_frames(
     )
 
 
-def _against(frames: DataFrame, ref: int, strict: bool) -> DataFrame:
-    """Frame atoms (m) beside the same atoms of the reference frame (t)."""
-    at_ref = frames.filter(F.col("frame") == ref)
+def _listed(frames: DataFrame) -> DataFrame:
+    """One row per frame with its place in the trajectory; written once, used several times."""
+    listed = frames.select("traj_id", "frame").distinct()
+    return cut_lineage(running_index(listed, ["traj_id"], "frame", "_place"))
+
+
+def _against(frames: DataFrame, ref: int, strict: bool, listed: DataFrame | None = None) -> DataFrame:
+    """Frame atoms (m) beside the same atoms of the trajectory's frame at place ``ref`` (t)."""
+    if ref < 0:
+        raise ValueError(f"ref must be at least 0, got {ref}")
+    listed = _listed(frames) if listed is None else listed
+    at_ref = listed.filter(F.col("_place") == ref).select("traj_id", "frame")
     if strict:
-        lacking = frames.select("traj_id").distinct().join(at_ref, "traj_id", "left_anti")
+        lacking = listed.select("traj_id").distinct().join(at_ref, "traj_id", "left_anti")
         if not lacking.isEmpty():
             raise ValueError(f"frame {ref} does not exist in every trajectory")
-    target = at_ref.select("traj_id", "atom_id", *[F.col(c).alias(f"t{c}") for c in AXES])
+    target = frames.join(at_ref, ["traj_id", "frame"], "left_semi").select(
+        "traj_id", "atom_id", *[F.col(c).alias(f"t{c}") for c in AXES]
+    )
     return frames.withColumnsRenamed({c: f"m{c}" for c in AXES}).join(target, ["traj_id", "atom_id"])
 
 
+def _frame_fits(frames: DataFrame, ref: int, strict: bool) -> DataFrame:
+    """The fit of every frame onto its reference; a frame without one has nulls and a ``status``."""
+    key = ["traj_id", "frame"]
+    listed = _listed(frames)
+    fits = kabsch(_against(frames, ref, strict, listed), key)
+    length = listed.groupBy("traj_id").agg(F.count("*").alias("_frames"))
+    status = (
+        F.when(F.col("n").isNotNull(), OK)
+        .when(F.col("_frames") <= ref, NO_REFERENCE)
+        .otherwise(NO_COMMON_ATOMS)
+    )
+    rows = listed.join(length, "traj_id").join(fits, key, "left")
+    return rows.withColumn("status", status).drop("_place", "_frames")
+
+
+def _worst_status() -> Column:
+    """OK for a group whose rows are all so, else one of its other statuses."""
+    return F.coalesce(F.max(F.when(F.col("status") != OK, F.col("status"))), F.lit(OK)).alias("status")
+
+
 def align_frames(frames: DataFrame, ref: int = 0, strict: bool = False) -> DataFrame:
-    """Every frame moved onto the reference frame of its trajectory."""
+    """Every frame moved onto the frame at place ``ref`` of its trajectory.
+
+    Frames that cannot be fitted keep their rows, without coordinates; ``status``
+    says why.
+    """
     key = ["traj_id", "frame"]
-    fits = kabsch(_against(frames, ref, strict), key).select(*key, *ROTATION, *TRANSLATION)
+    fits = _frame_fits(frames, ref, strict).select(*key, *ROTATION, *TRANSLATION, "status")
     keep = [c for c in frames.columns if c not in AXES]
-    return frames.join(fits, key).select(*keep, *affine())
+    return frames.join(fits, key).select(*keep, *affine(), "status")
 
 
 def rmsf_atoms(frames: DataFrame, strict: bool = False) -> DataFrame:
-    """Fluctuation of every atom over already aligned frames."""
+    """Fluctuation of every atom over already aligned frames; ``status`` is carried on."""
     if strict:
         counts = frames.groupBy("traj_id").agg(F.countDistinct("frame").alias("n"))
         if not counts.filter("n < 2").isEmpty():
             raise ValueError("fluctuation needs at least two frames")
     names = [c for c in ("chain_id", "res_id", "ins_code", "res_name") if c in frames.columns]
     spread = F.var_pop("x") + F.var_pop("y") + F.var_pop("z")
-    return frames.groupBy("traj_id", "atom_id", *names).agg(F.sqrt(spread).alias("rmsf"))
+    status = [_worst_status()] if "status" in frames.columns else []
+    return frames.groupBy("traj_id", "atom_id", *names).agg(F.sqrt(spread).alias("rmsf"), *status)
 
 
 def rmsf(frames: DataFrame, per: str = "residue", align: bool = True, strict: bool = False) -> DataFrame:
@@ -166,19 +203,20 @@ def rmsf(frames: DataFrame, per: str = "residue", align: bool = True, strict: bo
     atoms = rmsf_atoms(align_frames(frames, strict=strict) if align else frames, strict)
     if per == "atom":
         return atoms
+    status = [_worst_status()] if "status" in atoms.columns else []
     return atoms.groupBy("traj_id", "chain_id", "res_id", "ins_code").agg(
-        F.avg("rmsf").alias("rmsf"), F.max_by("res_name", "atom_id").alias("res_name")
+        F.avg("rmsf").alias("rmsf"), F.max_by("res_name", "atom_id").alias("res_name"), *status
     )
 
 
 def rmsf_summary(values: DataFrame, limit: int) -> DataFrame:
     """Count, mean, greatest and least fluctuation per trajectory."""
     return values.groupBy("traj_id").agg(
-        F.count("*").alias("count"),
+        F.count("rmsf").alias("count"),
         F.avg("rmsf").alias("mean"),
         F.max("rmsf").alias("max"),
         F.min("rmsf").alias("min"),
-        (F.count("*") > limit).alias("truncated"),
+        (F.count("rmsf") > limit).alias("truncated"),
     )
 
 
@@ -188,11 +226,12 @@ def most_mobile(values: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def rmsd_series(frames: DataFrame, ref: int = 0, strict: bool = False) -> DataFrame:
-    """Deviation of every frame from the reference frame after the best fit.
+    """Deviation of every frame from the frame at place ``ref`` after the best fit.
 
-    The deviation follows from the moments of the fit, so frames are read once.
+    The deviation follows from the moments of the fit, so nothing is moved. Every
+    frame has a row; ``status`` says why one has no deviation.
     """
-    return kabsch(_against(frames, ref, strict), ["traj_id", "frame"]).select("traj_id", "frame", "rmsd")
+    return _frame_fits(frames, ref, strict).select("traj_id", "frame", "rmsd", "status")
 
 
 def rmsd_summary(series: DataFrame) -> DataFrame:
@@ -200,6 +239,7 @@ def rmsd_summary(series: DataFrame) -> DataFrame:
         F.avg("rmsd").alias("mean"),
         F.max("rmsd").alias("max"),
         F.max_by("rmsd", "frame").alias("final"),
+        _worst_status(),
     )
 
 

@@ -167,6 +167,30 @@ def test_frame_selection_and_refusals(spark):
         fit.align_frames(frames, ref=99, strict=True)
 
 
+def test_reference_is_a_place_and_lost_frames_are_told(spark):
+    frames = trajectory(spark, 0.5)
+    want = {r["frame"]: r["rmsd"] for r in fit.rmsd_series(frames).collect()}
+    late = frames.withColumn("frame", 3 * F.col("frame") + 1)  # numbered 1, 4, 7, ...
+    got = fit.rmsd_series(late).collect()
+    assert {(r["frame"] - 1) // 3: r["rmsd"] for r in got} == pytest.approx(want, abs=1e-6)
+    assert {r["status"] for r in got} == {fit.OK}
+    assert fit.align_frames(late).count() == 50 and fit.rmsf(late).filter("rmsf IS NOT NULL").count() == 10
+    # place 2 exists only in the longer trajectory; the last frame of it shares no atom with the reference
+    short = late.filter("frame < 7").withColumn("traj_id", F.lit(2).cast("long"))
+    odd = frames.filter("frame = 4").withColumns({"frame": F.lit(99), "atom_id": F.col("atom_id") + 100})
+    both = late.unionByName(short).unionByName(odd)
+    found = fit.rmsd_series(both, ref=2).collect()
+    told = {(r["traj_id"], r["frame"]): r["status"] for r in found if r["rmsd"] is None}
+    assert told == {(2, 1): fit.NO_REFERENCE, (2, 4): fit.NO_REFERENCE, (1, 99): fit.NO_COMMON_ATOMS}
+    assert len(found) == 8 and min(r["rmsd"] for r in found if r["frame"] == 7) < 1e-5
+    moved = fit.align_frames(both, ref=2)
+    assert moved.count() == both.count() and moved.filter("x IS NULL").count() == 30
+    summary = {r["traj_id"]: r for r in fit.rmsd_summary(fit.rmsd_series(both, ref=2)).collect()}
+    assert summary[2]["mean"] is None and summary[2]["status"] == fit.NO_REFERENCE
+    with pytest.raises(ValueError, match="at least 0"):
+        fit.rmsd_series(frames, ref=-1)
+
+
 SEQUENCE = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQ"
 
 
