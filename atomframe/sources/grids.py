@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scaling import running_index, running_total
 from .lines import read_lines, refuse, stem
-from .structures import write_lines
+from .structures import PART_LINES, write_lines
 
 AXES = "xyz"
 
@@ -173,5 +173,5 @@ def dx_lines(grid: DataFrame, meta: DataFrame) -> DataFrame:
     return header.unionByName(body).unionByName(footer)
 
 
-def write_dx(grid: DataFrame, meta: DataFrame, path: str) -> None:
-    write_lines(dx_lines(grid, meta), path)
+def write_dx(grid: DataFrame, meta: DataFrame, path: str, part_lines: int = PART_LINES) -> None:
+    write_lines(dx_lines(grid, meta), path, part_lines)

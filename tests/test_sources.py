@@ -138,6 +138,30 @@ def test_mmcif_export_round_trip(spark, mixed, tmp_path):
     assert sorted(map(tuple, back.select(cols).collect())) == sorted(map(tuple, odd.select(cols).collect()))
 
 
+def test_texts_in_parts_are_read_as_one_file(spark, mixed, tmp_path):
+    named = mixed.withColumn("structure_id", F.lit("a b:1+c"))
+    both = named.unionByName(mixed.withColumn("structure_id", F.lit("2xyz")))
+    out = tmp_path / "cif"
+    structures.write_mmcif(both, str(out), part_lines=7)  # 19 lines of header, 9 of atoms
+    assert len(list(out.glob("file=2xyz/part=*"))) == 4
+    cols = ["structure_id", "rank", "atom_id", "chain_id", "res_id", "atom_name", "x", "y", "z"]
+    for path in (str(out), f"{out}/*/*/*.txt"):
+        back = structures.read_mmcif(spark, path)
+        assert sorted(map(tuple, back.select(cols).collect())) == sorted(map(tuple, both.select(cols).collect()))
+    with pytest.raises(ValueError, match="not whole"):
+        structures.read_mmcif(spark, f"{out}/*/part=[123]/*.txt")
+    with pytest.raises(ValueError, match="not whole"):
+        structures.read_mmcif(spark, f"{out}/file=2xyz/part=[013]/*.txt")
+    grid = spark.range(60).selectExpr(
+        "'g' AS structure_id", "CAST(id DIV 20 AS INT) AS i", "CAST(id DIV 5 % 4 AS INT) AS j",
+        "CAST(id % 5 AS INT) AS k", "CAST(id AS DOUBLE) AS value",
+    )
+    meta = spark.sql("SELECT 'g' AS structure_id, 3L AS nx, 4L AS ny, 5L AS nz, 0D AS ox, 0D AS oy, 0D AS oz, 1D AS hx, 1D AS hy, 1D AS hz")
+    grids.write_dx(grid, meta, str(tmp_path / "dx"), part_lines=5)
+    _, values = grids.read_dx(spark, str(tmp_path / "dx"))
+    assert sorted(map(tuple, values.collect())) == sorted(map(tuple, grid.collect()))
+
+
 def test_export_cannot_label_part_of_a_model(spark, mixed):
     with pytest.raises(ValueError, match="whole number"):
         structures.tile_altlocs(mixed, mixed.limit(4))
