@@ -24,6 +24,8 @@ MODIFIED_LETTERS = {
 }
 RESIDUE = ["structure_id", "chain_id", "res_id", "ins_code"]
 PIECE = 4096
+CHAIN = ["msa_id", "structure_id", "chain_id"]
+OK, NO_ALIGNMENT, TOO_SHALLOW, TOO_FEW_COLUMNS = "ok", "no alignment", "too shallow", "too few columns"
 
 
 def one_letter(c: Column) -> Column:
@@ -112,6 +114,22 @@ def msa_depth(msa: DataFrame) -> DataFrame:
     return msa.groupBy("msa_id").agg(F.countDistinct("seq_idx").alias("depth"))
 
 
+def conservation_status(
+    sequence: DataFrame, entropy: DataFrame, depth: DataFrame, min_depth: int = MIN_DEPTH
+) -> DataFrame:
+    """One row per chain of ``sequence``: its size, its alignment's and whether that can score it."""
+    sizes = sequence.groupBy(*CHAIN).agg(F.count("*").alias("residues"))
+    columns = entropy.groupBy("msa_id").agg(F.count("*").alias("columns"))
+    checked = sizes.join(columns, "msa_id", "left").join(depth, "msa_id", "left")
+    status = (
+        F.when(F.col("depth").isNull() | F.col("columns").isNull(), NO_ALIGNMENT)
+        .when(F.col("depth") < min_depth, TOO_SHALLOW)
+        .when(F.col("columns") < F.col("residues"), TOO_FEW_COLUMNS)
+        .otherwise(OK)
+    )
+    return checked.select(*CHAIN, "residues", "columns", "depth", status.alias("status"))
+
+
 def score_conservation(
     sequence: DataFrame,
     entropy: DataFrame,
@@ -121,34 +139,42 @@ def score_conservation(
 ) -> DataFrame:
     """Entropy column i onto residue i; ``sequence`` carries the msa_id of its chain.
 
-    Chains whose alignment is too shallow or shorter than the chain get no
-    scores; ``strict`` refuses them.
+    Chains whose alignment is missing, too shallow or shorter than the chain get
+    no scores; ``conservation_status`` lists them, ``strict`` refuses them.
     """
-    chain = ["msa_id", "structure_id", "chain_id"]
-    sizes = sequence.groupBy(*chain).agg(F.count("*").alias("residues"))
-    columns = entropy.groupBy("msa_id").agg(F.count("*").alias("columns"))
-    checked = sizes.join(columns, "msa_id", "left").join(depth, "msa_id", "left")
-    fit = (F.col("depth") >= min_depth) & (F.col("columns") >= F.col("residues"))
+    checked = conservation_status(sequence, entropy, depth, min_depth)
     if strict:
-        bad = checked.filter(~F.coalesce(fit, F.lit(False))).limit(1).collect()
+        bad = checked.filter(F.col("status") != OK).limit(1).collect()
         if bad:
             raise ValueError(f"alignment cannot score its chain: {bad[0].asDict()}")
-    good = checked.filter(fit).select(*chain, "depth")
-    scored = sequence.join(good, chain).join(
+    good = checked.filter(F.col("status") == OK).select(*CHAIN, "depth")
+    scored = sequence.join(good, CHAIN).join(
         entropy.withColumnRenamed("col", "pos"), ["msa_id", "pos"]
     )
     return scored.withColumn("conservation", F.lit(1.0) - F.col("entropy"))
 
 
-def conservation_report(scores: DataFrame) -> DataFrame:
-    """Counts, depth, entropy range and a shallow-alignment flag per chain."""
-    return scores.groupBy("structure_id", "chain_id").agg(
+def conservation_report(scores: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """Counts, depth, entropy range and a shallow-alignment flag per chain.
+
+    With ``conservation_status`` also the chains without scores, and why.
+    """
+    report = scores.groupBy("structure_id", "chain_id").agg(
         F.count("*").alias("residues_scored"),
         F.max("depth").alias("depth"),
         F.min("entropy").alias("entropy_min"),
         F.max("entropy").alias("entropy_max"),
         (F.max("depth") < SHALLOW).alias("shallow"),
     )
+    if status is None:
+        return report
+    chains = status.select("structure_id", "chain_id", F.col("depth").alias("_depth"), "status")
+    full = chains.join(report, ["structure_id", "chain_id"], "left")
+    return full.select(
+        "structure_id", "chain_id", F.coalesce("residues_scored", F.lit(0)).alias("residues_scored"),
+        F.col("_depth").alias("depth"), "entropy_min", "entropy_max",
+        (F.col("_depth") < SHALLOW).alias("shallow"), "status",
+    )
 
 
 def conservation_listing(scores: DataFrame, limit: int) -> DataFrame:

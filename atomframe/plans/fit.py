@@ -24,6 +24,7 @@ MIN_ANCHORS, MAX_ROUNDS, SPREAD = 3, 10, 1.5
 DEVIATION_FLOOR, DEVIATION_SLACK = 0.05, 1.0
 AXES = "xyz"
 OK, NO_REFERENCE, NO_COMMON_ATOMS = "ok", "no reference frame", "no atoms of the reference frame"
+NO_MOBILE, NO_TARGET, NO_ANCHORS = "no amino acids to move", "no amino acids in the target", "too few anchors"
 
 
 FIT = T.StructType(
@@ -271,7 +272,8 @@ def superpose(pairs: DataFrame, atoms: DataFrame, strict: bool = False) -> dict[
     """Fit mobile onto target structures by aligned sequence, with outlier removal.
 
     ``pairs`` holds pair_id, mobile_id, target_id and optionally mobile_chain
-    and target_chain. Returns ``fits`` (transform, rmsd, aligned, identity),
+    and target_chain. Returns ``fits`` (transform, rmsd, aligned, identity; one
+    row per pair, a pair that cannot be fitted with nulls and its ``status``),
     ``anchors`` (the fitted residues with their ``offset``) and ``moved`` (all
     mobile CA atoms under the transform).
     """
@@ -299,11 +301,10 @@ def superpose(pairs: DataFrame, atoms: DataFrame, strict: bool = False) -> dict[
         side("target", "t"), ["pair_id", "t"]
     )
     anchors = cut_lineage(anchors)
-    if strict:
-        short = anchors.groupBy("pair_id").count().filter(F.col("count") >= MIN_ANCHORS)
-        if not pairs.join(short, "pair_id", "left_anti").isEmpty():
-            raise ValueError("a pair has no corresponding residues to fit")
-    kept = _without_outliers(anchors)
+    enough = anchors.groupBy("pair_id").count().filter(F.col("count") >= MIN_ANCHORS)
+    if strict and not pairs.join(enough, "pair_id", "left_anti").isEmpty():
+        raise ValueError("a pair has no corresponding residues to fit")
+    kept = _without_outliers(anchors.join(enough, "pair_id", "left_semi"))
     fits = kabsch(kept, ["pair_id"])
     fitted = moved(kept, fits, ["pair_id"])
     same = F.avg((F.col("mobile_res_name") == F.col("target_res_name")).cast("double"))
@@ -314,8 +315,16 @@ def superpose(pairs: DataFrame, atoms: DataFrame, strict: bool = False) -> dict[
         )
         for s, r in sides.items()
     }
-    report = fits.withColumnRenamed("n", "aligned").join(identity, "pair_id")
-    report = report.join(names["mobile"], "pair_id").join(names["target"], "pair_id")
+    status = (
+        F.when(F.col("aligned").isNotNull(), OK)
+        .when(F.col("mobile_chains").isNull(), NO_MOBILE)
+        .when(F.col("target_chains").isNull(), NO_TARGET)
+        .otherwise(NO_ANCHORS)
+    )
+    report = pairs.select("pair_id").join(fits.withColumnRenamed("n", "aligned"), "pair_id", "left")
+    for more in (identity, names["mobile"], names["target"]):
+        report = report.join(more, "pair_id", "left")
+    report = report.withColumn("status", status)
     return {"fits": report, "anchors": fitted, "residues": sides, "kept": kept}
 
 
@@ -359,9 +368,12 @@ def deviation_field(target: DataFrame, mobile: DataFrame, fits: DataFrame, ancho
     All CA atoms matched by chain, number and name under the fitted transform;
     the fitted anchors instead where those are more, or where the median is
     beyond both the worst fitted offset and 1 angstrom. ``target`` and
-    ``mobile`` are atoms carrying pair_id.
+    ``mobile`` are atoms carrying pair_id. A pair without a fit has one row, with
+    its ``status`` and no residue.
     """
     key = ["pair_id"]
+    unfit = fits.filter(F.col("status") != OK).select(*key, "status")
+    fits = fits.filter(F.col("status") == OK)
     whole = moved(correspond(mobile, target, key), fits, key).select(
         "pair_id", "chain_id", "res_id", F.lit("").alias("ins_code"), "res_name",
         F.col("offset").alias("deviation"),
@@ -383,14 +395,15 @@ def deviation_field(target: DataFrame, mobile: DataFrame, fits: DataFrame, ancho
         F.col("target_ins_code").alias("ins_code"), F.col("target_res_name").alias("res_name"),
         F.col("offset").alias("deviation"),
     )
-    return whole.join(choice.filter("_whole").select(*key), key, "left_semi").unionByName(
+    found = whole.join(choice.filter("_whole").select(*key), key, "left_semi").unionByName(
         narrow.join(choice.filter("NOT _whole").select(*key), key, "left_semi")
     )
+    return found.withColumn("status", F.lit(OK)).unionByName(unfit, allowMissingColumns=True)
 
 
 def deviation_domain(field: DataFrame) -> DataFrame:
-    """Domain 0..greatest deviation per pair; pairs that differ by 0.05 or less have none."""
+    """Domain 0..greatest deviation per pair; pairs without a fit or that differ by 0.05 or less have none."""
     return field.groupBy("pair_id").agg(F.max("deviation").alias("high")).select(
         "pair_id", F.lit(0.0).alias("low"), "high",
-        (F.col("high") > DEVIATION_FLOOR).alias("paintable"),
+        F.coalesce(F.col("high") > DEVIATION_FLOOR, F.lit(False)).alias("paintable"),
     )

@@ -78,12 +78,21 @@ SCORES = """depth AS (SELECT msa_id, count(DISTINCT seq_idx) AS depth FROM fx_ms
 SCORE_PARTS = (SEQ, SQL_MSA, ENTROPY, SCORES)
 
 
-def scored(spark, sf_dir):
-    """Chains of structure n scored by alignment n % 7; chains without one get no scores."""
+def aligned_chains(spark, sf_dir):
+    """Chains of structure n with alignment n % 7: residues, column entropies, depths."""
     msa = fx_msa(spark, sf_dir)
     owned = C.chain_sequence(fx_atoms(spark, sf_dir)).withColumn("msa_id", F.expr("structure_id % 7"))
-    entropy = rounded(C.column_entropy(msa), 9, "entropy")
-    return C.score_conservation(owned, entropy, C.msa_depth(msa))
+    return owned, rounded(C.column_entropy(msa), 9, "entropy"), C.msa_depth(msa)
+
+
+def scored(spark, sf_dir):
+    """The scores of those chains; chains without an alignment get none, see a3_conservation_status."""
+    return C.score_conservation(*aligned_chains(spark, sf_dir))
+
+
+@query("a3_conservation_status")
+def conservation_status(spark, sf_dir):
+    return C.conservation_status(*aligned_chains(spark, sf_dir))
 
 
 @query(
@@ -104,6 +113,13 @@ def conservation_report(spark, sf_dir):
     return C.conservation_report(scored(spark, sf_dir))
 
 
+@query("a4_conservation_report_all")
+def conservation_report_all(spark, sf_dir):
+    """The report with a row for every chain, scored or not."""
+    parts = aligned_chains(spark, sf_dir)
+    return C.conservation_report(C.score_conservation(*parts), C.conservation_status(*parts))
+
+
 CUT = """quart AS (SELECT structure_id, chain_id, quantile_cont(entropy, CAST(0.25 AS DOUBLE)) AS low, quantile_cont(entropy, CAST(0.75 AS DOUBLE)) AS high
         FROM scores GROUP BY 1, 2),
   cut AS (SELECT s.*, 'conserved' AS "set" FROM scores s JOIN quart q ON q.structure_id = s.structure_id AND q.chain_id = s.chain_id AND entropy <= low

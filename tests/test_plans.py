@@ -7,6 +7,7 @@ import pytest
 from conftest import atom_rows
 from pyspark.sql import functions as F
 
+from atomframe import scaling
 from atomframe.functions import physics
 from atomframe.functions.scales import domain_fraction, rescale
 from atomframe.operators import sets
@@ -228,6 +229,30 @@ def test_superpose_drops_a_moved_loop(spark):
     assert fit.deviation_domain(whole).collect()[0]["paintable"] is True
 
 
+def test_pairs_without_a_fit_are_told(spark):
+    x = np.cumsum(np.random.default_rng(5).normal(size=(12, 3)) * 2.2, axis=0)
+    rows = [("A", i + 1, "ALA", "CA", "C", *x[i], {"structure": k}) for k in (1, 2) for i in range(12)]
+    rows += [("A", i + 1, "ALA", "CA", "C", *x[i], {"structure": 3}) for i in range(2)]
+    rows += [("A", 1, "HOH", "O", "O", 0, 0, 0, {"structure": 4})]
+    atoms = atom_rows(spark, rows)
+    sides = [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 1, 4), (5, 8, 1)]
+    pairs = spark.createDataFrame(sides, "pair_id long, mobile_id long, target_id long")
+    found = fit.superpose(pairs, atoms)
+    told = {r["pair_id"]: (r["status"], r["aligned"]) for r in found["fits"].collect()}
+    assert told == {
+        1: (fit.OK, 12), 2: (fit.NO_ANCHORS, None), 3: (fit.NO_MOBILE, None), 4: (fit.NO_TARGET, None),
+        5: (fit.NO_MOBILE, None),
+    }
+    both = {
+        s: atoms.join(pairs.select("pair_id", F.col(f"{s}_id").alias("structure_id")), "structure_id")
+        for s in ("mobile", "target")
+    }
+    field = fit.deviation_field(both["target"], both["mobile"], found["fits"], found["anchors"])
+    counts = {(r["pair_id"], r["status"]): r["count"] for r in field.groupBy("pair_id", "status").count().collect()}
+    assert counts == {(k, v[0]): v[1] or 1 for k, v in told.items()}
+    assert not any(r["paintable"] for r in fit.deviation_domain(field).collect())
+
+
 # ---------------------------------------------------------------- conservation
 def letters(spark, sequences):
     return spark.createDataFrame(
@@ -265,6 +290,20 @@ def test_scores_need_depth_and_length(spark, mixed):
     assert sorted(r["band"] for r in C.entropy_bands(scores, 4).collect()) == [0, 3]
 
 
+def test_chains_without_scores_are_told(spark, mixed):
+    seq = C.chain_sequence(mixed, "A")
+    chains = [seq.withColumns({"chain_id": F.lit(k), "msa_id": F.lit(i)}) for i, k in enumerate("ABCD")]
+    msa = [letters(spark, s).withColumn("msa_id", F.lit(i)) for i, s in enumerate((["AS", "AT"], ["AS"], ["A", "A"]))]
+    seq, msa = scaling.union_all(chains), scaling.union_all(msa)
+    parts = seq, C.column_entropy(msa), C.msa_depth(msa)
+    status = C.conservation_status(*parts)
+    want = {"A": C.OK, "B": C.TOO_SHALLOW, "C": C.TOO_FEW_COLUMNS, "D": C.NO_ALIGNMENT}
+    assert {r["chain_id"]: r["status"] for r in status.collect()} == want
+    report = C.conservation_report(C.score_conservation(*parts), status).collect()
+    assert {r["chain_id"]: r["status"] for r in report} == want
+    assert {r["chain_id"]: r["residues_scored"] for r in report} == {"A": 2, "B": 0, "C": 0, "D": 0}
+
+
 # ---------------------------------------------------------------- electrostatics
 def charges(spark, rows):
     return spark.createDataFrame([(1, i, *map(float, r), 1.0) for i, r in enumerate(rows)], "structure_id long, atom_id long, charge double, x double, y double, z double, radius double")
