@@ -595,6 +595,34 @@ def electrostatics(spark, sf_dir):
     )
 
 
+# the same at the operators' own spacing and padding; SQL checks the coarse forms above
+@query("m13_grid_axes_fine")
+def grid_axes_fine(spark, sf_dir):
+    return EL.grid_axes(fx_charges(spark, sf_dir))
+
+
+@query("m13_grid_points_fine")
+def grid_points_fine(spark, sf_dir):
+    return EL.grid_points(fx_charges(spark, sf_dir))
+
+
+@query("m14_coulomb_grid_fine")
+def coulomb_grid_fine(spark, sf_dir):
+    return EL.coulomb_grid(fx_charges(spark, sf_dir))[1]
+
+
+@query("m15_sample_grid_fine")
+def sample_grid_fine(spark, sf_dir):
+    meta, grid = EL.coulomb_grid(fx_charges(spark, sf_dir))
+    out = EL.sample_grid(fx_atoms(spark, sf_dir), grid, meta, ["atom_id"])
+    return out.select("structure_id", "atom_id", "potential")
+
+
+@query("m16_electrostatics_fine")
+def electrostatics_fine(spark, sf_dir):
+    return EL.electrostatics(fx_atoms(spark, sf_dir), fx_charges(spark, sf_dir))["extremes"]
+
+
 # ---------------------------------------------------------------- camera paths
 def key_paths(spark, sf_dir):
     """The events of each user, in event order, as the keyframes of one path."""

@@ -42,6 +42,14 @@ def derive_bonds(spark, sf_dir):
     return B.derive_bonds(fx_atoms(spark, sf_dir), template)
 
 
+@query("g1_derive_bonds_all")
+def derive_bonds_all(spark, sf_dir):
+    """The template for every residue name; SQL checks the form above."""
+    atoms = fx_atoms(spark, sf_dir)
+    pairs = spark.createDataFrame(TEMPLATE, "atom1 string, atom2 string")
+    return B.derive_bonds(atoms, atoms.select("res_name").distinct().crossJoin(pairs))
+
+
 @query("g2_cross_conformer", sql("SELECT structure_id, a, b FROM fx_bonds", SQL_BONDS))
 def cross_conformer(spark, sf_dir):
     atoms = fx_atoms(spark, sf_dir)

@@ -99,6 +99,48 @@ def interface_sets(spark, sf_dir):
     return I.interface_sets(fx_atoms(spark, sf_dir), "A", "B", sphere=SIX)["counts"]
 
 
+# the same at the operators' own 1000 sphere points; SQL checks the six-point forms above
+def fine(spark, sf_dir):
+    return I.buried(fx_atoms(spark, sf_dir), "A", "B")
+
+
+@query("m2_delta_sasa_fine")
+def delta_sasa_fine(spark, sf_dir):
+    return fine(spark, sf_dir).select("structure_id", "atom_id", "delta")
+
+
+@query("a7_buried_residues_fine")
+def buried_residues_fine(spark, sf_dir):
+    return I.interface_residues(fine(spark, sf_dir))
+
+
+@query("t6_ranked_residues_fine")
+def ranked_residues_fine(spark, sf_dir):
+    return I.ranked_residues(I.interface_residues(fine(spark, sf_dir)))
+
+
+@query("a7_buried_totals_fine")
+def buried_totals_fine(spark, sf_dir):
+    return I.interface_totals(fine(spark, sf_dir))
+
+
+@query("a8_interface_atoms_fine")
+def interface_atoms_fine(spark, sf_dir):
+    delta = fine(spark, sf_dir)
+    return ids(I.interface_atoms(delta, I.interface_residues(delta)))
+
+
+@query("m20_interface_sets_fine")
+def interface_sets_fine(spark, sf_dir):
+    return I.interface_sets(fx_atoms(spark, sf_dir), "A", "B")["counts"]
+
+
+@query("a9_per_copy_fine")
+def per_copy_fine(spark, sf_dir):
+    delta = I.buried(fx_copies(spark, sf_dir), "A", "B", per_copy=True)
+    return I.interface_copies(I.interface_totals(delta, per_copy=True))
+
+
 COPY_STATE = """fx_cstate AS (SELECT * FROM fx_copies WHERE chain_id IN ('A','B') AND res_name <> 'HOH' AND altloc_id = '.' UNION ALL
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY structure_id, sym_id, chain_id, res_id,
     ins_code, atom_name ORDER BY occupancy DESC, altloc_id, atom_id) AS rn

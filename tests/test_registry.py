@@ -35,3 +35,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_coarse_forms_have_one_at_default_settings():
+    coarse = "m2_delta_sasa a7_buried_residues a7_buried_totals a8_interface_atoms a9_per_copy m20_interface_sets t6_ranked_residues"
+    coarse += " m13_grid_axes m13_grid_points m14_coulomb_grid m15_sample_grid m16_electrostatics"
+    assert {f"{n}_fine" for n in coarse.split()} | {"g1_derive_bonds_all"} <= set(entry.queries())
