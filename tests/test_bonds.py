@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import atom_rows, ids
+from atom_tables import atom_rows, ids
 
 from atomframe.operators import bonds as B
 from atomframe.operators import predicates as P

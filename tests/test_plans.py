@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import atom_rows
+from atom_tables import atom_rows
 from pyspark.sql import functions as F
 
 from atomframe import scaling

@@ -3,7 +3,7 @@
 import gzip
 
 import pytest
-from conftest import ids
+from atom_tables import ids
 from pyspark.sql import functions as F
 
 from atomframe.operators import prep
