@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from contextlib import contextmanager
 from math import isqrt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +34,30 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(key, before)
 
 
+def byte_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string, binary or list column that hold about ``most`` bytes (8 for a list entry); a row at least."""
+    if pa.types.is_list(column.type):
+        sizes = pc.multiply(pc.fill_null(pc.list_value_length(column), 0), 8)
+    else:
+        sizes = pc.fill_null(pc.binary_length(column), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def give_back() -> None:
+    """Hand memory that a finished slice has freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

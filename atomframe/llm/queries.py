@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, mixing, near_dups, packing, quality, sharding, token_files, toxicity, warc
+from . import (
+    embeddings, fingerprints, mixing, near_dups, packing, quality, sharding, token_files, topk, toxicity, warc,
+)
 
 QUERIES = {
     "op1_mixture_draws": mixing.op1_mixture_draws,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_bayes_minhash": near_dups.op8_bayes_minhash,
     "op9_warc_members": warc.op9_warc_members,
     "op10_token_files": token_files.op10_token_files,
+    "op13_sorted_lists": topk.op13_sorted_lists,
 }
 ORACLES = {
     "op1_mixture_draws": mixing.SQL,
@@ -22,4 +25,5 @@ ORACLES = {
     "op6_lattice_neighbours": embeddings.SQL,
     "op8_bayes_minhash": near_dups.SQL,
     "op9_warc_members": warc.SQL,
+    "op13_sorted_lists": topk.SQL,
 }
