@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    embeddings, fingerprints, lexical, mixing, near_dups, packing, quality, sharding, token_files, topk, toxicity, warc,
+    alignment, embeddings, fingerprints, lexical, mixing, near_dups, packing, quality, sharding, token_files, topk, toxicity, warc,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_bayes_minhash": near_dups.op8_bayes_minhash,
     "op9_warc_members": warc.op9_warc_members,
     "op10_token_files": token_files.op10_token_files,
+    "op11_pointer_jumping": alignment.op11_pointer_jumping,
     "op12_norm_buckets": lexical.op12_norm_buckets,
     "op13_sorted_lists": topk.op13_sorted_lists,
 }
