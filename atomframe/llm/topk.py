@@ -5,8 +5,8 @@ blocks, and queries too; a block of vectors against a block of queries is one gr
 bounded size, whatever the table holds. Inside a group every dimension is a list sorted
 by its component, and a query is answered by no-random-access aggregation:
 
-1. All lists are read from the end that adds most to the query's score, by ever deeper
-   strides. What was read of a row is summed.
+1. Lists are read by ever deeper strides, each from the end that adds most to the query's
+   score. All queries of a group read together. What was read of a row is summed.
 2. What a list still holds adds at most the last value read and at least the value at
    its far end, which bounds every row's score from above and below, also of rows that
    no list has shown yet.
@@ -14,8 +14,9 @@ by its component, and a query is answered by no-random-access aggregation:
    once few rows are left, or when the lists are read out.
 4. The rows left get their exact score in integers.
 
-One block of vectors is searched first. Its k-th score is a proven lower bound, which the
-groups of all other blocks start from.
+One block of vectors is searched first, and every pass searches four times as many as all
+before it. The k-th score found so far is a proven lower bound, which the groups of the
+next pass start from.
 
 Defined results: vectors that are null, hold a null or non-finite component or one of
 ``LIMIT`` or more in size (its score could exceed 64 bits) take no part, nor do rows
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scaling import cut_lineage, top_k
+from ..scaling import cut_lineage, top_k, union_all
 from .common import table
 
 K = 5
@@ -40,62 +41,83 @@ UNIT = 256
 #: Vectors of a block, and queries of a block, about.
 BLOCK, QUERIES = 4096, 256
 #: Shares of the lists after which bounds are drawn.
-STRIDES = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1.0)
+STRIDES = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1.0)
 #: Reading stops when at most this share of a block's rows is left.
-FEW = 1 / 64
+FEW = 1 / 32
 LIMIT = 2.0**16
+#: The first pass searches one block of vectors, all passes up to the next one so many times as many.
+GROWTH = 4
 KEYS = ["dim", "block", "query_block"]
 FOUND = "query_id long, vec_id long, score long"
 
 
 class SortedLists:
-    """The rows of a block as one list per dimension, in descending order of the component."""
+    """The rows of a block as one list per dimension, in ascending order of the component, read from both ends.
+
+    What one end has shown is kept as a matrix of rows and dimensions, since all queries of
+    a group read the same lists: a query uses the upper end of a list where its own
+    component is positive and the lower end where it is negative.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
-        columns = np.ascontiguousarray(x.T)
-        self.rows = np.argsort(-columns, axis=1, kind="stable")
-        self.values = np.take_along_axis(columns, self.rows, axis=1)
+        self.rows = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.rows, axis=0).astype(np.float32)
+        self.upper, self.lower = (np.full(x.shape, np.nan, np.float32) for _ in range(2))
+        self.depth = 0
 
-    def read(self, lists: np.ndarray, backwards: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and values at places ``lo`` to ``hi`` of the lists, counted from the far end where ``backwards``."""
+    def read(self, depth: int) -> None:
+        """Read on, at both ends of every list, to ``depth`` entries."""
         n = len(self.ids)
-        at = np.arange(lo, hi)
-        at = np.where(backwards[:, None], n - 1 - at[None], at[None])
-        return self.rows[lists[:, None], at], self.values[lists[:, None], at]
+        for shown, part in ((self.upper, slice(n - depth, n - self.depth)), (self.lower, slice(self.depth, depth))):
+            np.put_along_axis(shown, self.rows[part], self.values[part], axis=0)
+        self.depth = depth
+
+    def bounds(self, up: np.ndarray, down: np.ndarray, far: bool) -> np.ndarray:
+        """Bounds of every row's score (rows, queries) for the positive and the negative parts of the queries.
 
+        What a list has not shown counts as its last value shown (an upper bound) or, with ``far``, as
+        the value at its other end (a lower bound).
+        """
+        n, at = len(self.ids), self.depth
+        high, low = (self.values[0], self.values[-1]) if far else (self.values[n - at], self.values[at - 1])
+        gaps = np.concatenate([np.nan_to_num(self.upper - high, nan=0.0), np.nan_to_num(self.lower - low, nan=0.0)], axis=1)
+        return gaps @ np.concatenate([up, down], axis=1).T + (up @ high + down @ low)
 
-def survivors(lists: SortedLists, q: np.ndarray, k: int, least: float, own: np.ndarray) -> np.ndarray:
-    """Rows that can be among the ``k`` best for ``q`` and reach ``least``; ``own`` marks rows that may not be."""
+
+def survivors(lists: SortedLists, points: np.ndarray, k: int, least: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Per query (a row of ``points``) the rows that can be among its ``k`` best and reach ``least``, without row ``own`` (-1: none)."""
     n = len(lists.ids)
-    used = np.flatnonzero(q)
-    if not len(used) or n <= k:
-        return np.flatnonzero(~own)
-    weight, backwards = q[used].astype(np.float64), q[used] < 0
-    ends = np.where(backwards, lists.values[used, 0], lists.values[used, -1]) * weight
-    # Sums below 2^53 are exact; above, bounds are widened by more than they can be off.
-    most = float((np.abs(weight) * np.abs(lists.values[used]).max(axis=1)).sum())
-    slack = 0.0 if most < 2.0**52 else most * 2.0**-40
-    shown = np.zeros((n, len(used)))
-    total = np.zeros(n)
-    lo = 0
+    out = [np.delete(np.arange(n), o) if o >= 0 else np.arange(n) for o in own]
+    if n <= k or not points.shape[1]:
+        return out
+    left = np.arange(len(points))
+    # Bounds are drawn in single precision and widened by more than they can be off.
+    slack = (np.abs(points) @ np.abs(lists.values[[0, -1]]).max(axis=0)) * 1e-5
     for share in STRIDES:
-        hi = max(lo + 1, min(n, round(share * n)))
-        if hi > n:
-            break
-        rows, values = lists.read(used, backwards, lo, hi)
-        adds = values * weight[:, None]
-        total += np.bincount(rows.ravel(), adds.ravel(), minlength=n)
-        shown[rows.ravel(), np.repeat(np.arange(len(used)), hi - lo)] = 1.0
-        last = adds[:, -1]
-        upper = total + (last.sum() - shown @ last) + slack
-        lower = np.where(own, -np.inf, total + (ends.sum() - shown @ ends) - slack)
-        bound = max(least, float(np.partition(lower, n - k)[n - k]))
-        alive = (upper >= bound) & ~own
-        lo = hi
-        if alive.sum() <= max(4 * k, FEW * n):
+        depth = max(1, round(share * n))
+        if depth <= lists.depth and share < 1:
+            continue
+        lists.read(depth)
+        q = points[left].astype(np.float32)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        bound, mine = least[left].copy(), own[left]
+        blind = np.flatnonzero(bound == -np.inf)
+        if len(blind):
+            lower = lists.bounds(up[blind], down[blind], far=True) - slack[left[blind]]
+            held = np.flatnonzero(mine[blind] >= 0)
+            lower[mine[blind[held]], held] = -np.inf
+            bound[blind] = np.partition(lower, n - k, axis=0)[n - k]
+        alive = lists.bounds(up, down, far=False) + slack[left] >= bound
+        held = np.flatnonzero(mine >= 0)
+        alive[mine[held], held] = False
+        done = (alive.sum(axis=0) <= max(4 * k, FEW * n)) | (share == 1)
+        for i in np.flatnonzero(done):
+            out[left[i]] = np.flatnonzero(alive[:, i])
+        left = left[~done]
+        if not len(left):
             break
-    return np.flatnonzero(alive)
+    return out
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -108,12 +130,13 @@ def _search(k: int):
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if vectors.num_rows and queries.num_rows:
             dim = vectors.column("dim")[0].as_py()
+            vectors = vectors.sort_by("vec_id")
             lists = SortedLists(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("q"), dim))
-            points = _matrix(queries.column("q"), dim)
-            least = queries.column("least").to_pylist()
-            for query, q, bound in zip(queries.column("query_id").to_pylist(), points, least):
-                bound = -np.inf if bound is None else float(bound)
-                rows = survivors(lists, q, k, bound, lists.ids == query)
+            points, asked = _matrix(queries.column("q"), dim), queries.column("query_id").to_numpy()
+            least = np.array([-np.inf if v is None else v for v in queries.column("least").to_pylist()], dtype=float)
+            at = np.minimum(np.searchsorted(lists.ids, asked), len(lists.ids) - 1)
+            own = np.where(lists.ids[at] == asked, at, -1)
+            for query, q, rows in zip(asked.tolist(), points, survivors(lists, points, k, least, own)):
                 scores = lists.x[rows] @ q
                 best = np.lexsort((lists.ids[rows], -scores))[:k]
                 found.append((query, lists.ids[rows[best]], scores[best]))
@@ -160,15 +183,25 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY) -> Da
     counts = asked.select("dim", F.col("query_blocks")).distinct()
     spread = rows.join(counts, "dim").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
     spread = spread.select(*KEYS, "vec_id", "q")
-    none = F.lit(None).cast("long")
-    lead = _meet(spread.filter("block = 0"), asked.select("dim", F.lit(0).alias("block"), "query_block", "query_id", "q", none.alias("least")), k)
-    lead = cut_lineage(lead)
-    known = lead.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     depth = rows.select("dim", "blocks").distinct()
-    wide = asked.join(depth, "dim").filter("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
-    wide = wide.join(known, "query_id", "left").select(*KEYS, "query_id", "q", "least")
-    rest = cut_lineage(_meet(spread.filter("block > 0"), wide, k))
-    best = top_k(lead.unionByName(rest), ["query_id"], [F.desc("score"), F.asc("vec_id")], k, "rank")
+    most = depth.agg(F.max("blocks")).first()[0] or 0
+    passes: list[DataFrame] = []
+    low, high = 0, 1
+    while low < most:
+        wide = asked.join(depth, "dim").filter(F.col("blocks") > low)
+        wide = wide.withColumn("block", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), "blocks") - 1)))
+        if passes:
+            known = top_k(union_all(passes), ["query_id"], [F.desc("score"), F.asc("vec_id")], k, "rank")
+            known = known.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+            wide = wide.join(known, "query_id", "left")
+        else:
+            wide = wide.withColumn("least", F.lit(None).cast("long"))
+        part = spread.filter((F.col("block") >= low) & (F.col("block") < high))
+        passes.append(cut_lineage(_meet(part, wide.select(*KEYS, "query_id", "q", "least"), k)))
+        low, high = high, GROWTH * high
+    if not passes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    best = top_k(union_all(passes), ["query_id"], [F.desc("score"), F.asc("vec_id")], k, "rank")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
