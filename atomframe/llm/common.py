@@ -49,6 +49,32 @@ def byte_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 32 << 20) -> Iterator[pa.Table]:
+    """Tables of complete groups from batches sorted by ``keys``: about ``most`` bytes each, or one group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if held.nbytes < most // 2:
+            continue
+        columns = [held.column(k).to_numpy() for k in keys]
+        open_ = np.logical_and.reduce([c == c[-1] for c in columns])
+        done = 0 if open_.all() else len(held) - int(open_[::-1].argmin())
+        if done:
+            yield held.slice(0, done).combine_chunks()
+            held = held.slice(done).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def group_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys start in sorted key arrays, and the end."""
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(keys[0])]]) if len(keys[0]) else np.zeros(1, np.int64)
+
+
 def give_back() -> None:
     """Hand memory that a finished slice has freed back to the system; workers live on between stages."""
     pa.default_memory_pool().release_unused()
