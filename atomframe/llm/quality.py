@@ -14,7 +14,7 @@ over the texts without a shuffle.
 Defined results: null and empty texts are measured like any text (all counts 0) and
 scored; null labels are not learnt from; a class with fewer labelled rows than
 ``LEAST`` in the sample gives every document the share of label 1 (0.5 without any
-label); repeated rows are scored each; an empty table gives no rows; further columns
+label); repeated rows are scored each, and learnt from once per id; an empty table gives no rows; further columns
 of the input are ignored whatever their names.
 """
 
@@ -22,15 +22,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import byte_slices, give_back, table
 
 #: Labelled documents a model is fitted on at most.
 SAMPLE = 20_000
@@ -166,30 +166,42 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out fold.
+    """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out fold, one row per id.
 
-    The chosen ids are at most ``bound`` rows, so they are broadcast; texts stay where they are.
+    The chosen ids are at most ``bound`` rows, so they are broadcast; texts stay where they
+    are. Of rows that share an id the smallest text and the smallest label count.
     """
     rows = labels.select(F.col("doc_id").alias("labelled"), F.col(label).cast("int").alias("label"))
     rows = rows.filter("label IS NOT NULL AND labelled IS NOT NULL").filter(fold(F.col("labelled"), folds) != held_out)
-    rows = rows.orderBy(F.xxhash64("labelled"), "labelled", "label").limit(bound).dropDuplicates(["labelled"])
-    return docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label")
+    rows = rows.orderBy(F.xxhash64("labelled"), "labelled", "label").limit(bound)
+    rows = rows.groupBy("labelled").agg(F.min("label").alias("label"))
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("labelled"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def measure(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of a bounded sample, in the order of ids."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": rows})
+            rows = sliced(batch.column(2), statistics)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    found = sample.mapInPandas(work, "doc_id long, label int, x array<double>").toPandas()
+    found = sample.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, x array<double>").toPandas()
     found = found.sort_values(["doc_id", "label"])
     rows = np.array(found["x"].tolist(), dtype=float).reshape(-1, N_STATISTICS)
     return rows, found["label"].to_numpy(dtype=int)
 
 
+def sliced(texts: pa.Array, measured: Callable[[str], list[float]]) -> list[list[float]]:
+    """``measured`` of every text (null: empty), with few texts as Python strings at a time."""
+    rows = []
+    for lo, hi in byte_slices(texts):
+        rows += [measured(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
+    give_back()
+    return rows
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, bound: int = SAMPLE) -> Discriminant:
     return fit(*measure(labelled_sample(docs, labels, label, folds, held_out, bound)))
 
@@ -197,11 +209,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 def scorer(model: Discriminant):
     """A function from a text column to its score column."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = np.array([statistics(t or "") for t in texts], dtype=float)
-            yield pd.Series(model.score(rows.reshape(-1, N_STATISTICS)))
+            rows = np.array(sliced(texts, statistics), dtype=float)
+            yield pa.array(model.score(rows.reshape(-1, N_STATISTICS)), pa.float64())
 
     return score
 

@@ -15,7 +15,7 @@ Scoring is one pass over the texts without a shuffle.
 Defined results: null and empty texts have all-zero features and are scored; null
 labels are not learnt from; where a part of the sample lacks either class, every
 document gets the share of toxic rows in the sample (0 without any label); repeated
-rows are scored each; an empty table gives no rows; further columns of the input stay
+rows are scored each, and learnt from once per id; an empty table gives no rows; further columns of the input stay
 untouched whatever their names.
 """
 
@@ -26,13 +26,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scaling import cut_lineage
 from .common import table
-from .quality import fold, labelled_sample
+from .quality import fold, labelled_sample, sliced
 
 SAMPLE = 20_000
 LEXICON = 4000
@@ -48,6 +48,8 @@ RATE, SMOOTH = 0.15, 1.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 NEAR = 6
+#: Words that a task keeps looked up.
+KNOWN = 100_000
 #: Share of the trees' own probability in the score: it orders rows inside a step of the curve.
 BLEND = 0.01
 SEED = 5
@@ -67,7 +69,7 @@ _EDGE = ".,;:!?\"'()[]{}<>"
 
 
 def features(text: str, lexicon: dict[str, tuple[float, float]], known: dict[str, tuple[float, float]]) -> list[float]:
-    """Dense features of one whole text. ``known`` keeps looked-up words of a batch."""
+    """Dense features of one whole text. ``known`` keeps looked-up words."""
     raw = text.split()
     n = max(len(raw), 1)
     words = _WORD.findall(text.lower())
@@ -273,12 +275,13 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
 def _measured(sample: DataFrame, lexicons: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and parts of the sample; each half measured by the lexicon of the other one."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t or "", lexicons[1 - h if h < 2 else 2], {}) for t, h in zip(batch["text"], batch["half"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "half": batch["half"], "x": rows})
+            halves = iter(batch.column(2).to_pylist())
+            rows = sliced(batch.column(3), lambda t: features(t, lexicons[1 - h if (h := next(halves)) < 2 else 2], {}))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "half", "x"])
 
-    found = sample.mapInPandas(work, "doc_id long, label int, half int, x array<double>").toPandas()
+    found = sample.select("doc_id", "label", "half", "text").mapInArrow(work, "doc_id long, label int, half int, x array<double>").toPandas()
     found = found.sort_values(["doc_id", "label"])
     rows = np.array(found["x"].tolist(), dtype=float).reshape(-1, N_FEATURES)
     return rows, found["label"].to_numpy(dtype=int), found["half"].to_numpy(dtype=int)
@@ -303,12 +306,18 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Toxicity:
 def scorer(model: Toxicity):
     """A function from a text column to its score column."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[float, float]] = {}
+
+        def measured(text: str) -> list[float]:
+            if len(known) > KNOWN:
+                known.clear()
+            return features(text, model.lexicon, known)
+
         for texts in batches:
-            known: dict[str, tuple[float, float]] = {}
-            rows = np.array([features(t or "", model.lexicon, known) for t in texts], dtype=float)
-            yield pd.Series(model.score(rows.reshape(-1, N_FEATURES)))
+            rows = np.array(sliced(texts, measured), dtype=float)
+            yield pa.array(model.score(rows.reshape(-1, N_FEATURES)), pa.float64())
 
     return score
 

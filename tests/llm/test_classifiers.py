@@ -101,3 +101,63 @@ def test_measures_of_odd_texts():
     for text in ("", " ", "a", "x" * 100000, "A\n" * 5000, "😀".encode("utf-16", "surrogatepass").decode("utf-16")):
         assert np.isfinite(quality.statistics(text)).all()
         assert np.isfinite(toxicity.features(text, {}, {})).all()
+
+
+def test_sample_is_bounded_by_ids(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(500)] + [(i, "other") for i in range(100, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 1), (7, 0)], "doc_id long, quality int")
+    rows = quality.labelled_sample(docs, labels, "quality", quality.FOLDS, quality.HELD_OUT, 150).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) <= 150
+    assert [r["text"] for r in rows if r["doc_id"] == 7] in ([], ["text 0"])
+
+
+def test_quality_shrinks_covariances():
+    """The kept factors against the definition of the shrunken class covariances."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)), rng.normal(size=(120, 4)) + 1])
+    y = np.repeat([0, 1], [200, 120])
+    model = quality.fit(x, y)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    own = [sum(np.outer(r - z[y == k].mean(axis=0), r - z[y == k].mean(axis=0)) for r in z[y == k]) / (y == k).sum() for k in (0, 1)]
+    pooled = sum(o * (y == k).mean() for k, o in enumerate(own))
+    for k in (0, 1):
+        mixed = (1 - quality.TO_POOLED) * own[k] + quality.TO_POOLED * pooled
+        wanted = mixed * (1 - quality.TO_DIAGONAL) + np.diag(np.diag(mixed)) * quality.TO_DIAGONAL + 1e-4 * np.eye(4)
+        factor = np.linalg.inv(model.whiten[k])
+        assert np.allclose(factor @ factor.T, wanted)
+
+
+def test_first_tree_takes_the_best_cuts():
+    """The first tree against a search over all cuts, feature by feature and node by node."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, size=(400, 3)).astype(float)
+    y = ((x[:, 0] > 2) & (x[:, 1] < 4) | (rng.random(400) < 0.1)).astype(float)
+    start, trees = toxicity.boost(x, y)
+    p = y.mean()
+    slope, curve = np.full(400, p) - y, np.full(400, p * (1 - p))
+    assert start == pytest.approx(np.log(p / (1 - p)))
+    score = lambda rows: slope[rows].sum() ** 2 / (curve[rows].sum() + toxicity.SMOOTH)
+
+    def grow(rows, node, depth):
+        tree = trees[0]
+        if depth == toxicity.DEPTH:
+            value = -toxicity.RATE * slope[rows].sum() / (curve[rows].sum() + toxicity.SMOOTH)
+            assert tree.value[node - (2**depth - 1)] == pytest.approx(value)
+            return
+        cuts = [(score(rows[x[rows, f] <= v]) + score(rows[x[rows, f] > v]) - score(rows), f, v) for f in range(3) for v in range(6)]
+        best = max(c[0] for c in cuts)
+        right = x[rows, tree.feature[node]] > tree.bound[node]
+        if best > 1e-6:
+            assert score(rows[~right]) + score(rows[right]) - score(rows) == pytest.approx(best)
+        grow(rows[~right], 2 * node + 1, depth + 1)
+        grow(rows[right], 2 * node + 2, depth + 1)
+
+    grow(np.arange(400), 0, 0)
+
+
+@pytest.mark.parametrize("name,label,query", [("op2", "quality", quality.op2_quality_discriminant), ("op3", "toxic", toxicity.op3_toxicity_trees)])
+def test_held_out_documents_are_told_apart(spark, sf_dir, name, label, query):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in query(spark, folder).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(rows) > 300 and _auc([r["score"] for r in rows], [labels[r["doc_id"]] for r in rows]) > 0.95
