@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from contextlib import contextmanager
 from math import isqrt
 
 import numpy as np
@@ -22,18 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """Rows handed to Python at a time while actions run inside: long texts then take little memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def byte_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of a string, binary or list column that hold about ``most`` bytes (8 for a list entry); a row at least."""
     if pa.types.is_list(column.type):

@@ -23,8 +23,10 @@ no rows; further columns of the input are ignored whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,23 +38,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scaling import checkpoint_dir, cut_lineage
-from .common import small_batches, table
+from .alignment import byte_letters
+from .common import byte_slices, give_back, table
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Bytes of input for one file.
+#: Bytes of text for one file, and of those for one call of the encoder.
 FILE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 #: Distinct words whose ids a worker keeps; longer words than LONG are not kept.
 CACHE_WORDS = 300_000
 LONG = 64
-#: Words encoded in one call, and what stands between them.
-TOGETHER = 500
-MARK = "|"
+#: Words encoded in one call, and what ends each of them there.
+TOGETHER = 2000
+WORD_END = "\x7f"
 STOP = "\n"
 ENDINGS = (".", ",")
 #: Characters whose lower case does not depend on their neighbours and that need no composing.
+_STOPS = re.compile("[.,][.,]")
 _SIMPLE = re.compile(r"[\x00-\u017F]*")
 FILE_SCHEMA = "doc_id long, n_tokens int, start_in_file long, ids array<int>"
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -63,38 +68,57 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For words in lower case the same model without the rules that cut and lower a text.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         self.cache: dict[str, bytes] = {}
-        self.mark = self._ids([MARK])[0]
+        self.ranked, self.last = self._ranked(path)
         self.word_wise = self._is_word_wise()
 
+    def _ranked(self, path: str):
+        """For words of letters only, the same merges as ranks of byte strings, and which ids end a word.
+
+        A word's end is one more byte that letters never hold. Where ids do not ascend with the
+        order of merges, ranks would merge in another order: None.
+        """
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            kept = json.load(file)
+        model, letters = kept["model"], byte_letters()
+        suffix, special = model.get("end_of_word_suffix") or "", {t["content"] for t in kept.get("added_tokens", [])}
+        vocabulary = {token: i for token, i in model["vocab"].items() if token not in special}
+        joined = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        if not suffix or any(x >= y for x, y in zip([-1, *joined], joined)):
+            return None, None
+        last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        ranks = {}
+        for token, i in vocabulary.items():
+            last[i] = token.endswith(suffix)
+            ranks[bytes(letters[c] for c in token.removesuffix(suffix)) + WORD_END.encode() * bool(last[i])] = i
+        return tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={}), last
+
     def _is_word_wise(self) -> bool:
-        """Whether white space and a final stop only end a word, and capitals do not count."""
+        """Whether white space and a final stop only end a word, capitals do not count, and the ranks agree."""
         whole = self._ids(["Ab  c,\n\td."])[0]
         parts = self._ids(["ab", "c", ",", "d", "."])
-        same = [self._ids([w], tool)[0] for tool in (self.tokenizer, self.bare) for w in ("stra\u00dfe", "\u00e9t\u00e9 | x")]
-        return whole == b"".join(parts) and len(self.mark) == 4 and same[:2] == same[2:]
+        words = ["a", "stra\u00dfe", "\u00e9t\u00e9", "understanding", "xqzvw"]
+        return whole == b"".join(parts) and (self.ranked is None or self._words(words) == self._ids(words))
 
-    def _ids(self, texts: list[str], tool=None) -> list[bytes]:
-        found = (tool or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-case words made of letters only: encoded together, a mark that has one id between them."""
+        """Ids of lower-case words made of letters only, many in one call."""
+        if self.ranked is None:
+            return self._ids(words)
         out: list[bytes] = []
-        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups], self.bare)):
-            flat = np.frombuffer(ids, dtype="<u4")
-            cuts = (np.flatnonzero(flat == np.frombuffer(self.mark, dtype="<u4")[0]) * 4).tolist()
-            found = [ids[lo:hi] for lo, hi in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)])]
-            out += found if len(found) == len(group) else self._ids(group)
+        for lo in range(0, len(words), TOGETHER):
+            flat = np.array(self.ranked.encode_ordinary(WORD_END.join([*words[lo : lo + TOGETHER], ""])), dtype="<u4")
+            cuts = ((np.flatnonzero(self.last[flat]) + 1) * 4).tolist()
+            ids = flat.tobytes()
+            out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
     def _look_up(self, words: list[str]) -> list[bytes]:
@@ -141,11 +165,11 @@ class WordEncoder:
                 t = t.replace(space, " ")
             plain.append(t.lower() if (t.isascii() or _SIMPLE.fullmatch(t)) and "<|" not in t else t)
         # Stops become words of their own ...
-        cut = self._cut([t if ",." in t or ".," in t else f"{t} ".replace(". ", " . ").replace(", ", " , ") for t in plain])
+        cut = self._cut([t if _STOPS.search(t) else f"{t} ".replace(". ", " . ").replace(", ", " , ") for t in plain])
         flat, sizes = self._gather(cut, end_id)
-        # ... unless another sign stands before them: those two belong together, and such texts are cut at spaces only.
+        # ... unless another sign stands next to them: those belong together, and such texts are cut at spaces only.
         number, ends, words = cut
-        joined = np.array([w not in ENDINGS and w != STOP and w != "" and not w[-1].isalnum() for w in words])
+        joined = np.array([w not in ENDINGS and w != STOP and w != "" and not _last(w).isalnum() for w in words])
         if joined.any():
             hit = np.diff(np.concatenate([[0], np.cumsum(joined[number])])[ends], prepend=0) > 0
             again, again_sizes = self._gather(self._cut([t for t, h in zip(plain, hit) if h]), end_id)
@@ -155,6 +179,11 @@ class WordEncoder:
         return flat, sizes
 
 
+def _last(word: str) -> str:
+    """The last character of a word as the tokenizer sees it: composed and in lower case."""
+    return word[-1] if word.isascii() else unicodedata.normalize("NFC", word).lower()[-1]
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
@@ -166,7 +195,7 @@ def _encode_partition(path: str):
         tool, start = encoder(path), 0
         for batch in batches:
             ids_of, texts = batch.column(0), batch.column(1)
-            for lo, hi in _slices(texts):
+            for lo, hi in byte_slices(texts, SLICE_BYTES):
                 flat, sizes = tool.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], END_ID)
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))
@@ -175,33 +204,19 @@ def _encode_partition(path: str):
                     names=["doc_id", "n_tokens", "start_in_file", "ids"],
                 )
                 start += int(ends[-1])
+            give_back()
 
     return work
 
 
-def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes of text, at least one row."""
-    sizes = np.fromiter((0 if s is None else s for s in pc.binary_length(texts).to_pylist()), dtype=np.int64, count=len(texts))
-    lo, held = 0, 0
-    for i, size in enumerate(sizes):
-        if held and held + size > most:
-            yield lo, i
-            lo, held = i, 0
-        held += int(size)
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs`` and write the files under ``folder``, in ascending order of id.
 
     ``vocabulary``: the path of a tokenizer file that every executor can read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The planner's estimate: the size of the files read. Without one, as many files as shuffle partitions.
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    files = -(-size // file_bytes) if size < 2**60 else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(max(1, files), "doc_id", F.octet_length("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = rows.repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", F.octet_length("text"))
     rows = rows.sortWithinPartitions("doc_id", "text")
     encoded = rows.mapInArrow(_encode_partition(vocabulary), FILE_SCHEMA)
     writer = encoded.write.option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP_BYTES)
@@ -241,7 +256,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    with small_batches(spark, 2000):
-        write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY))
-        back = read_tokens(spark, folder)
-        return cut_lineage(back.mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY))
+    back = read_tokens(spark, folder)
+    return cut_lineage(back.mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long"))

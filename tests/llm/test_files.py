@@ -1,5 +1,6 @@
 """WARC archives and token files: exact round trips."""
 
+import random
 import gzip
 import zlib
 
@@ -80,3 +81,29 @@ def test_whole_texts_where_space_counts():
     ids, sizes = tool.encode(["a  b", ""], 2)
     assert ids.tolist() == [*tool.tokenizer.encode("a  b").ids, 2, 2] and sizes.sum() == len(ids)
     assert np.array(sizes).tolist()[1] == 1
+
+
+def test_ids_of_random_texts():
+    """Stops, spaces, marks and odd letters in any order, against whole texts in the library."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    tool, library, rng = token_files.WordEncoder(path), Tokenizer.from_file(path), random.Random(7)
+    parts = [
+        "a", "ab", "word", ".", ",", "..", ",,", ",.", ". ", ", ", " ", "  ", "\n", "\t", "!", "?", "'s", "é", "é", "ß", "İ", "क़", "ᾳ",
+        "世界", "1", "23", "-", "<|endoftext|>", "<|", "|", " ", "Ab", "ÉTÉ", "ŉ", "ſ", "😀", "\x7f", "²", "…",
+    ]
+    texts = ["a .. b", "..", "x ,,", ". .", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(20000))]
+    ids, sizes = tool.encode(texts, 2)
+    wanted = [[*e.ids, 2] for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == wanted
+
+
+def test_token_files_of_nothing_and_clashing_columns(spark, odd_docs, no_docs, tmp_path):
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    token_files.write_token_files(no_docs, f"{tmp_path}/none", path)
+    assert token_files.read_tokens(spark, f"{tmp_path}/none").collect() == []
+    clash = odd_docs.selectExpr("*", "1 AS ids", "'x' AS n_tokens", "2 AS start_in_file", "3 AS file")
+    token_files.write_token_files(clash, f"{tmp_path}/some", path)
+    back = token_files.read_tokens(spark, f"{tmp_path}/some")
+    assert back.count() == odd_docs.count() and back.filter("doc_id IS NULL").count() == 1
