@@ -103,6 +103,12 @@ def cells(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(homes, axis=1), np.stack(probes, axis=1)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows at length 1; each is brought to size 1 first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
@@ -112,8 +118,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim in np.unique(sizes):
             which = np.flatnonzero(sizes == dim)
             for part in np.array_split(which, max(1, len(which) // 1000)):
-                x = flat[starts[part][:, None] + np.arange(dim)]
-                home, probe = cells(x / np.linalg.norm(x, axis=1, keepdims=True))
+                home, probe = cells(unit_rows(flat[starts[part][:, None] + np.arange(dim)]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[part]), pa.array(list(home.view(np.int64)), pa.list_(pa.int64())),
@@ -138,6 +143,7 @@ def _verify(threshold: float):
                 for dim in np.unique(size[same]):
                     part = same[size[same] == dim]
                     a, b = x[xo[part][:, None] + np.arange(dim)], y[yo[part][:, None] + np.arange(dim)]
+                    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
                     cosine = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
                     keep.append(part[cosine >= threshold])
             kept = batch.take(pa.array(np.concatenate([np.empty(0, np.int64), *keep]).astype(np.int64)))
@@ -148,7 +154,7 @@ def _verify(threshold: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     keys = [F.when(usable, F.xxhash64("v")).alias("k1"), F.when(usable, F.xxhash64(F.lit(1), F.col("v"))).alias("k2")]

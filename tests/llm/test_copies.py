@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from atomframe.llm import embeddings, fingerprints, near_dups
 
@@ -87,6 +88,38 @@ def test_vectors_against_all_pairs(spark):
     assert got[n + 6]["component_id"] == n + 5 and got[n + 5]["n_links"] == 1
 
 
+def test_vectors_of_any_size_are_compared_in_double_precision(spark):
+    close = [3.0, 1.0, 2.0 + 1e-12]
+    rows = [(0, [1e-60, 0.0]), (1, [1e-60, 0.0]), (2, [0.0, 1e60]), (3, [0.0, 2e60]), (4, [-1e300, 1e300]), (5, [-1e-300, 1e-300]), (6, [3.0, 1.0, 2.0]), (7, close)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rep", "2 AS k1", "'x' AS v", "3 AS cell")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(docs).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+
+
+def test_vectors_odd_tables(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embeddings.near_vectors(none).collect() == []
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got if r["vec_id"] is not None) == [(1, 1), (1, 1)]
+    assert all(r["n_links"] == 0 and r["component_id"] is None and r["kept"] for r in got if r["vec_id"] is None) and len(got) == 4
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+def test_recall_just_above_the_threshold(dim):
+    """Pairs at cosine 0.9505 to 0.956 meet in one of the tables."""
+    rng = np.random.default_rng(dim)
+    x = embeddings.unit_rows(rng.normal(size=(800, dim)))
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    cosine = rng.uniform(0.9505, 0.956, size=(len(x), 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * embeddings.unit_rows(side)
+    (home_x, probe_x), (home_y, probe_y) = embeddings.cells(x), embeddings.cells(y)
+    near = [(home_x[:, :, None] == np.concatenate([home_y[:, :, None], probe_y], axis=2)), home_y[:, :, None] == probe_x]
+    met = near[0].any(axis=(1, 2)) | near[1].any(axis=(1, 2))
+    assert met.mean() > 0.99
+
+
 def test_lattice_decoding_is_nearest():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 8)) * 2
