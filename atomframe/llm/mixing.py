@@ -8,14 +8,15 @@ A bisection takes five levels per aggregation, on one row per source.
 
 The weights are realised as budgeted block permutations: source s may spend
 round(weight * budget) tokens. Its documents are read in one seeded permutation
-after the other, each laid out in blocks, until the next document would exceed
-that. All that a document needs to know is its source's row (whole passes, and
-the last key of the unfinished pass), so texts are never shuffled.
+after the other, each laid out in blocks. In the pass that the quota does not
+complete, every document is drawn that still fits what is left when its turn comes;
+the others are left out. All that a document needs to know is its source's row (whole
+passes, and the stretches of the unfinished pass), so texts are never shuffled.
 
 Defined results: a null text has no tokens; rows with a null source form a source
 of their own; a source without any token has weight 0 and its documents are drawn
-once (they cost nothing); rows with the same id are drawn together; an empty table
-gives no rows; further columns are kept untouched whatever their names.
+once (they cost nothing); rows that share id and size are drawn together; an empty
+table gives no rows; further columns are kept untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scaling import cut_lineage
+from ..scaling import cut_lineage, union_all
 from .common import block_rows, key_block, position, shuffle_key, table, word_count
 
 SEED = 23
@@ -79,8 +80,45 @@ def exponent(shares: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeat
     return round(max(x, most if flat > max_repeats else 0.0), 6)
 
 
+def _key(seed: int, epoch: Column, doc_id: Column, n_tokens: Column) -> Column:
+    """Where a row stands in the permutation of a pass."""
+    row = F.concat_ws(":", epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null")), n_tokens.cast("string"))
+    return shuffle_key(F.lit(seed), row)
+
+
+def stretches(groups: DataFrame, rest: DataFrame) -> DataFrame:
+    """(s3, stretches): which rows of an unfinished pass are drawn, per source.
+
+    ``groups`` holds (s, block, key, n, size): rows of ``n`` tokens that share a key, and
+    their tokens together. ``rest`` holds (s, rest): tokens left. A stretch starts behind
+    ``after``, ends before ``stop`` (null: not at all) and holds the rows of at most
+    ``rest`` tokens in it; at ``stop`` stands what did not fit any more. Each round finds
+    the next stretch of every source at once.
+    """
+    state = rest.select(F.col("s").alias("s2"), "rest", F.lit("").alias("after"))
+    found: list[DataFrame] = []
+    while True:
+        rows = groups.join(state, F.col("s").eqNullSafe(F.col("s2"))).filter((F.col("n") <= F.col("rest")) & (F.col("key") > F.col("after")))
+        rows = cut_lineage(rows.select("s", "block", "key", "size", "rest", "after"))
+        sums = rows.groupBy("s", "block").agg(F.sum("size").alias("sum"))
+        before = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select(F.col("s").alias("s2"), F.col("block").alias("block2"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+        inside = Window.partitionBy("s", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = rows.join(starts, F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("block2")))
+        running = running.withColumn("reached", F.col("start") + F.sum("size").over(inside))
+        fits = F.col("reached") <= F.col("rest")
+        part = running.groupBy("s", "rest", "after").agg(
+            F.min(F.when(~fits, F.col("key"))).alias("stop"), F.coalesce(F.max(F.when(fits, F.col("reached"))), F.lit(0)).alias("used"),
+        )
+        part = cut_lineage(part)
+        found.append(part.select(F.col("s").alias("s3"), F.struct("after", "stop", "rest").alias("stretch")))
+        state = part.filter("stop IS NOT NULL").select(F.col("s").alias("s2"), (F.col("rest") - F.col("used")).alias("rest"), F.col("stop").alias("after"))
+        if state.isEmpty():
+            return union_all(found).groupBy("s3").agg(F.collect_list("stretch").alias("stretches"))
+
+
 def plan(rows: DataFrame, seed: int, entropy_share: float, max_repeats: float, budget: int | None) -> tuple[DataFrame, int, int]:
-    """One row per source: s, weight, quota, tokens, passes, last (key, or null); number of blocks; budget.
+    """One row per source: s, weight, quota, tokens, passes, stretches (or null); number of blocks; budget.
 
     ``rows`` holds (doc_id, source, n_tokens).
     """
@@ -99,25 +137,20 @@ def plan(rows: DataFrame, seed: int, entropy_share: float, max_repeats: float, b
     passes = F.when(F.col("tokens") > 0, F.expr("quota DIV tokens")).otherwise(1).cast("long")
     rest = F.when(F.col("tokens") > 0, F.expr("quota % tokens")).otherwise(0).cast("long")
     sources = cut_lineage(sources.withColumn("passes", passes).withColumn("rest", rest))
-    # The unfinished pass: the last key whose running token count still fits.
     keyed = rows.join(sources, F.col("source").eqNullSafe(F.col("s")) & (F.col("rest") > 0))
-    keyed = keyed.select("s", "n_tokens", "rest", shuffle_key(F.lit(seed), F.concat_ws(":", F.col("passes").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
-    keyed = cut_lineage(keyed.withColumn("block", key_block(F.col("key"), blocks)))
-    per_block = keyed.groupBy("s", "block").agg(F.sum("n_tokens").alias("sum"))
-    before = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select(F.col("s").alias("s2"), F.col("block").alias("block2"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("s", "block").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    running = keyed.join(starts, F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("block2")))
-    running = running.withColumn("reached", F.col("start") + F.sum("n_tokens").over(inside))
-    last = running.filter("reached <= rest").groupBy("s").agg(F.max("key").alias("last")).select(F.col("s").alias("s3"), "last")
-    full = sources.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").drop("s3", "rest")
+    keyed = keyed.select("s", F.col("n_tokens").alias("n"), _key(seed, F.col("passes"), F.col("doc_id"), F.col("n_tokens")).alias("key"))
+    groups = keyed.groupBy("s", "key").agg(F.max("n").alias("n"), F.sum("n").alias("size"))
+    groups = cut_lineage(groups.withColumn("block", key_block(F.col("key"), blocks)))
+    drawn = stretches(groups, sources.filter("rest > 0").select("s", "rest"))
+    full = sources.join(drawn, F.col("s").eqNullSafe(F.col("s3")), "left").drop("s3", "rest")
     return cut_lineage(full), blocks, budget
 
 
-def _epochs(seed: int, doc_id: Column, passes: Column, last: Column) -> Column:
-    """The passes a row is drawn in: all whole ones, and the unfinished one up to its last key."""
-    key = shuffle_key(F.lit(seed), F.concat_ws(":", passes.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
-    drawn = passes + F.coalesce((key <= last).cast("long"), F.lit(0))
+def _epochs(seed: int, doc_id: Column, n_tokens: Column, passes: Column, parts: Column) -> Column:
+    """The passes a row is drawn in: all whole ones, and the unfinished one where a stretch holds the row."""
+    key = _key(seed, passes, doc_id, n_tokens)
+    inside = lambda p: (key > p["after"]) & (p["stop"].isNull() | (key < p["stop"])) & (n_tokens <= p["rest"])
+    drawn = passes + F.coalesce(F.exists(parts, inside).cast("long"), F.lit(0))
     return F.when(drawn > 0, F.sequence(F.lit(0).cast("long"), drawn - 1))
 
 
@@ -130,26 +163,31 @@ def mix(docs: DataFrame, seed: int = SEED, entropy_share: float = ENTROPY_SHARE,
     size = word_count(F.col("text")) if tokens is None else tokens
     rows = cut_lineage(docs.select("doc_id", "source", size.alias("n_tokens")))
     sources, _, _ = plan(rows, seed, entropy_share, max_repeats, budget)
-    left, right = docs.alias("d"), sources.alias("m")
+    unused = "_" * max(map(len, docs.columns))
+    left, right = docs.withColumn(f"size{unused}", size).alias("d"), sources.alias("m")
     joined = left.join(right, F.col("d.source").eqNullSafe(F.col("m.s")))
-    epochs = _epochs(seed, F.col("d.doc_id"), F.col("m.passes"), F.col("m.last"))
-    unused = "epoch" + "_" * max(map(len, docs.columns))
-    return joined.select("d.*", F.explode(epochs).alias(unused)).drop(unused)
+    epochs = _epochs(seed, F.col("d.doc_id"), F.col(f"d.size{unused}"), F.col("m.passes"), F.col("m.stretches"))
+    return joined.select("d.*", F.explode(epochs).alias(f"epoch{unused}")).drop(f"size{unused}", f"epoch{unused}")
 
 
 def draws(docs: DataFrame, seed: int = SEED, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget: int | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, weight, epoch, block, slot): where each drawn row stands.
 
-    A source is read pass by pass (epoch), block by block, slot by slot.
+    A source is read pass by pass (epoch), block by block, slot by slot. Rows that share id
+    and size are numbered as one and spread out after.
     """
     rows = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens")))
     sources, blocks, _ = plan(rows, seed, entropy_share, max_repeats, budget)
-    drawn = rows.join(sources, F.col("source").eqNullSafe(F.col("s")))
-    drawn = drawn.select("doc_id", "source", "n_tokens", "weight", F.explode(_epochs(seed, F.col("doc_id"), F.col("passes"), F.col("last"))).alias("epoch"))
-    key = shuffle_key(F.lit(seed), F.concat_ws(":", F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    groups = rows.groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    drawn = groups.join(sources, F.col("source").eqNullSafe(F.col("s")))
+    epochs = _epochs(seed, F.col("doc_id"), F.col("n_tokens"), F.col("passes"), F.col("stretches"))
+    drawn = drawn.select("doc_id", "source", "n_tokens", "copies", "weight", F.explode(epochs).alias("epoch"))
+    key = _key(seed, F.col("epoch"), F.col("doc_id"), F.col("n_tokens"))
     drawn = drawn.withColumn("key", key).withColumn("block", key_block(F.col("key"), blocks))
-    inside = Window.partitionBy("source", "epoch", "block").orderBy("key", "n_tokens")
-    return drawn.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", (F.row_number().over(inside) - 1).cast("long").alias("slot"))
+    inside = Window.partitionBy("source", "epoch", "block").orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = drawn.withColumn("upto", F.sum("copies").over(inside))
+    places = F.sequence(F.col("upto") - F.col("copies"), F.col("upto") - 1)
+    return drawn.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", F.explode(places).alias("slot"))
 
 
 def op1_mixture_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,13 +240,20 @@ WITH RECURSIVE rows_ AS MATERIALIZED (
 ), all_ AS (
   SELECT r.doc_id, r.source, n_tokens, weight, tokens, blocks, passes, rest, unnest(range(passes + 1)) AS epoch
   FROM rows_ r JOIN passes p ON r.source IS NOT DISTINCT FROM p.source
-), keyed AS (
-  SELECT *, md5(concat_ws(':', '{SEED}', epoch::VARCHAR, coalesce(doc_id::VARCHAR, 'null'))) AS key FROM all_
+), keyed AS MATERIALIZED (
+  SELECT *, md5(concat_ws(':', '{SEED}', epoch::VARCHAR, coalesce(doc_id::VARCHAR, 'null'), n_tokens::VARCHAR)) AS key FROM all_
+), unfinished AS MATERIALIZED (
+  SELECT source, key, any_value(rest) AS rest, sum(n_tokens)::BIGINT AS size FROM keyed WHERE epoch = passes AND rest > 0 GROUP BY source, key
+), told AS (
+  SELECT source, list(key ORDER BY key) AS ks, list_reduce(list_prepend([0::BIGINT], list([size] ORDER BY key)),
+    lambda a, x: CASE WHEN a[1] + x[1] <= any_value(rest) THEN list_concat([a[1] + x[1]], a[2:], [1::BIGINT]) ELSE list_append(a, 0::BIGINT) END) AS fits
+  FROM unfinished GROUP BY source
+), kept AS MATERIALIZED (SELECT source, unnest(ks) AS key, unnest(fits[2:]) AS fits FROM told
 ), blocked AS (
-  SELECT *, floor(('0x' || substr(key, 1, 8))::BIGINT * blocks / 4294967296.0)::BIGINT AS block,
-    sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key) AS reached FROM keyed
+  SELECT k.*, floor(('0x' || substr(k.key, 1, 8))::BIGINT * blocks / 4294967296.0)::BIGINT AS block, coalesce(fits, 0) AS fits
+  FROM keyed k LEFT JOIN kept f ON k.epoch = k.passes AND k.source IS NOT DISTINCT FROM f.source AND k.key = f.key
 )
 SELECT doc_id, source, n_tokens, weight, epoch::BIGINT AS epoch, block,
   (row_number() OVER (PARTITION BY source, epoch, block ORDER BY key, n_tokens) - 1)::BIGINT AS slot
-FROM blocked WHERE epoch < passes OR (rest > 0 AND reached <= rest)
+FROM blocked WHERE epoch < passes OR fits = 1
 """

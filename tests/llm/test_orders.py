@@ -1,5 +1,6 @@
 """Sharding, mixing and packing."""
 
+import hashlib
 import itertools
 from collections import Counter
 
@@ -91,3 +92,36 @@ def test_packing(odd_docs, no_docs):
         group = list(group)
         assert len(group) == 1 or len(group) * group[0]["padded_to"] <= 20
         assert sorted(r["slot"] for r in group) == list(range(len(group)))
+
+
+def greedy(rows, quota, epoch=0):
+    """Ids of one source drawn in an unfinished pass: each in its turn, if it still fits."""
+    groups = {}
+    for i, n in rows:
+        key = hashlib.md5(f"{mixing.SEED}:{epoch}:{'null' if i is None else i}:{n}".encode()).hexdigest()
+        groups.setdefault(key, []).append((i, n))
+    out = []
+    for _, group in sorted(groups.items()):
+        size = sum(n for _, n in group)
+        if size <= quota:
+            quota -= size
+            out += [i for i, _ in group]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("budget", [1, 37, 4600, 5200])
+def test_unfinished_pass_draws_all_that_fits(spark, budget):
+    rng = np.random.default_rng(budget)
+    sizes = [(i, int(n)) for i, n in enumerate(rng.integers(0, 22, 480))] + [(500, 100_000), (501, 900), (502, 2000), (503, 4000)]
+    sizes += [(7, 12)] * 40 + [(None, 3)] * 5 + [(None, 4)]
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in sizes], "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", "1 AS n_tokens", "2 AS stretches", "'x' AS passes")
+    drawn = mixing.mix(docs, budget=budget)
+    assert drawn.columns == docs.columns
+    assert Counter(r["doc_id"] for r in drawn.collect()) == greedy(sizes, budget)
+    placed = mixing.draws(docs, budget=budget).collect()
+    assert Counter(r["doc_id"] for r in placed) == greedy(sizes, budget)
+    blocks = {}
+    for r in placed:
+        blocks.setdefault((r["epoch"], r["block"]), []).append(r["slot"])
+    assert all(sorted(slots) == list(range(len(slots))) for slots in blocks.values())
