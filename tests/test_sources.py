@@ -124,10 +124,40 @@ def test_mmcif_and_its_assembly(spark, tmp_path):
     assert sorted(built.filter("atom_id = 1").select("sym_id", "x").collect()) == [(0, 1.0), (1, 9.5)]
 
 
-def test_wrapped_cif_rows_are_refused(spark, tmp_path):
-    path = write(tmp_path, t__cif=CIF.replace("1.00 5.0 301", "1.00\n5.0 301"))
-    with pytest.raises(Exception, match="not on one line"):
-        structures.read_mmcif(spark, path).collect()
+def test_cif_is_a_stream_of_values(spark, tmp_path):
+    """Wrapped rows, texts in semicolons, comments, pairs over lines and two blocks."""
+    folders = [tmp_path / c for c in "abcde"]
+    for folder in folders:
+        folder.mkdir()
+    plain = [tuple(r) for r in structures.read_mmcif(spark, write(folders[0], t__cif=CIF)).orderBy("rank").collect()]
+    wrapped = CIF.replace("1.00 5.0 301", "1.00 # half\n\n5.0\n301")
+    assert [tuple(r) for r in structures.read_mmcif(spark, write(folders[1], t__cif=wrapped)).orderBy("rank").collect()] == plain
+    note = "\n_note.text\n;loop_\n_atom_site.id\ndata_no\n;\n"
+    two = CIF.replace("data_TEST", "data_one") + note + wrapped.replace("data_TEST", "data_two")
+    got = structures.read_mmcif(spark, write(folders[2], t__cif=two)).orderBy("structure_id", "rank").collect()
+    assert [r["structure_id"] for r in got] == ["t-one"] * 3 + ["t-two"] * 3
+    assert [tuple(r)[1:] for r in got] == [r[1:] for r in plain] * 2
+    pairs = "data_x\n_n.a 'b c'\n_n.d\n;first\n second # no comment\n;\n_n.e # a comment\n \"q # r\"\n_other.x 1\n"
+    found = structures.cif_rows(lines.read_lines(spark, write(folders[3], n__cif=pairs)), "n").collect()
+    assert [(r["tags"], r["tokens"]) for r in found] == [({"a": 0, "d": 1, "e": 2}, ["b c", "first\n second # no comment", "q # r"])]
+    with pytest.raises(Exception, match="ends early"):
+        structures.read_mmcif(spark, write(folders[4], t__cif=CIF.replace("1.00 5.0 301", "1.00 5.0"))).collect()
+
+
+def test_numbers_in_base_36(spark):
+    rows = {"99999": 99999, "A0000": 100000, "ZZZZZ": 43770015, "a0000": 43770016, "zzzzz": 87440031, " -12 ": -12, "Ab000": None, "": None}
+    found = spark.createDataFrame([(t,) for t in rows], "t string").select("t", structures.hybrid36(F.col("t"), 5).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in found} == rows
+
+
+def test_operator_products(spark, tmp_path):
+    text = CIF.replace("1 '1,2' A,B", "1 '(1-60)(61-88)' A")
+    head, tail = text.split("_pdbx_struct_oper_list.vector[3]\n")
+    rows = "".join(f"{k} 1 0 0 {k} 0 1 0 0 0 0 1 0\n" for k in range(1, 89))
+    path = write(tmp_path, t__cif=f"{head}_pdbx_struct_oper_list.vector[3]\n{rows}{tail[tail.index('#'):]}")
+    ops = structures.read_assembly_ops(spark, path).collect()
+    assert sorted(r["op_id"] for r in ops) == list(range(1, 1681))
+    assert sorted(r["tx"] for r in ops) == sorted(float(a + b) for a in range(1, 61) for b in range(61, 89))
 
 
 def test_mmcif_export_round_trip(spark, mixed, tmp_path):
