@@ -1,10 +1,10 @@
 """Screened Coulomb potential on grids, and sampling a grid at atoms.
 
 The potential at a point is a sum over all charges of the structure, so the
-work is points times charges whatever the plan. It is cut into tiles: a brick
-of grid points against a chunk of charges. A tile is one small row until it is
-evaluated as one array operation, tiles of one structure spread over
-all tasks, and the partial sums are added per point.
+work is points times charges whatever the plan. Groups of bricks of grid points are
+dealt over all tasks. The charges come to each group in chunks, a brick and a chunk are
+evaluated as one array operation, and sums stay in the task until the group is done: a
+task holds the points of one group, whatever the number of charges.
 """
 
 from __future__ import annotations
@@ -12,21 +12,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.physics import IONIC_STRENGTH, TEMPERATURE, WATER_DIELECTRIC, kt_scale, screening
 from ..operators import predicates as P
 from ..operators.prep import resolve_conformers
-from ..scaling import by_key, running_index, top_k
+from ..scaling import by_key, cut_lineage, running_index, top_k
 
 BRICK = 8  # points per brick edge
 CHUNK = 512  # charges per chunk
-SPREAD = 64  # copies of a chunk at most, so that its bricks split over as many keys
-BRICKS_PER_COPY = 64
+GROUP = 32  # bricks per group, about
 AXES = "xyz"
+PLACES = ["bi", "bj", "bk"]
 
 
 def grid_axes(
@@ -100,23 +99,43 @@ def _chunks(charges: DataFrame) -> DataFrame:
     )
 
 
-def _tile(kappa: float):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def potential(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for ox, oy, oz, mx, my, mz, hx, hy, hz, qx, qy, qz, q in zip(*batch):
-                dx, dy, dz = (
-                    np.square((o + h * np.arange(m))[:, None] - np.asarray(p))
-                    for o, m, h, p in ((ox, mx, hx, qx), (oy, my, hy, qy), (oz, mz, hz, qz))
-                )
-                square = dx[:, None, None] + dy[None, :, None] + dz[None, None, :]
-                distance = np.sqrt(np.maximum(square, 1.0))
-                weight = np.exp(-kappa * distance) if kappa else 1.0
-                out.append(((weight / distance) @ np.asarray(q)).ravel())
-            yield pd.Series(out)
+def _sums(kappa: float, kind: str):
+    """(structure_id, i, j, k, _sum) of the points of each group of bricks, whose rows come before its charges."""
+
+    def points(owner, bricks: list[tuple], sums: list[np.ndarray]) -> pa.RecordBatch:
+        first = np.array([b[:3] for b in bricks]) * BRICK
+        shapes = [x.shape for x in sums]
+        cells = [np.indices(shape).reshape(3, -1) + f[:, None] for shape, f in zip(shapes, first)]
+        i, j, k = np.concatenate(cells, axis=1).astype(np.int32)
+        names = pa.array([owner], pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.string())
+        owners = names.take(pa.array(np.zeros(len(i), np.int64)))
+        return pa.RecordBatch.from_arrays([owners, *map(pa.array, (i, j, k)), pa.array(np.concatenate([x.ravel() for x in sums]))], names=["structure_id", "i", "j", "k", "_sum"])
 
-    return potential
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, bricks, sums, charged = None, [], [], False
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["structure_id"], row["part"]
+                if key != here:
+                    if charged:
+                        yield points(here[0], bricks, sums)
+                    here, bricks, sums, charged = key, [], [], False
+                if row["q"] is None:
+                    axes = [row[f"o{c}"] + row[f"h{c}"] * (row[b] * BRICK + np.arange(min(BRICK, row[f"n{c}"] - row[b] * BRICK))) for c, b in zip(AXES, PLACES)]
+                    bricks.append((*(row[b] for b in PLACES), axes))
+                    sums.append(np.zeros([len(x) for x in axes]))
+                    continue
+                charged = True
+                at, q = [np.array(row[f"q{c}"]) for c in AXES], np.array(row["q"])
+                for (*_, axes), total in zip(bricks, sums):
+                    dx, dy, dz = (np.square(x[:, None] - p) for x, p in zip(axes, at))
+                    distance = np.sqrt(np.maximum(dx[:, None, None] + dy[None, :, None] + dz[None, None, :], 1.0))
+                    weight = np.exp(-kappa * distance) if kappa else 1.0
+                    total += (weight / distance) @ q
+        if charged:
+            yield points(here[0], bricks, sums)
+
+    return work
 
 
 def coulomb_grid(
@@ -135,47 +154,30 @@ def coulomb_grid(
     """
     axes = grid_axes(charges, spacing, padding, max_points)
     method = (
-        f"screened Coulomb (uniform dielectric {dielectric:g}, ionic strength {ionic:g} M); "
-        "not a Poisson-Boltzmann solution, magnitudes are indicative only"
+        f"sum of screened point charges, dielectric {dielectric:g} everywhere, {ionic:g} M salt; "
+        "compare values within one grid, not with those of a continuum solver"
     )
     meta = axes.withColumn("method", F.lit(method))
-    bricks = _bricks(axes)
-    chunks = _chunks(charges)
-    # only a grid of many bricks needs several copies of its charges
-    bricks_in = F.lit(1)
+    # a group of bricks owns its points: the charges come to it, chunk by chunk, and a point becomes a row once
+    parts = 1
     for c in AXES:
-        bricks_in = bricks_in * F.ceil(F.col(f"n{c}") / BRICK)
-    copies = F.least(F.lit(SPREAD), F.greatest(F.lit(1), F.floor(bricks_in / BRICKS_PER_COPY))).cast("int")
-    plan = axes.select("structure_id", copies.alias("_copies"))
-    charged = charges.filter(F.col("charge") != 0).groupBy("structure_id").agg(F.count("*").alias("_q"))
-    counts = charged.select("structure_id", F.ceil(F.col("_q") / CHUNK).cast("long").alias("_chunks"))
-    # brick rows carry no points yet, so a copy per chunk is a few dozen bytes
-    wanted = bricks.join(counts, "structure_id").join(plan, "structure_id").withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
-    )
-    salt = F.pmod(F.xxhash64("bi", "bj", "bk"), F.col("_copies")).cast("int")
-    spread = chunks.join(plan, "structure_id").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
-    ).drop("_copies")
-    key = ["structure_id", "chunk", "_salt"]
-    tiles = by_key(wanted.withColumn("_salt", salt), key).join(spread, key)
-    start = [F.col(f"o{c}") + F.col(f"h{c}") * F.col(b) * BRICK for c, b in zip(AXES, ("bi", "bj", "bk"))]
-    # bricks at the far sides of a grid are thinner
-    for c, b in zip(AXES, ("bi", "bj", "bk")):
-        tiles = tiles.withColumn(f"m{c}", F.least(F.lit(BRICK), F.col(f"n{c}").cast("int") - F.col(b) * BRICK))
-    kappa = screening(ionic, dielectric, temperature)
-    part = _tile(kappa)(*start, "mx", "my", "mz", "hx", "hy", "hz", "qx", "qy", "qz", "q")
-    partial = tiles.select(
-        "structure_id", "bi", "bj", "bk", "my", "mz", F.posexplode(part).alias("_p", "_v")
-    )
-    plane = F.col("my") * F.col("mz")
-    cells = {
-        "i": F.col("bi") * BRICK + F.floor(F.col("_p") / plane).cast("int"),
-        "j": F.col("bj") * BRICK + F.floor(F.col("_p") / F.col("mz")).cast("int") % F.col("my"),
-        "k": F.col("bk") * BRICK + F.col("_p") % F.col("mz"),
-    }
-    inside = partial.select("structure_id", *[v.alias(n) for n, v in cells.items()], "_v")
-    summed = inside.groupBy("structure_id", "i", "j", "k").agg(F.sum("_v").alias("_sum"))
+        parts = parts * F.ceil(F.col(f"n{c}") / BRICK)
+    counts = axes.select("structure_id", F.ceil(parts / GROUP).cast("int").alias("_parts"))
+    place = F.pmod(F.xxhash64(*PLACES), F.col("_parts")).cast("int").alias("part")
+    grid = [F.col(f"{o}{c}") for o in "ohn" for c in AXES]
+    none = F.lit(None).cast("array<double>")
+    lists = [f"q{c}" for c in AXES] + ["q"]
+    bricks = _bricks(axes).join(counts, "structure_id").select("structure_id", place, *PLACES, *grid, *[none.alias(c) for c in lists])
+    chunks = cut_lineage(_chunks(charges)).join(counts, "structure_id")
+    chunks = chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    chunks = chunks.select("structure_id", "part", *[F.lit(None).cast(bricks.schema[c].dataType).alias(c) for c in bricks.columns[2:-4]], *lists)
+    rows = by_key(bricks.unionByName(chunks), ["structure_id", "part"])
+    rows = rows.sortWithinPartitions("structure_id", "part", F.col("q").isNotNull())
+    kind = charges.schema["structure_id"].dataType.simpleString()
+    owner = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    summed = rows.withColumn("structure_id", F.col("structure_id").cast(owner)).mapInArrow(
+        _sums(screening(ionic, dielectric, temperature), owner), f"structure_id {owner}, i int, j int, k int, _sum double"
+    ).withColumn("structure_id", F.col("structure_id").cast(kind))
     scale = F.lit(kt_scale(dielectric, temperature))
     return meta, summed.select("structure_id", "i", "j", "k", (F.col("_sum") * scale).alias("value"))
 
