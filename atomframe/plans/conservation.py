@@ -154,11 +154,15 @@ def score_conservation(
     return scored.withColumn("conservation", F.lit(1.0) - F.col("entropy"))
 
 
-def conservation_report(scores: DataFrame, status: DataFrame | None = None) -> DataFrame:
+def conservation_report(scores: DataFrame, status: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Counts, depth, entropy range and a shallow-alignment flag per chain.
 
-    With ``conservation_status`` also the chains without scores, and why.
+    With ``conservation_status`` also the chains without scores, and why. With the ``limit``
+    of a listing, ``truncated`` tells whether the chain has more residues than it lists.
     """
+    if limit is not None:
+        report = conservation_report(scores, status)
+        return report.withColumn("truncated", F.col("residues_scored") > limit)
     report = scores.groupBy("structure_id", "chain_id").agg(
         F.count("*").alias("residues_scored"),
         F.max("depth").alias("depth"),
@@ -203,7 +207,7 @@ def entropy_bands(scores: DataFrame, bins: int = 7, group: list[str] | None = No
     """Equal-width bands from the least to the greatest entropy of each chain.
 
     Bands are half-open, the last one closed; ``band`` is 0 for the most
-    conserved one.
+    conserved one, ``low`` and ``high`` are its edges.
     """
     if bins < 2:
         raise ValueError(f"bins must be at least 2, got {bins}")
@@ -215,7 +219,9 @@ def entropy_bands(scores: DataFrame, bins: int = 7, group: list[str] | None = No
     over = F.lit(0)
     for i in range(1, bins):
         over = over + (F.col("entropy") >= F.col("_lo") + F.lit(float(i)) * step).cast("int")
-    return joined.withColumn("band", over).drop("_lo", "_hi")
+    edge = lambda i: F.col("_lo") + i.cast("double") * step
+    high = F.when(F.col("band") == bins - 1, F.col("_hi")).otherwise(edge(F.col("band") + 1))
+    return joined.withColumn("band", over).withColumns({"low": edge(F.col("band")), "high": high}).drop("_lo", "_hi")
 
 
 def value_column(

@@ -90,7 +90,15 @@ def scored(spark, sf_dir):
     return C.score_conservation(*aligned_chains(spark, sf_dir))
 
 
-@query("a3_conservation_status")
+STATUS = """status AS (SELECT m.structure_id % 7 AS msa_id, m.structure_id, m.chain_id, residues, c.columns, d.depth,
+    CASE WHEN d.depth IS NULL OR c.columns IS NULL THEN 'no alignment' WHEN d.depth < 2 THEN 'too shallow'
+      WHEN c.columns < residues THEN 'too few columns' ELSE 'ok' END AS status
+  FROM (SELECT structure_id, chain_id, count(*) AS residues FROM seq GROUP BY 1, 2) m
+    LEFT JOIN depth d ON d.msa_id = m.structure_id % 7
+    LEFT JOIN (SELECT msa_id, count(*) AS columns FROM entropy GROUP BY 1) c ON c.msa_id = m.structure_id % 7)"""
+
+
+@query("a3_conservation_status", sql("SELECT * FROM status", *SCORE_PARTS, STATUS))
 def conservation_status(spark, sf_dir):
     return C.conservation_status(*aligned_chains(spark, sf_dir))
 
@@ -113,11 +121,17 @@ def conservation_report(spark, sf_dir):
     return C.conservation_report(scored(spark, sf_dir))
 
 
-@query("a4_conservation_report_all")
+@query(
+    "a4_conservation_report_all",
+    sql("""SELECT t.structure_id, t.chain_id, coalesce(n, 0) AS residues_scored, t.depth, lo AS entropy_min, hi AS entropy_max,
+      t.depth < 10 AS shallow, coalesce(n, 0) > 25 AS truncated, status FROM status t LEFT JOIN (
+      SELECT structure_id, chain_id, count(*) AS n, min(entropy) AS lo, max(entropy) AS hi FROM scores GROUP BY 1, 2) r
+      ON r.structure_id = t.structure_id AND r.chain_id = t.chain_id""", *SCORE_PARTS, STATUS),
+)
 def conservation_report_all(spark, sf_dir):
-    """The report with a row for every chain, scored or not."""
+    """The report with a row for every chain, scored or not, and whether a listing of 25 residues leaves some out."""
     parts = aligned_chains(spark, sf_dir)
-    return C.conservation_report(C.score_conservation(*parts), C.conservation_status(*parts))
+    return C.conservation_report(C.score_conservation(*parts), C.conservation_status(*parts), limit=25)
 
 
 CUT = """quart AS (SELECT structure_id, chain_id, quantile_cont(entropy, CAST(0.25 AS DOUBLE)) AS low, quantile_cont(entropy, CAST(0.75 AS DOUBLE)) AS high
@@ -159,6 +173,20 @@ def entropy_bands(spark, sf_dir):
     )
 
 
+@query(
+    "m11_band_edges",
+    sql("""SELECT s.structure_id, s.chain_id, band, round(lo + CAST(band AS DOUBLE) * ((hi - lo) / CAST(7 AS DOUBLE)), 9) AS low,
+      round(CASE WHEN band = 6 THEN hi ELSE lo + CAST(band + 1 AS DOUBLE) * ((hi - lo) / CAST(7 AS DOUBLE)) END, 9) AS high, count(*) AS residues FROM (
+      SELECT s.structure_id, s.chain_id, lo, hi, CAST((SELECT count(*) FROM range(1, 7) t(i)
+        WHERE entropy >= lo + CAST(i AS DOUBLE) * ((hi - lo) / CAST(7 AS DOUBLE))) AS INT) AS band
+      FROM scores s JOIN (SELECT structure_id, chain_id, min(entropy) AS lo, max(entropy) AS hi FROM scores GROUP BY 1, 2) q
+        ON q.structure_id = s.structure_id AND q.chain_id = s.chain_id) s GROUP BY ALL""", *SCORE_PARTS),
+)
+def band_edges(spark, sf_dir):
+    bands = rounded(C.entropy_bands(scored(spark, sf_dir)), 9, "low", "high")
+    return bands.groupBy("structure_id", "chain_id", "band", "low", "high").agg(F.count("*").alias("residues"))
+
+
 @query(
     "m12_value_column",
     sql("""SELECT a.structure_id, a.atom_id, a.b_factor, round(coalesce(CASE WHEN hi > lo THEN (entropy - lo) / (hi - lo) * 100 ELSE entropy * 100 END, 100), 6) AS shown
@@ -540,6 +568,16 @@ def residue_potential(spark, sf_dir):
     return rounded(EL.potential_by_residue(sampled), 6, "potential").drop("res_name")
 
 
+@query(
+    "a20_outside_grid",
+    sql("""SELECT b.structure_id, count(*) FILTER (x < ox OR y < oy OR z < oz OR x > ox + 4 * (nx - 1) OR y > oy + 4 * (ny - 1) OR z > oz + 4 * (nz - 1)) AS atoms_outside_grid
+      FROM fx_atoms b JOIN axes ON axes.structure_id = b.structure_id GROUP BY 1""", *FIELD_PARTS[:2]),
+)
+def outside_grid(spark, sf_dir):
+    meta, grid = EL.coulomb_grid(fx_charges(spark, sf_dir), SPACING, PADDING)
+    return EL.outside_grid(EL.sample_grid(fx_atoms(spark, sf_dir), grid, meta, ["atom_id"]))
+
+
 @query(
     "t4_extreme_potential",
     sql(f"""SELECT structure_id, chain_id, res_id, side, CAST(place AS INT) AS place FROM (
@@ -595,13 +633,24 @@ def electrostatics(spark, sf_dir):
     )
 
 
-# the same at the operators' own spacing and padding; SQL checks the coarse forms above
-@query("m13_grid_axes_fine")
+# the same at the operators' own spacing and padding; SQL checks the potentials in the coarse forms above
+AXES_FINE = AXES_SQL.replace("CAST(2 AS DOUBLE)", "CAST(10 AS DOUBLE)").replace("CAST(4 AS DOUBLE)", "CAST(1 AS DOUBLE)")
+
+
+@query(
+    "m13_grid_axes_fine",
+    sql("""SELECT structure_id, ox, oy, oz, nx, ny, nz, CAST(1 AS DOUBLE) AS hx, CAST(1 AS DOUBLE) AS hy, CAST(1 AS DOUBLE) AS hz,
+      nx*ny*nz AS points FROM axes""", SQL_CHARGES, AXES_FINE),
+)
 def grid_axes_fine(spark, sf_dir):
     return EL.grid_axes(fx_charges(spark, sf_dir))
 
 
-@query("m13_grid_points_fine")
+@query(
+    "m13_grid_points_fine",
+    sql("SELECT structure_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(k AS INT) AS k, x, y, z FROM points",
+        SQL_CHARGES, AXES_FINE, POINTS_SQL.replace("CAST(4 AS DOUBLE)", "CAST(1 AS DOUBLE)")),
+)
 def grid_points_fine(spark, sf_dir):
     return EL.grid_points(fx_charges(spark, sf_dir))
 

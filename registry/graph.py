@@ -19,32 +19,36 @@ EDGES = """edges AS (SELECT structure_id, a AS src, b AS dst FROM fx_bonds
 TEMPLATE = [("N", "CA"), ("CA", "C"), ("C", "O"), ("CA", "CB"), ("CA", "CB1"), ("CA", "OG"), ("CA", "SG")]
 
 
-@query(
-    "g1_derive_bonds",
-    sql(f"""SELECT structure_id, a, b FROM (
+RUNS = """res AS (SELECT structure_id, chain_id, res_id,
+          row_number() OVER (PARTITION BY structure_id, chain_id ORDER BY min(atom_id)) AS i
+          FROM fx_atoms GROUP BY 1, 2, 3)"""
+
+
+def bonds_sql(names: str) -> str:
+    """Bonds of the template in the residues ``names`` tells, and those between residues in a row."""
+    return f"""SELECT structure_id, a, b FROM (
       SELECT a.structure_id, a.atom_id AS a, b.atom_id AS b, a.altloc_id AS la, b.altloc_id AS lb
       FROM fx_atoms a JOIN fx_atoms b ON a.structure_id = b.structure_id AND a.chain_id = b.chain_id
         AND a.res_id = b.res_id JOIN (VALUES {", ".join(map(str, TEMPLATE))}) t(n1, n2)
-        ON a.atom_name = n1 AND b.atom_name = n2 WHERE a.res_name IN ('ALA','SER','CYS','ASP')
+        ON a.atom_name = n1 AND b.atom_name = n2 WHERE {names}
       UNION ALL
       SELECT a.structure_id, a.atom_id, b.atom_id, a.altloc_id, b.altloc_id
       FROM (SELECT f.*, i FROM fx_atoms f JOIN res USING (structure_id, chain_id, res_id) WHERE atom_name = 'C') a
       JOIN (SELECT f.*, i FROM fx_atoms f JOIN res USING (structure_id, chain_id, res_id) WHERE atom_name = 'N') b
         ON a.structure_id = b.structure_id AND a.chain_id = b.chain_id AND b.i = a.i + 1 AND b.res_id - a.res_id <= 1)
-      WHERE NOT (la <> '.' AND lb <> '.' AND la <> lb)""",
-        """res AS (SELECT structure_id, chain_id, res_id,
-          row_number() OVER (PARTITION BY structure_id, chain_id ORDER BY min(atom_id)) AS i
-          FROM fx_atoms GROUP BY 1, 2, 3)"""),
-)
+      WHERE NOT (la <> '.' AND lb <> '.' AND la <> lb)"""
+
+
+@query("g1_derive_bonds", sql(bonds_sql("a.res_name IN ('ALA','SER','CYS','ASP')"), RUNS))
 def derive_bonds(spark, sf_dir):
     pairs = [(r, a, b) for r in ("ALA", "SER", "CYS", "ASP") for a, b in TEMPLATE]
     template = spark.createDataFrame(pairs, "res_name string, atom1 string, atom2 string")
     return B.derive_bonds(fx_atoms(spark, sf_dir), template)
 
 
-@query("g1_derive_bonds_all")
+@query("g1_derive_bonds_all", sql(bonds_sql("true"), RUNS))
 def derive_bonds_all(spark, sf_dir):
-    """The template for every residue name; SQL checks the form above."""
+    """The template for every residue name."""
     atoms = fx_atoms(spark, sf_dir)
     pairs = spark.createDataFrame(TEMPLATE, "atom1 string, atom2 string")
     return B.derive_bonds(atoms, atoms.select("res_name").distinct().crossJoin(pairs))
