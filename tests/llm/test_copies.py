@@ -1,10 +1,14 @@
 """Near-duplicate texts, near vectors and fingerprints, against brute force."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 
 from atomframe.llm import embeddings, fingerprints, near_dups
 
@@ -152,3 +156,52 @@ def test_lexicon_counts_all_documents(spark):
     docs = spark.createDataFrame([(i, f"all half{i % 2} one{i}") for i in range(100)], "doc_id long, text string")
     found = fingerprints.lexicon(docs, 0.5, 1.0).count()
     assert found == 2 and fingerprints.lexicon(docs, 4.0, 5.0).count() == 100
+
+
+def _hash(*values):
+    """Spark's xxhash64 of texts, longs, and ints given as (int, 4)."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _plain_fingerprint(terms, lexicon):
+    used = sorted(terms & lexicon) or sorted(terms)
+    out = []
+    for chance in fingerprints.CHANCES:
+        slots = {t: _hash(t, (fingerprints.SEED + chance, 4)) % chance for t in used}
+        for subset in range(fingerprints.SUBSETS):
+            chosen = [t for t in used if slots[t] == subset]
+            out.append(_hash(*chosen) % 2**32 if chosen else None)
+    return out
+
+
+def _plain_likeness(a, b):
+    n, share = fingerprints.SUBSETS, float(a == b)
+    for i in range(len(fingerprints.CHANCES)):
+        pairs = [(x, y) for x, y in zip(a[i * n : (i + 1) * n], b[i * n : (i + 1) * n]) if x is not None or y is not None]
+        if len(pairs) >= (1 if i == 0 else n // 4):
+            share = sum(x == y for x, y in pairs) / len(pairs)
+    return share
+
+
+def test_fingerprints_against_a_plain_version(spark, sf_dir):
+    """Lexicon band, subsets, hashes and likeness of every document and its edit, recomputed one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "..."), (903, "zzqx")], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    terms = lambda text: {_hash(w) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+    df = Counter(t for text in texts.values() for t in terms(text))
+    lexicon = {t for t, n in df.items() if fingerprints.LOW <= math.log(len(texts) / n) <= fingerprints.HIGH}
+    own = {i: _plain_fingerprint(terms(t), lexicon) for i, t in texts.items()}
+    said = lambda hashes: ".".join("-" if h is None else f"{h:08x}" for h in hashes)
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    for i, following in zip(ids, [*ids[1:], ids[0]]):
+        text, half = texts[i], len(texts[i]) // 2
+        edited = _plain_fingerprint(terms(text[: len(text) - half] + texts[following][:half]), lexicon)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (said(own[i]), said(edited))
+        assert got[i]["near_edited"] == pytest.approx(_plain_likeness(own[i], edited))
+        assert got[i]["near_next"] == pytest.approx(_plain_likeness(own[i], own[following]))
