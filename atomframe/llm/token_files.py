@@ -47,9 +47,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of text for one file, and of those for one call of the encoder.
 FILE_BYTES = 32 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Distinct words whose ids a worker keeps; longer words than LONG are not kept.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 LONG = 64
 #: Words encoded in one call, and what ends each of them there.
 TOGETHER = 2000
