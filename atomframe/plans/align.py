@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -57,17 +58,46 @@ def match_positions(a: str, b: str) -> list[tuple[int, int]]:
     """Positions aligned with each other; end gaps are free, inner gaps cost GAP each.
 
     Rows of the score table are filled in order; along a row the best run of
-    gaps is a running maximum, so each row is a few array operations.
+    gaps is a running maximum, so each row is a few array operations. Only every
+    root-of-n-th row is kept; on the way back the moves of one stretch of rows at a
+    time are computed again, so memory grows with m times the root of n.
     """
     n, m = len(a), len(b)
     if not n or not m:
         return []
     ca = _CODES[np.frombuffer(a.encode("latin-1", "replace"), dtype=np.uint8)]
     cb = _CODES[np.frombuffer(b.encode("latin-1", "replace"), dtype=np.uint8)]
+    height = isqrt(n) + 1
+    kept = [np.zeros(m + 1, dtype=np.int64)]
+    for low in range(0, n - height, height):
+        kept.append(_rows(ca, cb, low, low + height, kept[-1], None))
+    pairs = []
+    i, j = n, m
+    while i > 0 and j > 0:
+        # the moves of the stretch of rows that holds row i, walked back to its start
+        low = (i - 1) // height * height
+        moves = np.zeros((i - low, m + 1), dtype=np.int8)
+        _rows(ca, cb, low, i, kept[low // height], moves)
+        while i > low and j > 0:
+            move = moves[i - low - 1, j]
+            if move == 1:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif move == 2:
+                i -= 1
+            else:
+                j -= 1
+    return pairs[::-1]
+
+
+def _rows(ca: np.ndarray, cb: np.ndarray, low: int, high: int, best: np.ndarray, moves: np.ndarray | None) -> np.ndarray:
+    """The score row after letters ``low`` to ``high`` of the first sequence, and how its cells were reached.
+
+    Moves: 1 both, 2 skip a letter of the first sequence, 3 skip one of the second.
+    """
+    n, m = len(ca), len(cb)
     step = GAP * np.arange(m + 1)
-    best = np.zeros(m + 1, dtype=np.int64)
-    moves = np.zeros((n + 1, m + 1), dtype=np.int8)  # 1 both, 2 skip a, 3 skip b
-    for i in range(1, n + 1):
+    for i in range(low + 1, high + 1):
         both = best[:-1] + _TABLE[ca[i - 1], cb]
         down = best + GAP
         down[m] = best[m]  # free gap after the end of b
@@ -78,23 +108,14 @@ def match_positions(a: str, b: str) -> list[tuple[int, int]]:
             swept = np.maximum.accumulate(row - step) + step
         else:  # free gap after the end of a
             swept = np.maximum.accumulate(row)
-        moves[i] = 3
-        moves[i][swept == down] = 2
-        moves[i, 1:][swept[1:] == both] = 1
-        moves[i, 0] = 2
+        if moves is not None:
+            here = moves[i - low - 1]
+            here[:] = 3
+            here[swept == down] = 2
+            here[1:][swept[1:] == both] = 1
+            here[0] = 2
         best = swept
-    pairs = []
-    i, j = n, m
-    while i > 0 and j > 0:
-        move = moves[i, j]
-        if move == 1:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif move == 2:
-            i -= 1
-        else:
-            j -= 1
-    return pairs[::-1]
+    return best
 
 
 PAIRS = T.ArrayType(

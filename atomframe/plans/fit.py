@@ -14,8 +14,9 @@ from .. import schema as S
 from ..functions.geometry import distance, vec
 from ..operators import predicates as P
 from ..operators.prep import ROTATION, TRANSLATION, affine, resolve_conformers
+from ..operators.quantiles import exact_percentiles
 from ..operators.spatial import correspond
-from ..scaling import cut_lineage, running_index, top_k
+from ..scaling import cut_lineage, running_index, top_k, union_all
 from .align import aligned_positions
 from .conservation import one_letter, sequence_text
 
@@ -272,8 +273,9 @@ def superpose(pairs: DataFrame, atoms: DataFrame, strict: bool = False) -> dict[
     """Fit mobile onto target structures by aligned sequence, with outlier removal.
 
     ``pairs`` holds pair_id, mobile_id, target_id and optionally mobile_chain
-    and target_chain. Returns ``fits`` (transform, rmsd, aligned, identity; one
-    row per pair, a pair that cannot be fitted with nulls and its ``status``),
+    and target_chain. Returns ``fits`` (transform, rmsd, aligned, identity, ``rounds`` of
+    outlier removal and whether it ``settled``; one row per pair, a pair that cannot be
+    fitted with nulls and its ``status``),
     ``anchors`` (the fitted residues with their ``offset``) and ``moved`` (all
     mobile CA atoms under the transform).
     """
@@ -304,7 +306,7 @@ def superpose(pairs: DataFrame, atoms: DataFrame, strict: bool = False) -> dict[
     enough = anchors.groupBy("pair_id").count().filter(F.col("count") >= MIN_ANCHORS)
     if strict and not pairs.join(enough, "pair_id", "left_anti").isEmpty():
         raise ValueError("a pair has no corresponding residues to fit")
-    kept = _without_outliers(anchors.join(enough, "pair_id", "left_semi"))
+    kept, rounds = _without_outliers(anchors.join(enough, "pair_id", "left_semi"))
     fits = kabsch(kept, ["pair_id"])
     fitted = moved(kept, fits, ["pair_id"])
     same = F.avg((F.col("mobile_res_name") == F.col("target_res_name")).cast("double"))
@@ -322,38 +324,42 @@ def superpose(pairs: DataFrame, atoms: DataFrame, strict: bool = False) -> dict[
         .otherwise(NO_ANCHORS)
     )
     report = pairs.select("pair_id").join(fits.withColumnRenamed("n", "aligned"), "pair_id", "left")
-    for more in (identity, names["mobile"], names["target"]):
+    for more in (identity, rounds, names["mobile"], names["target"]):
         report = report.join(more, "pair_id", "left")
     report = report.withColumn("status", status)
     return {"fits": report, "anchors": fitted, "residues": sides, "kept": kept}
 
 
-def _without_outliers(anchors: DataFrame) -> DataFrame:
+def _without_outliers(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop anchors whose squared offset lies beyond the upper quartile by 1.5 ranges.
 
-    Rounds repeat for all pairs together until no pair loses an anchor. The
-    quartiles of a pair see no more values than its alignment row already held.
+    Rounds repeat for all pairs together until no pair loses an anchor, ten times at
+    most. Returns the anchors left and (pair_id, rounds, settled): the rounds in which the
+    pair was fitted anew, and whether the last one took nothing away.
     """
     key = ["pair_id"]
     names = anchors.columns
+    lost: list[DataFrame] = []
+    settled = False
     for _ in range(MAX_ROUNDS):
-        far = moved(anchors, kabsch(anchors, key), key).select(*key, "m", "offset")
-        far = far.withColumn("_d2", F.col("offset") * F.col("offset"))
-        cuts = far.groupBy(*key).agg(
-            F.percentile("_d2", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
-            F.collect_list("_d2").alias("_all"),
-        )
-        limit = F.col("_q")[1] + SPREAD * (F.col("_q")[1] - F.col("_q")[0])
-        cuts = cuts.select(*key, limit.alias("_limit"), "_all")
-        left = F.size(F.filter("_all", lambda v: v <= F.col("_limit")))
-        cuts = cuts.select(*key, "_limit", left.alias("_left"))
-        stays = (F.col("_d2") <= F.col("_limit")) | (F.col("_left") < MIN_ANCHORS)
-        verdict = far.join(cuts, key).select(*key, "m", stays.alias("_stays"))
+        far = moved(anchors, kabsch(anchors, key), key).withColumn("_d2", F.col("offset") * F.col("offset"))
+        far = cut_lineage(far.select(*key, "m", "_d2"))
+        cuts = exact_percentiles(far, key, "_d2", {"_low": 25, "_high": 75})
+        cuts = cut_lineage(cuts.select(*key, (F.col("_high") + SPREAD * (F.col("_high") - F.col("_low"))).alias("_limit")))
+        near = far.join(cuts, key).withColumn("_near", F.col("_d2") <= F.col("_limit"))
+        left = near.groupBy(*key).agg(F.count_if("_near").alias("_left"))
+        verdict = near.join(left, key).select(*key, "m", (F.col("_near") | (F.col("_left") < MIN_ANCHORS)).alias("_stays"))
         marked = cut_lineage(anchors.join(verdict, [*key, "m"]))
         anchors = marked.filter("_stays").select(*names)
-        if marked.filter("NOT _stays").isEmpty():
+        lost.append(marked.filter("NOT _stays").select(*key).distinct())
+        if lost[-1].isEmpty():
+            settled = True
             break
-    return anchors
+    again = union_all(lost).groupBy(*key).agg(F.count("*").alias("_lost"))
+    rounds = anchors.select(*key).distinct().join(again, key, "left")
+    rounds = rounds.withColumn("rounds", F.least(F.coalesce("_lost", F.lit(0)) + 1, F.lit(MAX_ROUNDS)).cast("int"))
+    still = F.lit(True) if settled else F.coalesce("_lost", F.lit(0)) < MAX_ROUNDS
+    return anchors, cut_lineage(rounds.select(*key, "rounds", still.alias("settled")))
 
 
 def worst_offsets(anchors: DataFrame, limit: int = 20) -> DataFrame:
@@ -378,9 +384,8 @@ def deviation_field(target: DataFrame, mobile: DataFrame, fits: DataFrame, ancho
         "pair_id", "chain_id", "res_id", F.lit("").alias("ins_code"), "res_name",
         F.col("offset").alias("deviation"),
     )
-    size = whole.groupBy(*key).agg(
-        F.count("*").alias("_n"), F.percentile("deviation", F.lit(0.5)).alias("median")
-    )
+    whole = cut_lineage(whole)
+    size = whole.groupBy(*key).agg(F.count("*").alias("_n")).join(exact_percentiles(whole, key, "deviation", {"median": 50}), key)
     fitted = anchors.groupBy(*key).agg(F.count("*").alias("_fitted"), F.max("offset").alias("_worst"))
     choice = fitted.join(size, key, "left").select(
         *key,

@@ -323,6 +323,51 @@ def deviation_field(spark, sf_dir):
     return fit.deviation_field(target, mobile, found["fits"], found["anchors"])
 
 
+def moved_copies(spark, sf_dir):
+    """Every structure and a copy of it, turned by 90 degrees about z and shifted; every tenth residue of the copy is 8 away."""
+    atoms = fx_atoms(spark, sf_dir)
+    loop = F.when(F.col("res_id") % 10 == 3, 8.0).otherwise(0.0)
+    copy = atoms.withColumns({
+        "structure_id": F.col("structure_id") + 1_000_000, "x": 5.0 - F.col("y"), "y": F.col("x") - 3.0, "z": F.col("z") + 2.0 + loop,
+    })
+    pairs = atoms.select("structure_id").distinct().select(
+        F.col("structure_id").alias("pair_id"), (F.col("structure_id") + 1_000_000).alias("mobile_id"), F.col("structure_id").alias("target_id")
+    )
+    return atoms, copy, pairs
+
+
+FITTED_PAIRS = f"""fitted AS (SELECT structure_id AS pair_id FROM fx_atoms WHERE res_name IN {AMINO} AND atom_name = 'CA'
+  GROUP BY 1 HAVING count(DISTINCT (chain_id, res_id, ins_code)) >= 3)"""
+
+
+@query(
+    "m6_moved_copy",
+    sql("""SELECT pair_id, 'ok' AS status, true AS found, CAST(0 AS DOUBLE) AS rmsd, CAST(1 AS DOUBLE) AS identity, CAST(0 AS DOUBLE) AS r11, CAST(1 AS DOUBLE) AS r12,
+      CAST(-1 AS DOUBLE) AS r21, CAST(0 AS DOUBLE) AS r22, CAST(1 AS DOUBLE) AS r33, CAST(3 AS DOUBLE) AS tx, CAST(5 AS DOUBLE) AS ty, CAST(-2 AS DOUBLE) AS tz FROM fitted""",
+        FITTED_PAIRS),
+)
+def moved_copy(spark, sf_dir):
+    atoms, copy, pairs = moved_copies(spark, sf_dir)
+    fits = fit.superpose(pairs, atoms.unionByName(copy))["fits"].filter("status = 'ok'")
+    values = ["rmsd", "identity", "r11", "r12", "r21", "r22", "r33", "tx", "ty", "tz"]
+    return fits.select("pair_id", "status", F.col("rounds").isNotNull().alias("found"), *[(F.round(c, 5) + 0.0).alias(c) for c in values])
+
+
+@query(
+    "m7_moved_copy",
+    sql("""SELECT pair_id, chain_id, res_id, res_name, CAST(CASE WHEN res_id % 10 = 3 THEN 8 ELSE 0 END AS DOUBLE) AS deviation
+      FROM (SELECT DISTINCT structure_id AS pair_id, chain_id, res_id, res_name FROM fx_atoms WHERE atom_name = 'CA' AND altloc_id <> 'B') JOIN fitted USING (pair_id)""",
+        FITTED_PAIRS),
+)
+def moved_copy_field(spark, sf_dir):
+    atoms, copy, pairs = moved_copies(spark, sf_dir)
+    found = fit.superpose(pairs, atoms.unionByName(copy))
+    target = atoms.filter("altloc_id <> 'B'").withColumn("pair_id", F.col("structure_id"))
+    mobile = copy.filter("altloc_id <> 'B'").withColumn("pair_id", F.col("structure_id") - 1_000_000)
+    field = fit.deviation_field(target, mobile, found["fits"], found["anchors"]).filter("status = 'ok'")
+    return field.select("pair_id", "chain_id", "res_id", "res_name", (F.round("deviation", 5) + 0.0).alias("deviation"))
+
+
 # ---------------------------------------------------------------- volumes
 STATS = """stats AS (SELECT volume_id, max(ix) - min(ix) + 1 AS nx, max(iy) - min(iy) + 1 AS ny, max(iz) - min(iz) + 1 AS nz,
   count(*) AS voxels, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS sigma FROM fx_voxels GROUP BY 1)"""
