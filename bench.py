@@ -15,7 +15,7 @@ from registry import QUERIES  # noqa: E402
 HEADLINE = [
     "j1_interface_residues", "j5_pair_distance", "f22_boolean", "p6_conformer_state", "j6_byres",
     "h6_id_runs", "g2_cross_conformer", "g7_pharmacophore", "g5_molecules", "a2_column_entropy",
-    "a11_rmsf_residues", "a12_rmsd_series", "a14_volume_stats", "m4_contacts", "m2_delta_sasa_fine",
+    "a11_rmsf_residues", "a12_rmsd_series", "a14_volume_stats", "g1_derive_bonds_all", "m4_contacts", "m2_delta_sasa_fine",
     "m14_coulomb_grid_fine", "m9_secondary_structure",
 ]
 
