@@ -272,14 +272,34 @@ def rmsf_aligned(spark, sf_dir):
     return fit.rmsf(fx_frames(spark, sf_dir))
 
 
-@query("a12_rmsd_series")
+# The overlap of the best fit is the largest root of x^4 - 2 f x^2 - 8 d x + f^2 - 4 c, where f and c sum the squares
+# of the covariances and of their 2x2 minors and d is their determinant; Newton steps come down on it from above.
+COV = {f"{i}{j}": f"covar_pop(m.{i}, t.{j})" for i in "xyz" for j in "xyz"}
+MINORS = " + ".join(
+    f"pow({a}{c} * {b}{d} - {a}{d} * {b}{c}, 2)" for a, b in ("xy", "xz", "yz") for c, d in ("xy", "xz", "yz")
+)
+BEST_FIT = f"""moments AS (SELECT m.traj_id, m.frame, {", ".join(f"{v} AS {k}" for k, v in COV.items())},
+    {" + ".join(f"var_pop({s}.{c})" for s in "mt" for c in "xyz")} AS spread
+  FROM fx_frames m JOIN fx_frames t ON t.traj_id = m.traj_id AND t.atom_id = m.atom_id AND t.frame = 0 GROUP BY 1, 2),
+  sums AS (SELECT *, {" + ".join(f"{k} * {k}" for k in COV)} AS f, {MINORS} AS c,
+    xx * (yy * zz - yz * zy) - xy * (yx * zz - yz * zx) + xz * (yx * zy - yy * zx) AS d FROM moments),
+  fits AS (SELECT traj_id, frame, sqrt(greatest(spread - 2 * list_reduce(list_prepend(spread / 2, list_transform(range(200), lambda i: CAST(i AS DOUBLE))),
+    lambda x, i: CASE WHEN 4 * x * x * x - 4 * f * x - 8 * d > 0 THEN
+      x - (x * x * x * x - 2 * f * x * x - 8 * d * x + f * f - 4 * c) / (4 * x * x * x - 4 * f * x - 8 * d) ELSE x END), 0)) AS rmsd FROM sums)"""
+
+
+@query("a12_rmsd_series", sql("SELECT traj_id, frame, round(rmsd, 3) + 0 AS rmsd, 'ok' AS status FROM fits", SQL_FRAMES, BEST_FIT))
 def rmsd_series(spark, sf_dir):
-    return fit.rmsd_series(fx_frames(spark, sf_dir))
+    return rounded(fit.rmsd_series(fx_frames(spark, sf_dir)), 3, "rmsd")
 
 
-@query("a12_rmsd_summary")
+@query(
+    "a12_rmsd_summary",
+    sql("""SELECT traj_id, round(avg(rmsd), 3) AS mean, round(max(rmsd), 3) AS max, round(max_by(rmsd, frame), 3) AS final, 'ok' AS status
+      FROM fits GROUP BY 1""", SQL_FRAMES, BEST_FIT),
+)
 def rmsd_summary(spark, sf_dir):
-    return fit.rmsd_summary(fit.rmsd_series(fx_frames(spark, sf_dir)))
+    return rounded(fit.rmsd_summary(fit.rmsd_series(fx_frames(spark, sf_dir))), 3, "mean", "max", "final")
 
 
 @query("m3_kabsch")
@@ -288,6 +308,26 @@ def kabsch(spark, sf_dir):
     return fit.kabsch(fit._against(frames, 0, False), ["traj_id", "frame"])
 
 
+@query(
+    "m3_fit_rmsd",
+    sql("""SELECT f.traj_id, f.frame, n, round(rmsd, 3) + 0 AS rmsd FROM fits f
+      JOIN (SELECT traj_id, frame, count(*) AS n FROM fx_frames GROUP BY 1, 2) c ON c.traj_id = f.traj_id AND c.frame = f.frame""", SQL_FRAMES, BEST_FIT),
+)
+def fit_rmsd(spark, sf_dir):
+    frames = fx_frames(spark, sf_dir)
+    fits = fit.kabsch(fit._against(frames, 0, False), ["traj_id", "frame"])
+    return rounded(fits, 3, "rmsd").select("traj_id", "frame", "n", "rmsd")
+
+
+@query("m8_aligned_rmsd", sql("SELECT traj_id, frame, round(rmsd, 3) + 0 AS rmsd FROM fits", SQL_FRAMES, BEST_FIT))
+def aligned_rmsd(spark, sf_dir):
+    """The distance of the moved frames from the reference: no other move brings them nearer."""
+    moved = fit.align_frames(fx_frames(spark, sf_dir))
+    still = fx_frames(spark, sf_dir).filter("frame = 0").select("traj_id", "atom_id", *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    square = sum((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "xyz")
+    return moved.join(still, ["traj_id", "atom_id"]).groupBy("traj_id", "frame").agg(F.round(F.sqrt(F.avg(square)), 3).alias("rmsd"))
+
+
 def structure_pairs(atoms):
     """Structure 2k+1 onto structure 2k, for every k."""
     ids = atoms.select("structure_id").distinct()
