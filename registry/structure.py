@@ -49,9 +49,9 @@ def sasa_fine(spark, sf_dir):
     return A.sasa(fx_atoms(spark, sf_dir))
 
 
-DRY = "dry AS (SELECT * FROM fx_state WHERE res_name <> 'HOH' AND chain_id IN ('A','B'))"
+DRY = "dry AS MATERIALIZED (SELECT * FROM fx_state WHERE res_name <> 'HOH' AND chain_id IN ('A','B'))"
 DELTA = (STATE, DRY, area_sql("dry"))
-BURIED = f"""kept AS (SELECT {RESKEY}, min(res_name) AS res_name, sum(area_alone - area) AS buried FROM area
+BURIED = f"""kept AS MATERIALIZED (SELECT {RESKEY}, min(res_name) AS res_name, sum(area_alone - area) AS buried FROM area
   WHERE area_alone - area > 0 GROUP BY {RESKEY} HAVING sum(area_alone - area) > 1)"""
 
 
@@ -84,7 +84,7 @@ def buried_totals(spark, sf_dir):
 
 @query(
     "a8_interface_atoms",
-    sql(f"SELECT structure_id, atom_id FROM dry WHERE ({RESKEY}) IN (SELECT ({RESKEY}) FROM kept)", *DELTA, BURIED),
+    sql(f"SELECT structure_id, atom_id FROM dry JOIN (SELECT {RESKEY} FROM kept) USING ({RESKEY})", *DELTA, BURIED),
 )
 def interface_atoms(spark, sf_dir):
     delta = I.buried(fx_atoms(spark, sf_dir), "A", "B", sphere=SIX)
@@ -158,12 +158,13 @@ def per_copy(spark, sf_dir):
     return out.withColumn("buried", F.round("buried", 6) + F.lit(0.0))
 
 
-KINDS = f"""contacts AS (SELECT * FROM (SELECT a.structure_id, a.atom_id AS a_atom_id, b.atom_id AS b_atom_id, {dist('a', 'b')} AS d,
+KINDS = f"""side_a AS MATERIALIZED (SELECT * FROM dry WHERE chain_id = 'A'), side_b AS MATERIALIZED (SELECT * FROM dry WHERE chain_id = 'B'),
+  contacts AS MATERIALIZED (SELECT * FROM (SELECT a.structure_id, a.atom_id AS a_atom_id, b.atom_id AS b_atom_id, {dist('a', 'b')} AS d,
     CASE WHEN ((a.res_name IN ('ASP','GLU') AND a.atom_name IN ('OD1','OE1') AND b.res_name IN ('ARG','LYS') AND b.atom_name IN ('NH1','NZ'))
         OR (b.res_name IN ('ASP','GLU') AND b.atom_name IN ('OD1','OE1') AND a.res_name IN ('ARG','LYS') AND a.atom_name IN ('NH1','NZ')))
         AND {dist('a', 'b')} <= 4 THEN 'salt_bridge'
       WHEN a.element IN ('N','O') AND b.element IN ('N','O') AND {dist('a', 'b')} <= CAST(3.5 AS DOUBLE) THEN 'polar_contact' END AS kind
-  FROM dry a JOIN dry b ON a.chain_id = 'A' AND b.chain_id = 'B' AND {close('a', 'b', 4.0)}) WHERE kind IS NOT NULL)"""
+  FROM side_a a JOIN side_b b ON {close('a', 'b', 4.0)}) WHERE kind IS NOT NULL)"""
 
 
 @query(
