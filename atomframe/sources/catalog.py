@@ -81,7 +81,7 @@ def classify_volumes(files: DataFrame, format: str = "auto", strict: bool = Fals
     opens = F.ltrim(F.substring(text, 1, 512)).startswith("#") & text.contains("object")
     found = F.when(magic, "ccp4").when(opens, "dx").otherwise(_suffix_format(F.col("path")))
     problem = (
-        F.when(F.col("head").isNull(), "starts as gzip but cannot be unpacked")
+        F.when(F.col("head").isNull(), "carries the gzip mark but fails to decompress")
         .when(F.length("head") == 0, "is empty")
         .when(F.lit(format == "auto") & found.isNull(), "is of no known format")
     )
