@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomframe import scaling
+from atomframe.operators import spatial
 from atomframe.operators.quantiles import exact_percentiles
 
 
@@ -54,3 +55,20 @@ def test_cut_lineage_reads_the_named_folder(spark):
     assert folder.startswith("file:" + spark.conf.get("spark.checkpoint.dir")) or spark.conf.get("spark.checkpoint.dir") in folder
     cut = scaling.cut_lineage(spark.range(10))
     assert cut.count() == 10 and "cut-" in cut.inputFiles()[0]
+
+
+def test_copies_for_a_distance_join_are_not_broadcast_by_the_size_of_their_file(spark):
+    """An atom on a cube's corner is copied eight times; its file is small, its copies are not."""
+    spots = spark.range(40000).select(
+        F.col("id").alias("structure_id"), F.col("id").alias("atom_id"), *[F.lit(0.0).alias(c) for c in "xyz"]
+    )
+    atoms = scaling.cut_lineage(spots)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1500k")
+    try:
+        for found in (spatial.pairs_within(atoms, atoms, 4.0), spatial.within(atoms, atoms, 4.0)):
+            assert len(found.collect()) == 40000
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastExchange" not in plan.split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
