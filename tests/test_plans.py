@@ -516,3 +516,26 @@ def test_measures(spark, mixed):
     for bad in (("distance", "n"), ("angle", "n", "ca"), ("area", "n", "ca"), ("distance", "n", "nothing")):
         with pytest.raises(ValueError):
             value(*bad)
+
+
+def test_area_of_a_crowded_cube_equals_a_plain_count_and_pairs_never_become_rows(spark, monkeypatch):
+    from atom_tables import atom_rows
+    from atomframe.plans import sasa
+
+    monkeypatch.setattr(sasa, "ROWS", 32)
+    monkeypatch.setattr(sasa, "NEAR", 8)
+    rng = np.random.default_rng(11)
+    place = np.round(rng.uniform(0, 12, (120, 3)), 3)
+    chain = ["A" if k % 3 else "B" for k in range(120)]
+    atoms = atom_rows(spark, [(c, k, "ALA", "CA", "C", *p) for k, (c, p) in enumerate(zip(chain, place))])
+    found = sasa.accessible_area(atoms, points=70)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    ball, r = sasa.fibonacci_sphere(70), 1.88 + 1.4
+    for row in found.collect():
+        k = row["atom_id"] - 1
+        spots = place[k] + r * ball
+        near = np.linalg.norm(spots[:, None] - place[None], axis=2) < r
+        near[:, k] = False
+        own = near[:, [c == chain[k] for c in chain]]
+        assert (row["free"], row["free_alone"]) == ((~near.any(1)).sum(), (~own.any(1)).sum())
