@@ -33,6 +33,14 @@ def test_two_spheres_closed_form(spark):
     assert interface.interface_residues(delta).count() == 2
 
 
+def test_interface_residues_are_not_broadcast(spark):
+    atoms = atom_rows(spark, [("A", 1, "UNL", "C1", "C", 0, 0, 0), ("B", 1, "UNL", "C1", "C", 3, 0, 0), ("B", 2, "UNL", "C1", "C", 30, 0, 0)])
+    delta = interface.buried(atoms, "A", "B", points=100)
+    found = interface.interface_atoms(delta, interface.interface_residues(delta))
+    assert {r["atom_id"] for r in found.collect()} == {1, 2}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_water_and_hydrogen_have_no_area(spark):
     atoms = atom_rows(spark, [("A", 1, "HOH", "O", "O", 0, 0, 0), ("A", 2, "ALA", "H", "H", 9, 0, 0), ("A", 2, "ALA", "CB", "C", 1, 0, 0)])
     area = {x["atom_id"]: x["area"] for x in sasa.sasa(atoms, points=100).collect()}

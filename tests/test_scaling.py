@@ -16,6 +16,13 @@ def test_running_index_over_many_blocks(spark):
         assert part["i"].tolist() == list(range(len(part)))
 
 
+def test_as_many_groups_as_rows_are_not_broadcast(spark):
+    rows = scaling.cut_lineage(spark.range(3000).select(F.col("id").alias("g"), F.lit(5).alias("k")))
+    found = scaling.running_index(rows, ["g"], "k", "i")
+    assert {r["i"] for r in found.collect()} == {0}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_total_with_negative_keys(spark):
     df = spark.range(-500, 500).select(F.lit(1).alias("g"), F.col("id").alias("k"))
     got = scaling.running_total(df, ["g"], "k", F.col("k"), "t", block=16).toPandas().sort_values("k")
