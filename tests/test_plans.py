@@ -1,6 +1,7 @@
 """Analyses against closed forms, NumPy and small folds built by hand."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -347,6 +348,50 @@ def test_chunks_add_up(spark, monkeypatch):
         assert r["value"] == pytest.approx(want, rel=1e-9, abs=1e-12)
 
 
+def direct(axes, rows, kappa):
+    out = np.zeros([len(x) for x in axes])
+    for q, *p in rows:
+        dx, dy, dz = (np.square(x - c) for x, c in zip(axes, p))
+        d = np.sqrt(np.maximum(dx[:, None, None] + dy[None, :, None] + dz[None, None, :], 1.0))
+        out += q * np.exp(-kappa * d) / d
+    return out
+
+
+def test_several_bricks_equal_the_direct_sum(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice([-1, 0.5]), *(rng.random(3) * [34, 3, 3])) for _ in range(150)]
+    meta, grid = EL.coulomb_grid(charges(spark, rows), spacing=0.5, padding=1.0)
+    box = meta.collect()[0]
+    axes = [box[f"o{c}"] + 0.5 * np.arange(box[f"n{c}"]) for c in "xyz"]
+    want = direct(axes, rows, 1 / physics.debye_length()) * physics.kt_scale()
+    found = grid.toPandas()
+    assert want.shape[0] > EL.BRICK and len(found) == want.size
+    assert np.abs(found["value"] - want[found["i"], found["j"], found["k"]]).max() < 1e-8
+
+
+@pytest.mark.parametrize("size, spacing, kappa", [(26, 1.0, 0.127), (26, 4.0, 0.127), (3, 0.25, 2.0), (200, 5.0, 1e-3), (0, 0.5, 0.127)])
+def test_sums_of_gaussians_equal_the_direct_sum(size, spacing, kappa):
+    rng = np.random.default_rng(4)
+    rows = [(rng.choice([-1, 0.5]), *(rng.random(3) * size)) for _ in range(200)]
+    axes = [np.arange(-4, size + 4, spacing)[:40] for _ in "xyz"]
+    total = np.zeros([len(x) for x in axes])
+    q, *at = (np.array(v) for v in zip(*rows))
+    EL._add(total, axes, at, q, kappa)
+    assert np.abs(total - direct(axes, rows, kappa)).max() < 1e-9
+
+
+def test_a_fine_grid_costs_less_than_every_pair_of_point_and_charge():
+    rng = np.random.default_rng(5)
+    rows = [(rng.choice([-1, 0.5]), *(rng.random(3) * 26)) for _ in range(900)]
+    axes = [np.arange(-10.0, 36.0) for _ in "xyz"]
+    q, *at = (np.array(v) for v in zip(*rows))
+    total, start = np.zeros([len(x) for x in axes]), time.process_time()
+    EL._add(total, axes, at, q, 0.127)
+    middle = time.process_time()
+    direct(axes, rows, 0.127)
+    assert 2 * (middle - start) < time.process_time() - middle
+
+
 def test_too_large_a_grid_is_refused_on_demand(spark):
     wide = charges(spark, [(1, 0, 0, 0), (1, 400, 400, 400)])
     assert EL.grid_axes(wide).collect()[0]["points"] == 421**3
