@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.physics import IONIC_STRENGTH, TEMPERATURE, WATER_DIELECTRIC, kt_scale, screening
@@ -30,6 +30,7 @@ STEP = math.log(2) / 4  # between the logarithms of widths, so that each Gaussia
 SHARPEST, FAINTEST = 6.0, 12.0  # exp(-36) of what is left beyond the ends
 NODES, REACH = 32, 2.0  # nodes per axis interpolate Gaussians up to this times half the box of a chunk to 2e-14
 SMALL = 1e-40
+BLOCK = 4  # cells per edge of the blocks that points are sampled from
 AXES = "xyz"
 PLACES = ["bi", "bj", "bk"]
 
@@ -268,31 +269,56 @@ def coulomb_grid(
     return meta, summed.select("structure_id", "i", "j", "k", (F.col("_sum") * scale).alias("value"))
 
 
+def _cell(i: Column, j: Column, k: Column) -> Column:
+    """Number of a point inside its block, from its steps along the axes."""
+    return ((i * (BLOCK + 1) + j) * (BLOCK + 1) + k).cast("int")
+
+
+def _blocks(grid: DataFrame) -> DataFrame:
+    """The values of BLOCK cells a side, the points on their far faces included, by number."""
+    out = grid.filter(F.col("value").isNotNull())
+    for i, b in zip("ijk", PLACES):
+        block = F.floor(F.col(i) / BLOCK).cast("long")
+        shared = (F.col(i) % BLOCK == 0) & (F.col(i) > 0)
+        out = out.withColumn(b, F.explode(F.when(shared, F.array(block - 1, block)).otherwise(F.array(block))))
+    cell = _cell(*[F.col(i) - F.col(b) * BLOCK for i, b in zip("ijk", PLACES)])
+    held = F.collect_list(F.struct(cell.alias("cell"), "value"))
+    return out.groupBy("structure_id", *PLACES).agg(F.map_from_entries(held).alias("_held"))
+
+
 def sample_grid(points: DataFrame, grid: DataFrame, meta: DataFrame, key: list[str]) -> DataFrame:
     """Trilinear value at each point; null outside the grid, never clamped.
 
-    ``key`` names the columns that identify a point inside its structure.
+    ``key`` names the columns that identify a point inside its structure. A point meets
+    the one block of the grid that holds its cell; corners never become rows.
     """
-    box = meta.select("structure_id", *[f"{p}{c}" for p in "onh" for c in AXES])
-    placed = points.select("structure_id", *key, *AXES).join(box, "structure_id", "left")
+    box = meta.select("structure_id", *[F.col(f"{p}{c}").alias(f"_{p}{c}") for p in "onh" for c in AXES])
+    placed = points.join(box, "structure_id", "left")
     inside = F.lit(True)
-    for c in AXES:
-        placed = placed.withColumn(f"u{c}", (F.col(c) - F.col(f"o{c}")) / F.col(f"h{c}"))
-        placed = placed.withColumn(f"b{c}", F.floor(f"u{c}").cast("long"))
-        inside = inside & (F.col(f"b{c}") >= 0) & (F.col(f"b{c}") < F.col(f"n{c}") - 1)
-    corner = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    corners = placed.filter(inside).withColumn("_c", corner)
-    weight = F.lit(1.0)
-    for c, i, bit in zip(AXES, "ijk", (4, 2, 1)):
-        up = (F.col("_c").bitwiseAND(bit) > 0).cast("int")
-        corners = corners.withColumn(i, (F.col(f"b{c}") + up).cast("int"))
-        part = F.col(f"u{c}") - F.col(f"b{c}")
-        weight = weight * F.when(up == 1, part).otherwise(F.lit(1.0) - part)
-    corners = corners.withColumn("_w", weight)
-    values = corners.join(grid, ["structure_id", "i", "j", "k"]).groupBy("structure_id", *key).agg(
-        F.sum(F.col("_w") * F.col("value")).alias("potential")
-    )
-    return points.join(values, ["structure_id", *key], "left")
+    for c, b in zip(AXES, PLACES):
+        placed = placed.withColumn(f"_u{c}", (F.col(c) - F.col(f"_o{c}")) / F.col(f"_h{c}"))
+        placed = placed.withColumn(f"_b{c}", F.floor(f"_u{c}").cast("long"))
+        inside = inside & (F.col(f"_b{c}") >= 0) & (F.col(f"_b{c}") < F.col(f"_n{c}") - 1)
+        placed = placed.withColumn(b, F.floor(F.col(f"_b{c}") / BLOCK).cast("long"))
+    spare = [f"_{p}{c}" for p in "onh" for c in AXES]
+    met = placed.withColumn("_inside", inside).drop(*spare)
+    met = met.join(_blocks(grid).hint("merge"), ["structure_id", *PLACES], "left")
+    cells, weights = [], []
+    for corner in range(8):
+        weight, steps = F.lit(1.0), []
+        for c, b, bit in zip(AXES, PLACES, (2, 1, 0)):
+            up, part = corner >> bit & 1, F.col(f"_u{c}") - F.col(f"_b{c}")
+            weight = weight * (part if up else F.lit(1.0) - part)
+            steps.append(F.col(f"_b{c}") - F.col(b) * BLOCK + up)
+        cells.append(_cell(*steps))
+        weights.append(weight)
+    # arrays and small functions: eight written-out look-ups make a method too long to be compiled
+    met = met.withColumn("_w", F.array(*weights)).withColumn("_c", F.array(*cells))
+    met = met.withColumn("_v", F.transform("_c", lambda c: F.try_element_at("_held", c)))
+    total = F.aggregate(F.zip_with("_v", "_w", lambda v, w: v * w), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    potential = F.when(F.col("_inside") & F.exists("_v", lambda v: v.isNotNull()), total)
+    drop = [f"_{p}{c}" for p in "ub" for c in AXES]
+    return met.withColumn("potential", potential).drop(*PLACES, *drop, "_inside", "_held", "_w", "_c", "_v")
 
 
 def potential_by_residue(sampled: DataFrame) -> DataFrame:

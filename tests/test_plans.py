@@ -408,6 +408,23 @@ def test_linear_field_is_sampled_exactly_and_outside_is_null(spark):
     assert got[1] == pytest.approx(2 * 1.2 - 3 * 0.2 + 5 * 2.4) and got[2] is None and got[3] is None
 
 
+def test_a_grid_of_many_blocks_with_a_hole_is_sampled_without_rows_per_corner(spark):
+    ids = spark.range(13)
+    grid = ids.selectExpr("CAST(id AS INT) i").crossJoin(ids.selectExpr("CAST(id AS INT) j")).crossJoin(ids.selectExpr("CAST(id AS INT) k"))
+    grid = grid.selectExpr("1L AS structure_id", "i", "j", "k", "CAST(2*i - 3*j + 5*k AS DOUBLE) AS value").filter("NOT (i = 4 AND j = 4 AND k = 4)")
+    meta = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 13, 13, 13, 1.0, 1.0, 1.0)], "structure_id long, ox double, oy double, oz double, nx long, ny long, nz long, hx double, hy double, hz double")
+    places = np.random.default_rng(7).random((300, 3)) * 12
+    rows = [(1, n, *map(float, p)) for n, p in enumerate(places)] + [(1, 300, 4.25, 4.0, 4.0), (1, 301, 12.5, 1.0, 1.0), (2, 302, 1.0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "structure_id long, atom_id long, x double, y double, z double")
+    found = EL.sample_grid(points, scaling.cut_lineage(grid), meta, ["atom_id"])
+    got = {r["atom_id"]: r["potential"] for r in found.collect()}
+    for n, p in enumerate(places):
+        if not all(3 < v < 5 for v in p):
+            assert got[n] == pytest.approx(2 * p[0] - 3 * p[1] + 5 * p[2], abs=1e-9)
+    assert got[300] == pytest.approx(0.25 * (2 * 5 - 3 * 4 + 5 * 4)) and got[301] is None and got[302] is None
+    assert "[0,1,2,3,4,5,6,7]" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # ---------------------------------------------------------------- secondary structure
 def helix(n=16, chain="A", start=1, shift=0.0):
     spots = {"N": (1.55, -27.5, -0.9), "CA": (2.28, 0.0, 0.0), "C": (1.67, 26.4, 1.12), "O": (2.0, 23.6, 2.32)}
