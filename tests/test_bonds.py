@@ -7,6 +7,10 @@ from atom_tables import atom_rows, ids
 
 from atomframe.operators import bonds as B
 from atomframe.operators import predicates as P
+from pyspark.sql import functions as F
+from atomframe import scaling
+from atomframe.operators import bonds as bond_ops
+from atomframe.operators import components
 
 BONDS = "structure_id long, a long, b long"
 
@@ -82,3 +86,14 @@ def test_atom_typing(spark):
     assert got == {1: "both", 3: "hydrophobe", 5: "donor"}
     with pytest.raises(ValueError):
         B.pharmacophore(atoms, atoms.filter(P.name("P1")), bonds, strict=True)
+
+
+def test_molecules_of_near_numbers_are_settled_in_one_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df: written.append(1) or scaling.cut_lineage(df))
+    ids = spark.range(0, 640)
+    atoms = ids.select(F.lit(1).alias("structure_id"), F.col("id").alias("atom_id"))
+    bonds = ids.filter("id % 64 < 63").repartition(7, F.xxhash64("id")).selectExpr("1 AS structure_id", "id AS a", "id + 1 AS b")
+    found = bond_ops.molecules(atoms, bonds).collect()
+    assert len(found) == 640 and all(r["molecule"] == r["atom_id"] // 64 * 64 for r in found)
+    assert len(written) == 3
