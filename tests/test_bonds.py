@@ -97,3 +97,13 @@ def test_molecules_of_near_numbers_are_settled_in_one_round(spark, monkeypatch):
     found = bond_ops.molecules(atoms, bonds).collect()
     assert len(found) == 640 and all(r["molecule"] == r["atom_id"] // 64 * 64 for r in found)
     assert len(written) == 3
+
+
+def test_a_long_walk_compares_new_atoms_with_the_last_two_rounds_only(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(bond_ops, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or scaling.cut_lineage(df))
+    x = spark.createDataFrame([(1, 0)], "structure_id long, atom_id long")
+    bonds = spark.range(0, 20).selectExpr("1L AS structure_id", "id AS a", "id + 1 AS b")
+    found = bond_ops.extend(x, bonds, 8).collect()
+    assert sorted(r["atom_id"] for r in found) == list(range(9))
+    assert plans[9].count("FileScan") == plans[6].count("FileScan") and "Broadcast" not in plans[9]
