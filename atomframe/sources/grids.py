@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scaling import running_index, running_total
+from ..scaling import cut_lineage, running_index, running_total
 from .lines import read_lines, refuse, stem
 from .structures import PART_LINES, write_lines
 
@@ -40,12 +40,13 @@ def parse_pqr(lines: DataFrame, strict: bool = False) -> DataFrame:
 
     Lines that do not fit are skipped; ``strict`` refuses a file without atoms.
     """
-    fields = F.split(F.trim("value"), r"\s+")
-    atoms = lines.filter(F.col("value").rlike("^(ATOM|HETATM)")).withColumn("_f", fields)
-    size = F.size("_f")
-    names = {"radius": 1, "charge": 2, "z": 3, "y": 4, "x": 5}
-    values = {n: F.get(F.col("_f"), size - back).try_cast("double") for n, back in names.items()}
-    parsed = atoms.select("file", "line_no", *[v.alias(n) for n, v in values.items()]).dropna()
+    fields = F.slice(F.split(F.trim("value"), r"\s+"), -5, 5)
+    last = F.transform(fields, lambda v: v.try_cast("double"))
+    atoms = lines.filter(F.col("value").rlike("^(ATOM|HETATM)"))
+    # a line is split once; the numbers are tested and counted in the written table
+    read = cut_lineage(atoms.select("file", "line_no", last.alias("_v")))
+    names = ["x", "y", "z", "charge", "radius"]
+    parsed = read.select("file", "line_no", *[F.get("_v", F.lit(i)).alias(n) for i, n in enumerate(names)]).dropna()
     if strict:
         empty = lines.select("file").distinct().join(parsed, "file", "left_anti")
         lost = empty.limit(1).collect()

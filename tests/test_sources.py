@@ -276,3 +276,14 @@ def test_identifiers(spark):
     held = spark.createDataFrame([("4hhb",)], "name string")
     got = {r["identifier"].strip(): (r["kind"], r["name"]) for r in catalog.resolve_ids(wanted, held).collect()}
     assert got == {"1UBQ": ("pdb", "1ubq"), "P69905": ("alphafold", "AF-P69905"), "/d/x.PDB": ("file", "x"), "nope": ("error", None)}
+
+
+def test_pqr_lines_are_split_once(spark):
+    """The numbers are counted in a written table, not in lines that each step splits again."""
+    lines = spark.createDataFrame(
+        [("/in/a.pqr", 2, "ATOM 1 N ALA 1 1.0 2.0 3.0 0.5 1.5"), ("/in/a.pqr", 4, "ATOM 1.0 2.0"), ("/in/a.pqr", 6, "ATOM 1 x 1 1 NaN 1 1"),
+         ("/in/a.pqr", 9, "HETATM 7 O HOH A 9 4 5 6 -1 1.2")], "file string, line_no long, value string")
+    found = grids.parse_pqr(lines)
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in found.orderBy("atom_id").collect()]
+    assert got == [("a", 1, 1.0, 2.0, 3.0, 0.5, 1.5), ("a", 2, 4.0, 5.0, 6.0, -1.0, 1.2)]
