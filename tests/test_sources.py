@@ -287,3 +287,39 @@ def test_pqr_lines_are_split_once(spark):
     assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = [tuple(r) for r in found.orderBy("atom_id").collect()]
     assert got == [("a", 1, 1.0, 2.0, 3.0, 0.5, 1.5), ("a", 2, 4.0, 5.0, 6.0, -1.0, 1.2)]
+
+
+def test_values_of_a_stream_are_cut_into_rows_without_a_row_for_each(spark):
+    """Values come as arrays of a line; rows of seven end inside lines, and one line holds several rows."""
+    sizes = [3, 4, 1, 13, 7, 2, 19]
+    values = iter(range(1000))
+    texts = [" ".join(f"v{next(values)}" for _ in range(n)) for n in sizes]
+    body = spark.createDataFrame([("f", 10 * i, t) for i, t in enumerate(texts)], "file string, line_no long, value string")
+    stream = structures._stream(body)
+    assert stream.count() == len(sizes)
+    found = structures._rows_of(stream.withColumn("_width", F.lit(7)), F.col("_width"))
+    got = {r["row"]: r["tokens"] for r in found.collect()}
+    assert got == {n: [f"v{7 * n + k}" for k in range(7)] for n in range(7)}
+    with pytest.raises(Exception, match="a row ends early: v48"):
+        structures._rows_of(stream.withColumn("_width", F.lit(8)), F.col("_width")).collect()
+
+
+def test_reals_near_their_decimals_are_written_as_the_formatter_writes_them(spark):
+    values = [0.0, -0.0, -0.0004, 0.0005, 1.0005, -1.0005, 2.675, 1e-9, 12.3, -12.345, 999999.999, 4e9, 1e12, 1e15, 123456789.0004999, float("nan"), float("inf")]
+    values += [k / 1000 for k in range(-2500, 2500, 7)] + [k / 1000 + 0.00025 for k in range(-50, 50)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    text = structures._decimals("v", 3)
+    for r in df.select("v", text.alias("got"), F.format_string("%.3f", "v").alias("want")).collect():
+        assert r["got"] == r["want"], r["v"]
+
+
+def test_texts_that_need_quotes_are_found_together(spark):
+    texts = ["A", "", "C1'", 'x"y', "a b", "_x", "#1", "$", "[", ";", "O5*", "1_555", "a;b"]
+    names = spark.createDataFrame(list(enumerate(texts)), "atom_id long, atom_name string")
+    rows = names.selectExpr(
+        "1L structure_id", "*", "'C' element", "'.' altloc_id", "'ALA' res_name", "'A' chain_id", "CAST(atom_id AS INT) res_id",
+        "'' ins_code", "false hetero", "1D x", "2D y", "3D z", "1D occupancy", "0D b_factor",
+    )
+    lines = [r["value"] for r in structures.mmcif_lines(rows).orderBy("line_no").collect() if r["value"].startswith("ATOM")]
+    want = [r["t"] for r in names.orderBy("atom_id").select(structures._cif_token(F.col("atom_name")).alias("t")).collect()]
+    assert [line.split(" C ", 1)[1].split(" . ALA", 1)[0] for line in lines] == want
