@@ -653,6 +653,49 @@ def test_area_of_a_crowded_cube_equals_a_plain_count_and_pairs_never_become_rows
         assert (row["free"], row["free_alone"]) == ((~near.any(1)).sum(), (~own.any(1)).sum())
 
 
+def test_hidden_points_are_looked_up_and_equal_a_test_of_every_point():
+    import time
+
+    rng = np.random.default_rng(7)
+    ball = sasa.fibonacci_sphere(1000)
+    i = np.repeat(np.arange(500), 60)
+    far = rng.uniform(0.0, 6.5, len(i))
+    far[::97] = 0.0
+    shift = rng.normal(size=(3, len(i)))
+    shift *= far / np.linalg.norm(shift, axis=0)
+    ra, rb = rng.choice([2.81, 3.04, 3.28], (2, len(i)))
+    reach = (ra * ra + far * far - rb * rb) / (2 * ra)
+    caps, known = sasa.Caps(ball), np.zeros((500, 16), np.int64)
+    spent = []
+    for find in (lambda: caps.hidden(i, shift, np.linalg.norm(shift, axis=0), reach, known), lambda: sasa._each(ball, i, shift, reach, known)):
+        start = time.process_time()
+        spent.append((find(), time.process_time() - start))
+    assert (spent[0][0] == spent[1][0]).all() and spent[0][0].any()
+    assert 2 * spent[0][1] < spent[1][1]
+
+
+def test_far_and_unusable_places_hide_nothing_and_cubes_are_met_together(spark):
+    """Distant cubes, cubes below zero, places that are no numbers, and atoms of several cubes in one batch."""
+    rng = np.random.default_rng(5)
+    spots = np.concatenate([rng.uniform(-30, 30, (150, 3)), rng.uniform(-3, 3, (40, 3)) + [1e7, -1e7, 1e7], [[np.nan, 0, 0], [np.inf, 1, 1]]])
+    atoms = atom_rows(spark, [("A" if k % 2 else "B", k, "ALA", "CB", "C", *p) for k, p in enumerate(spots)])
+    found = {r["atom_id"] - 1: (r["free"], r["free_alone"]) for r in sasa.accessible_area(atoms, points=100).collect()}
+    ball, r = sasa.fibonacci_sphere(100), 1.88 + 1.4
+    assert len(found) == len(spots) and found[190] == found[191] == (100, 100)
+    for k in range(190):
+        near = np.linalg.norm((spots[k] + r * ball)[:, None] - spots[None, :190], axis=2) < r
+        near[:, k] = False
+        own = near[:, k % 2 :: 2]
+        assert found[k] == ((~near.any(1)).sum(), (~own.any(1)).sum())
+
+
+def test_an_atom_is_copied_to_few_cubes(spark):
+    rng = np.random.default_rng(3)
+    atoms = atom_rows(spark, [("A", k, "ALA", "CB", "C", *p) for k, p in enumerate(rng.uniform(0, 80, (400, 3)))])
+    widest = 2 * (1.88 + 1.4)
+    assert sasa.reaching_cubes(atoms, widest, sasa.EDGE * widest).count() < 3 * 400
+
+
 def test_residues_are_written_once_and_pairs_settle_apart(spark):
     """Two pairs that need different rounds; residues are read from written tables."""
     three = {v: k for k, v in __import__("atomframe.schema", fromlist=["x"]).ONE_LETTER.items()}
