@@ -46,3 +46,9 @@ def test_coarse_forms_have_one_at_default_settings():
 def test_fields_are_sampled_from_atoms_that_were_made_once(spark):
     for name in ("m15_sample_grid", "a20_residue_potential", "t4_extreme_potential", "m16_electrostatics"):
         assert all("/cut-" in f for f in entry.queries()[name](spark, SF_DIR).inputFiles()), name
+
+
+def test_interface_atoms_use_the_operators_own_points(spark):
+    rows = lambda name: sorted(map(tuple, entry.queries()[name](spark, SF_DIR).select("structure_id", "atom_id").collect()))
+    assert rows("a8_interface_atoms") == rows("a8_interface_atoms_fine")
+    assert "range(1000)" in entry.oracle_sql()["a8_interface_atoms"]
