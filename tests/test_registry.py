@@ -52,3 +52,10 @@ def test_interface_atoms_use_the_operators_own_points(spark):
     rows = lambda name: sorted(map(tuple, entry.queries()[name](spark, SF_DIR).select("structure_id", "atom_id").collect()))
     assert rows("a8_interface_atoms") == rows("a8_interface_atoms_fine")
     assert "range(1000)" in entry.oracle_sql()["a8_interface_atoms"]
+
+
+def test_ranked_residues_use_the_operators_own_points(spark):
+    cols = ("structure_id", "chain_id", "res_id", "buried")
+    rows = lambda name: sorted(map(tuple, entry.queries()[name](spark, SF_DIR).select(*cols).collect()))
+    assert rows("t6_ranked_residues") == rows("t6_ranked_residues_fine")
+    assert "range(1000)" in entry.oracle_sql()["t6_ranked_residues"]
