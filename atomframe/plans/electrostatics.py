@@ -5,7 +5,8 @@ work is points times charges whatever the plan. Bricks of grid points are dealt
 all tasks and the charges come to each brick in chunks. With salt, exp(-kr)/r is a sum of
 some forty Gaussians, each a product over x, y and z: a brick and a chunk are then products of
 matrices, and wide Gaussians see the charges through a few nodes. The error is 5e-12 of 1/r.
-A task holds the points of one brick, whatever the number of charges.
+A task holds the points of one brick, whatever the number of charges. Where only places
+between the points are asked for, these come to the brick too, and no point becomes a row.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SMALL = 1e-40
 BLOCK = 4  # cells per edge of the blocks that points are sampled from
 AXES = "xyz"
 PLACES = ["bi", "bj", "bk"]
+OPENS, SPOT, CHARGES = range(3)  # order of the rows of a brick
 
 
 def grid_axes(
@@ -217,52 +219,180 @@ def _add(total: np.ndarray, axes: list, at: list, q: np.ndarray, kappa: float) -
     _floor(total, axes, at, q, kappa, t, w)
 
 
-def _sums(kappa: float, kind: str):
-    """(structure_id, i, j, k, _sum) of the points of each brick, whose row comes before its charges."""
+def _sums(kappa: float, kind: str, spots: bool = False):
+    """What is made of each brick, whose row comes before the ``spots`` in it and its charges.
+
+    (structure_id, i, j, k, _sum) of its points; or, of the spots, their place, the copies that
+    went to bricks and the sum over the corners in this brick. Of a brick with spots only the
+    box around their cells is summed up.
+    """
     number = pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.string()
 
-    def points(owner, place: list[int], total: np.ndarray) -> pa.RecordBatch:
-        i, j, k = (np.indices(total.shape).reshape(3, -1) + np.array(place)[:, None] * BRICK).astype(np.int32)
-        owners = pa.array([owner], number).take(pa.array(np.zeros(len(i), np.int64)))
-        return pa.RecordBatch.from_arrays([owners, *map(pa.array, (i, j, k, total.ravel()))], names=["structure_id", "i", "j", "k", "_sum"])
+    def owners(owner, n: int) -> pa.Array:
+        return pa.array([owner], number).take(pa.array(np.zeros(n, np.int64)))
+
+    def points(owner, first: list[int], total: np.ndarray) -> pa.RecordBatch:
+        i, j, k = (np.indices(total.shape).reshape(3, -1) + np.array(first)[:, None]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([owners(owner, len(i)), *map(pa.array, (i, j, k, total.ravel()))], names=["structure_id", "i", "j", "k", "_sum"])
+
+    def corners(owner, first: list[int], total: np.ndarray, cells: list, parts: list, at: list, copies: np.ndarray) -> pa.RecordBatch:
+        found = np.zeros(len(copies))
+        for corner in range(8):
+            weight, spot, here = 1.0, [], np.ones(len(found), bool)
+            for cell, part, start, size, bit in zip(cells, parts, first, total.shape, (2, 1, 0)):
+                up = corner >> bit & 1
+                weight = weight * (part if up else 1.0 - part)
+                step = cell + (up - start)
+                here &= (step >= 0) & (step < size)
+                spot.append(np.clip(step, 0, size - 1))
+            found += np.where(here, total[tuple(spot)] * weight, 0.0)
+        return pa.RecordBatch.from_arrays([owners(owner, len(found)), *map(pa.array, (*at, copies, found))], names=["structure_id", *AXES, "copies", "_sum"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, place, axes, total, charged = None, None, None, None, False
+        here, brick, total, charged = None, None, None, False
         held: list[list[np.ndarray]] = []
+        asked: list[list[np.ndarray]] = []
 
         def add() -> None:
+            nonlocal brick, total
+            if total is None:
+                brick = _box(brick, BRICK, asked if spots else None)
+                total = np.zeros([len(x) for x in brick[1]])
+            *at, q = (np.concatenate(v) for v in zip(*held))
+            _add(total, brick[1], at, q, kappa)
+            held.clear()
+
+        def made() -> Iterator[pa.RecordBatch]:
             if held:
-                *at, q = (np.concatenate(v) for v in zip(*held))
-                _add(total, axes, at, q, kappa)
-                held.clear()
+                add()
+            if charged and spots:
+                yield corners(here[0], brick[0], total, *brick[2:])
+            elif charged:
+                yield points(here[0], brick[0], total)
 
         for batch in batches:
             lists = [batch.column(c) for c in (*[f"q{c}" for c in AXES], "q")]
-            rows = batch.drop_columns([f"q{c}" for c in AXES] + ["q"]).to_pylist()
-            for n, row in enumerate(rows):
+            spot = [batch.column(f"s{c}").to_numpy(zero_copy_only=False) for c in (*AXES, "n")] if spots else []
+            asks = ~np.isnan(spot[-1]) if spots else False
+            stage = np.where(lists[-1].is_valid().to_numpy(zero_copy_only=False), CHARGES, np.where(asks, SPOT, OPENS))
+            # spots of a brick come in one piece, all else row by row
+            part, owner = batch.column("part").to_numpy(), batch.column("structure_id").to_numpy(zero_copy_only=False)
+            inside = (stage[1:] == SPOT) & (stage[:-1] == SPOT) & (part[1:] == part[:-1]) & (owner[1:] == owner[:-1])
+            starts = np.flatnonzero(np.r_[True, ~inside]) if len(stage) else np.zeros(0, np.int64)
+            rows = batch.select(["structure_id", "part", *PLACES, *[f"{o}{c}" for o in "ohn" for c in AXES]]).take(pa.array(starts)).to_pylist()
+            for n, end, row in zip(starts, [*starts[1:], len(stage)], rows):
                 key = row["structure_id"], row["part"]
                 if key != here:
-                    add()
-                    if charged:
-                        yield points(here[0], place, total)
-                    here, total, charged = key, None, False
-                if not lists[-1][n].is_valid:
-                    place = [row[b] for b in PLACES]
-                    axes = [row[f"o{c}"] + row[f"h{c}"] * (b * BRICK + np.arange(min(BRICK, row[f"n{c}"] - b * BRICK))) for c, b in zip(AXES, place)]
-                    total = np.zeros([len(x) for x in axes])
-                    continue
-                charged = True
-                # blocks may hold few charges each; they are met together
-                held.append([x[n].values.to_numpy(zero_copy_only=False) for x in lists])
-                if sum(len(v[-1]) for v in held) >= CHUNK:
-                    add()
-        add()
-        if charged:
-            yield points(here[0], place, total)
+                    yield from made()
+                    here, brick, total, charged = key, None, None, False
+                    asked.clear()
+                if stage[n] == OPENS:
+                    brick = row
+                elif stage[n] == SPOT:
+                    asked.append([v[n:end] for v in spot])
+                elif asked or not spots:
+                    charged = True
+                    # blocks may hold few charges each; they are met together
+                    held.append([x[int(n)].values.to_numpy(zero_copy_only=False) for x in lists])
+                    if sum(len(v[-1]) for v in held) >= CHUNK:
+                        add()
+        yield from made()
 
     return work
 
 
+def _box(row: dict, edge: int, asked: list[list[np.ndarray]] | None) -> tuple:
+    """First points and places along the axes of a brick, or of the box around the cells of spots; these cells, the parts of them, and the spots."""
+    first = [row[b] * edge for b in PLACES]
+    count = [min(edge, row[f"n{c}"] - f) for c, f in zip(AXES, first)]
+    more = ()
+    if asked is not None:
+        *at, copies = (np.concatenate(v) for v in zip(*asked))
+        along = [(p - row[f"o{c}"]) / row[f"h{c}"] for c, p in zip(AXES, at)]
+        cells = [np.floor(u).astype(np.int64) for u in along]
+        low = [max(f, int(c.min())) for f, c in zip(first, cells)]
+        count = [min(f + n, int(c.max()) + 2) - f2 for f, n, c, f2 in zip(first, count, cells, low)]
+        first, more = low, (cells, [u - c for u, c in zip(along, cells)], at, copies.astype(np.int32))
+    places = [row[f"o{c}"] + row[f"h{c}"] * (f + np.arange(n)) for c, f, n in zip(AXES, first, count)]
+    return first, places, *more
+
+
+class _Field:
+    """The grids of a table of charges: bricks, and the charges dealt to them."""
+
+    def __init__(
+        self, charges: DataFrame, spacing: float = 1.0, padding: float = 10.0, dielectric: float = WATER_DIELECTRIC,
+        ionic: float = IONIC_STRENGTH, temperature: float = TEMPERATURE, max_points: int | None = None,
+    ) -> None:
+        # blocks of atoms: their boxes make the structure's, and chunks of charges are gathered in them
+        key = ["structure_id", "_blk"]
+        charges = charges.withColumn("_blk", F.floor(F.col("atom_id") / F.lit(float(BLOCK_ATOMS))).cast("long"))
+        blocks = cut_lineage(_extent(charges, key))
+        whole = [F.min(f"lo_{c}").alias(f"lo_{c}") for c in AXES] + [F.max(f"hi_{c}").alias(f"hi_{c}") for c in AXES]
+        self.axes = axes = cut_lineage(_axes(blocks.groupBy("structure_id").agg(*whole), spacing, padding, max_points))
+        method = (
+            f"sum of screened point charges, dielectric {dielectric:g} everywhere, {ionic:g} M salt; "
+            "compare values within one grid, not with those of a continuum solver"
+        )
+        self.meta = axes.withColumn("method", F.lit(method))
+        self.kappa, self.scale = screening(ionic, dielectric, temperature), F.lit(kt_scale(dielectric, temperature))
+        # a brick owns its points: the charges come to it, chunk by chunk
+        self.many = many = {c: F.ceil(F.col(f"n{c}") / BRICK).cast("long") for c in AXES}
+        counts = axes.select("structure_id", (many["x"] * many["y"] * many["z"]).alias("_parts"))
+        grid = [F.col(f"{o}{c}") for o in "ohn" for c in AXES]
+        self.bricks = _bricks(axes).select("structure_id", self.part(), F.lit(OPENS).alias("stage"), *PLACES, *grid)
+        # as many rows as structures, and more; the chunks are dealt and stay where they are
+        counts = blocks.select(*key).join(counts.hint("merge"), "structure_id")
+        chunks = _chunks(charges, key).join(counts.hint("merge"), key)
+        chunks = chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        self.chunks = chunks.select("structure_id", "part", F.lit(CHARGES).alias("stage"), *[f"q{c}" for c in AXES], "q")
+
+    def part(self) -> Column:
+        return ((F.col("bi") * self.many["y"] + F.col("bj")) * self.many["z"] + F.col("bk")).alias("part")
+
+    def _made(self, rows: DataFrame, columns: str, spots: bool) -> DataFrame:
+        """``_sums`` of rows that are dealt by brick."""
+        rows = by_key(rows, ["structure_id", "part"]).sortWithinPartitions("structure_id", "part", "stage")
+        kind = rows.schema["structure_id"].dataType.simpleString()
+        owner = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+        made = rows.withColumn("structure_id", F.col("structure_id").cast(owner)).mapInArrow(
+            _sums(self.kappa, owner, spots), f"structure_id {owner}, {columns}, _sum double"
+        )
+        return made.withColumn("structure_id", F.col("structure_id").cast(kind))
+
+    def grid(self) -> DataFrame:
+        """Every point, which becomes a row once."""
+        summed = self._made(self.bricks.unionByName(self.chunks, allowMissingColumns=True), "i int, j int, k int", False)
+        return summed.select("structure_id", "i", "j", "k", (F.col("_sum") * self.scale).alias("value"))
+
+    def samples(self, points: DataFrame) -> DataFrame:
+        """``points`` with the trilinear ``potential`` there; null outside the grid."""
+        box = self.axes.select("structure_id", *[f"{p}{c}" for p in "onh" for c in AXES])
+        spots = points.select("structure_id", *[F.col(c).cast("double").alias(f"s{c}") for c in AXES]).join(box, "structure_id")
+        inside, copies = F.lit(True), F.lit(1)
+        for c, b in zip(AXES, PLACES):
+            low = F.floor((F.col(f"s{c}") - F.col(f"o{c}")) / F.col(f"h{c}")).cast("long")
+            inside = inside & (low >= 0) & (low < F.col(f"n{c}") - 1) & ~F.isnan(f"s{c}")
+            block = F.floor(low / BRICK).cast("int")
+            # a cell between two bricks has corners in both
+            spots = spots.withColumn(f"_{b}", F.when(low % BRICK == BRICK - 1, F.array(block, block + 1)).otherwise(F.array(block)))
+            copies = copies * F.size(f"_{b}")
+        spots = spots.filter(inside).withColumn("sn", copies.cast("double"))
+        for b in PLACES:
+            spots = spots.withColumn(b, F.explode(f"_{b}"))
+        spots = spots.select("structure_id", self.part(), F.lit(SPOT).alias("stage"), "sx", "sy", "sz", "sn")
+        rows = self.bricks.unionByName(self.chunks, allowMissingColumns=True).unionByName(spots, allowMissingColumns=True)
+        parts = self._made(rows, "x double, y double, z double, copies int", True)
+        # equal places of several points come as often as these
+        share = F.max("copies") / F.count(F.lit(1))
+        found = parts.groupBy("structure_id", *[F.col(c).alias(f"_{c}") for c in AXES]).agg((F.sum("_sum") * share * self.scale).alias("potential"))
+        found = found.withColumnRenamed("structure_id", "_structure")
+        same = F.col("structure_id") == F.col("_structure")
+        for c in AXES:
+            same = same & (F.col(c).cast("double") == F.col(f"_{c}"))
+        return points.join(found.hint("merge"), same, "left").drop("_structure", *[f"_{c}" for c in AXES])
+
+
 def coulomb_grid(
     charges: DataFrame,
     spacing: float = 1.0,
@@ -277,39 +407,16 @@ def coulomb_grid(
     Distances are floored at 1 angstrom. ``method`` in the meta table says what
     the numbers are.
     """
-    # blocks of atoms: their boxes make the structure's, and chunks of charges are gathered in them
-    key = ["structure_id", "_blk"]
-    charges = charges.withColumn("_blk", F.floor(F.col("atom_id") / F.lit(float(BLOCK_ATOMS))).cast("long"))
-    blocks = cut_lineage(_extent(charges, key))
-    whole = [F.min(f"lo_{c}").alias(f"lo_{c}") for c in AXES] + [F.max(f"hi_{c}").alias(f"hi_{c}") for c in AXES]
-    axes = cut_lineage(_axes(blocks.groupBy("structure_id").agg(*whole), spacing, padding, max_points))
-    method = (
-        f"sum of screened point charges, dielectric {dielectric:g} everywhere, {ionic:g} M salt; "
-        "compare values within one grid, not with those of a continuum solver"
-    )
-    meta = axes.withColumn("method", F.lit(method))
-    # a brick owns its points: the charges come to it, chunk by chunk, and a point becomes a row once
-    many = {c: F.ceil(F.col(f"n{c}") / BRICK).cast("long") for c in AXES}
-    counts = axes.select("structure_id", (many["x"] * many["y"] * many["z"]).alias("_parts"))
-    place = ((F.col("bi") * many["y"] + F.col("bj")) * many["z"] + F.col("bk")).alias("part")
-    grid = [F.col(f"{o}{c}") for o in "ohn" for c in AXES]
-    none = F.lit(None).cast("array<double>")
-    lists = [f"q{c}" for c in AXES] + ["q"]
-    bricks = _bricks(axes).select("structure_id", place, *PLACES, *grid, *[none.alias(c) for c in lists])
-    # as many rows as structures, and more; the chunks are dealt and stay where they are
-    counts = blocks.select(*key).join(counts.hint("merge"), "structure_id")
-    chunks = _chunks(charges, key).join(counts.hint("merge"), key)
-    chunks = chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    chunks = chunks.select("structure_id", "part", *[F.lit(None).cast(bricks.schema[c].dataType).alias(c) for c in bricks.columns[2:-4]], *lists)
-    rows = by_key(bricks.unionByName(chunks), ["structure_id", "part"])
-    rows = rows.sortWithinPartitions("structure_id", "part", F.col("q").isNotNull())
-    kind = charges.schema["structure_id"].dataType.simpleString()
-    owner = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
-    summed = rows.withColumn("structure_id", F.col("structure_id").cast(owner)).mapInArrow(
-        _sums(screening(ionic, dielectric, temperature), owner), f"structure_id {owner}, i int, j int, k int, _sum double"
-    ).withColumn("structure_id", F.col("structure_id").cast(kind))
-    scale = F.lit(kt_scale(dielectric, temperature))
-    return meta, summed.select("structure_id", "i", "j", "k", (F.col("_sum") * scale).alias("value"))
+    field = _Field(charges, spacing, padding, dielectric, ionic, temperature, max_points)
+    return field.meta, field.grid()
+
+
+def sample_coulomb(points: DataFrame, charges: DataFrame, **options) -> DataFrame:
+    """As ``sample_grid`` of ``coulomb_grid`` at ``points``, without a row for any point of the grid.
+
+    The points go to the bricks that hold the corners of their cells and only their sums come back.
+    """
+    return _Field(charges, **options).samples(points)
 
 
 def _cell(i: Column, j: Column, k: Column) -> Column:
@@ -422,9 +529,11 @@ def electrostatics(
 
     Samples the polymer of one conformer state at its atom positions.
     """
-    meta, grid = coulomb_grid(charges, **options)
+    field = _Field(charges, **options)
+    meta, grid = field.meta, field.grid()
     state = resolve_conformers(atoms).filter(P.is_class("polymer"))
-    sampled = sample_grid(state, grid, meta, ["atom_id"])
+    # read for the bricks and for the result
+    sampled = field.samples(cut_lineage(state))
     residues = potential_by_residue(sampled)
     return {
         "meta": meta, "grid": grid, "sampled": sampled, "residues": residues,

@@ -450,6 +450,29 @@ def test_linear_field_is_sampled_exactly_and_outside_is_null(spark):
     assert got[1] == pytest.approx(2 * 1.2 - 3 * 0.2 + 5 * 2.4) and got[2] is None and got[3] is None
 
 
+@pytest.mark.parametrize("spacing", [0.5, 1.0, 4.0])
+def test_samples_made_in_bricks_equal_those_of_the_grid(spark, monkeypatch, spacing):
+    """Cells between bricks, equal places, places outside, a structure without charges."""
+    monkeypatch.setattr(EL, "BRICK", 8)
+    rng = np.random.default_rng(9)
+    place = rng.uniform(0, 20, (60, 3))
+    place[7] = place[8]
+    rows = [("A", k, "ALA", "CA", "C", *p, {"structure": 1 + k % 3}) for k, p in enumerate([*place, [99.0, 0, 0]])]
+    atoms = atom_rows(spark, rows)
+    again = atoms.unionByName(atoms.filter("atom_id % 5 = 0"))
+    charges = atoms.filter("x < 90").selectExpr("structure_id", "atom_id", "x", "y", "z", "CAST(atom_id % 5 - 2 AS DOUBLE) * IF(structure_id = 3, 0, 1) AS charge")
+    meta, grid = EL.coulomb_grid(charges, spacing, 2.0)
+    want = EL.sample_grid(again, grid, meta, ["atom_id"])
+    got = EL.sample_coulomb(again, charges, spacing=spacing, padding=2.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(cell" not in plan and set(got.columns) == set(want.columns)
+    values = [sorted(((r["atom_id"], r["potential"]) for r in df.collect()), key=str) for df in (got, want)]
+    assert len(values[0]) == len(values[1]) == again.count()
+    for (a, v), (b, w) in zip(*values):
+        assert a == b and (v is None) == (w is None) and (v is None or v == pytest.approx(w, abs=1e-9))
+    assert any(v is None for _, v in values[0]) and any(v for _, v in values[0])
+
+
 def test_a_grid_of_many_blocks_with_a_hole_is_sampled_without_rows_per_corner(spark):
     ids = spark.range(13)
     grid = ids.selectExpr("CAST(id AS INT) i").crossJoin(ids.selectExpr("CAST(id AS INT) j")).crossJoin(ids.selectExpr("CAST(id AS INT) k"))
