@@ -59,3 +59,9 @@ def test_ranked_residues_use_the_operators_own_points(spark):
     rows = lambda name: sorted(map(tuple, entry.queries()[name](spark, SF_DIR).select(*cols).collect()))
     assert rows("t6_ranked_residues") == rows("t6_ranked_residues_fine")
     assert "range(1000)" in entry.oracle_sql()["t6_ranked_residues"]
+
+
+def test_fine_potentials_are_sampled_without_rows_of_the_grid(spark):
+    for name in ("m15_sample_grid_fine", "m16_electrostatics_fine"):
+        plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "cell" not in plan, name
